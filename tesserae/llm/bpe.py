@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -74,7 +75,8 @@ class WordBpe:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.letters = byte_letters()
-        self.table = {chr(b): self.letters[b] for b in range(256)}
+        self.table = str.maketrans({chr(b): self.letters[b] for b in range(256)})
+        self.beyond = re.compile("[\u0378-\U0010ffff]")  # Python's tables are whole below
         self.norm = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
@@ -157,7 +159,7 @@ class WordBpe:
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids (little-endian, 32 bits) of distinct words."""
-        letters = [w.encode().decode("latin-1").translate(str.maketrans(self.table)) for w in words]
+        letters = [w.encode().decode("latin-1").translate(self.table) for w in words]
         guess = [self.proposed(x) for x in letters]
         sizes = np.fromiter(map(len, guess), np.int64, len(guess))
         flat = np.fromiter((i for g in guess for i in g), np.int64, int(sizes.sum()))
@@ -180,7 +182,7 @@ class WordBpe:
 
     # -- texts -----------------------------------------------------------------
     def split(self, text: str) -> list[str]:
-        if not text.isascii() and self.unknown.search(text):
+        if not text.isascii() and self.beyond.search(text) and self.unknown.search(text):
             return [w for w, _ in self.newer.pre_tokenize_str(text)]
         return self.words.findall(text)
 
