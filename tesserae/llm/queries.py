@@ -1,6 +1,8 @@
 """The queries of the training-data operators, and SQL for those that it can express."""
 
 from .bpe import op9_bpe
+from .licenses import op8_licenses
+from .quality import op10_quality
 
-QUERIES = {"op9_bpe": op9_bpe}
+QUERIES = {"op8_licenses": op8_licenses, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
