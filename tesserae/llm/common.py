@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,9 +34,16 @@ def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder, read back. Survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files of finished jobs now: it does so when their objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Remove the files behind a table of ``written`` that nothing reads any more."""
     spark = df.sparkSession
