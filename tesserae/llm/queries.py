@@ -1,8 +1,16 @@
 """The queries of the training-data operators, and SQL for those that it can express."""
 
 from .bpe import op9_bpe
+from .decontaminate import op7_decontaminate
 from .licenses import op8_licenses
 from .quality import op10_quality
+from .substrings import op1_substrings
 
-QUERIES = {"op8_licenses": op8_licenses, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
+QUERIES = {
+    "op1_substrings": op1_substrings,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_licenses": op8_licenses,
+    "op9_bpe": op9_bpe,
+    "op10_quality": op10_quality,
+}
 ORACLES: dict[str, str] = {}
