@@ -3,11 +3,13 @@
 from .bpe import op9_bpe
 from .decontaminate import op7_decontaminate
 from .licenses import op8_licenses
+from .pii import op4_pii
 from .quality import op10_quality
 from .substrings import op1_substrings
 
 QUERIES = {
     "op1_substrings": op1_substrings,
+    "op4_pii": op4_pii,
     "op7_decontaminate": op7_decontaminate,
     "op8_licenses": op8_licenses,
     "op9_bpe": op9_bpe,
