@@ -3,16 +3,19 @@
 from .bpe import op9_bpe
 from .decontaminate import op7_decontaminate
 from .licenses import op8_licenses
+from . import lines
+from .lines import op2_lines
 from .pii import op4_pii
 from .quality import op10_quality
 from .substrings import op1_substrings
 
 QUERIES = {
     "op1_substrings": op1_substrings,
+    "op2_lines": op2_lines,
     "op4_pii": op4_pii,
     "op7_decontaminate": op7_decontaminate,
     "op8_licenses": op8_licenses,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_lines": lines.ORACLE_SQL}
