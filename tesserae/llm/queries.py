@@ -2,6 +2,7 @@
 
 from .bpe import op9_bpe
 from .decontaminate import op7_decontaminate
+from .html import op3_html
 from .licenses import op8_licenses
 from . import lines
 from .lines import op2_lines
@@ -12,6 +13,7 @@ from .substrings import op1_substrings
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_lines": op2_lines,
+    "op3_html": op3_html,
     "op4_pii": op4_pii,
     "op7_decontaminate": op7_decontaminate,
     "op8_licenses": op8_licenses,
