@@ -3,8 +3,9 @@
 from .bpe import op9_bpe
 from .decontaminate import op7_decontaminate
 from .html import op3_html
+from .jaccard import op5_jaccard
 from .licenses import op8_licenses
-from . import lines
+from . import jaccard, lines
 from .lines import op2_lines
 from .pii import op4_pii
 from .quality import op10_quality
@@ -15,9 +16,10 @@ QUERIES = {
     "op2_lines": op2_lines,
     "op3_html": op3_html,
     "op4_pii": op4_pii,
+    "op5_jaccard": op5_jaccard,
     "op7_decontaminate": op7_decontaminate,
     "op8_licenses": op8_licenses,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op2_lines": lines.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_lines": lines.ORACLE_SQL, "op5_jaccard": jaccard.ORACLE_SQL}
