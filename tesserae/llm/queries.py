@@ -7,6 +7,7 @@ from .jaccard import op5_jaccard
 from .licenses import op8_licenses
 from . import jaccard, lines
 from .lines import op2_lines
+from .media import op6_media
 from .pii import op4_pii
 from .quality import op10_quality
 from .substrings import op1_substrings
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_html": op3_html,
     "op4_pii": op4_pii,
     "op5_jaccard": op5_jaccard,
+    "op6_media": op6_media,
     "op7_decontaminate": op7_decontaminate,
     "op8_licenses": op8_licenses,
     "op9_bpe": op9_bpe,
