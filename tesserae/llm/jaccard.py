@@ -42,7 +42,9 @@ from . import common
 
 WORDS, SIMILARITY = 5, 80
 #: Columns of a matrix row that are paired at once; documents from which on a token is common; bound of the common tokens.
-NARROW, OFTEN, COMMON, ROUNDS = 100, 20, 500_000, 4
+NARROW, OFTEN, COMMON = 24, 20, 500_000
+#: Rounds with one leader a wide row; sets that are compared with as many others at once.
+ROUNDS, BLOCK = 4, 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -230,18 +232,25 @@ def _wide_links(wide: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame
         fits = (F.col("n") * 100 >= F.col("lead.n") * SIMILARITY) & (F.col("lead.n") * 100 >= F.col("n") * SIMILARITY)
         pairs = open_rows.where(fits).select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b")).distinct()
         links = common.written(links.unionAll(verified(pairs, sets)))
-    return common.written(links.unionAll(verified(common.written(_opened(wide, links, sets)), sets)))
+    return common.written(links.unionAll(_opened(wide, links, sets)))
 
 
 def _opened(wide: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents and members of other groups in a row, where the group's union has enough of the document's tokens."""
+    """Links of documents to members of other groups in their rows, where the group's union has enough of the document's tokens.
+
+    Of two groups the smaller one's documents ask. Those that ask a group, and its members,
+    are packed in blocks of ``BLOCK`` sets, and blocks are compared with blocks, so a set is
+    moved once for each block that it meets, not once for each pair.
+    """
     rows = common.written(_grouped(wide, links))
+    members = rows.select("doc_id", "n", "grp").distinct()
+    groups = common.written(members.groupBy("grp").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most")))
     several = rows.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("token")
-    rows = common.written(rows.join(several, "token"))
-    groups = rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = rows.join(groups.withColumnRenamed("grp", "other"), "token").where("grp <> other")
-    asked = asked.where((F.col("least") * SIMILARITY <= F.col("n") * 100) & (F.col("most") * 100 >= F.col("n") * SIMILARITY))
-    asked = common.written(asked.select("doc_id", "n", "other").distinct())
+    rows = common.written(rows.join(common.written(several), "token").join(groups.select("grp", "size"), "grp"))
+    others = rows.select("token", F.col("grp").alias("other"), F.col("size").alias("others")).distinct()
+    asked = rows.join(others, "token").where(F.struct("size", "grp") < F.struct(F.col("others").alias("size"), F.col("other").alias("grp")))
+    asked = asked.select("doc_id", "n", "other").distinct().join(groups.withColumnRenamed("grp", "other"), "other")
+    asked = common.written(asked.where((F.col("least") * SIMILARITY <= F.col("n") * 100) & (F.col("most") * 100 >= F.col("n") * SIMILARITY)).select("doc_id", "n", "other", "size"))
 
     def tokens_of(ids: DataFrame) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,15 +261,38 @@ def _opened(wide: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
 
         return ids.join(sets.select(F.col("doc_id").alias("doc"), "tokens"), "doc").select("doc", "tokens").mapInArrow(work, "t long, doc long")
 
-    members = rows.select(F.col("doc_id").alias("doc"), "grp").distinct()
-    union = tokens_of(members.select("doc")).join(members, "doc").select("t", F.col("grp").alias("other")).distinct()
+    wanted = asked.select(F.col("other").alias("grp")).distinct()
+    members = common.written(members.join(wanted, "grp", "left_semi"))
+    union = tokens_of(members.select(F.col("doc_id").alias("doc"))).join(members.select(F.col("doc_id").alias("doc"), "grp"), "doc").select("t", F.col("grp").alias("other")).distinct()
     own = tokens_of(asked.select(F.col("doc_id").alias("doc")).distinct()).join(asked, F.col("doc") == F.col("doc_id"))
     bound = own.join(union, ["t", "other"]).groupBy("doc_id", "n", "other").agg(F.count("*").alias("at_most"))
-    fit = bound.where(F.col("at_most") * 100 >= F.col("n") * SIMILARITY).select("doc_id", "other")
-    member = rows.select("token", F.col("doc_id").alias("m"), F.col("n").alias("mn"), F.col("grp").alias("other"))
-    pairs = rows.select("token", "doc_id", "n").join(fit, "doc_id").join(member, ["token", "other"])
-    pairs = pairs.where((F.col("n") * 100 >= F.col("mn") * SIMILARITY) & (F.col("mn") * 100 >= F.col("n") * SIMILARITY))
-    return pairs.select(F.least("doc_id", "m").alias("a"), F.greatest("doc_id", "m").alias("b")).distinct()
+    fit = common.written(bound.where(F.col("at_most") * 100 >= F.col("n") * SIMILARITY).select("doc_id", "other"))
+
+    def packed(docs: DataFrame, group: str, into: str) -> DataFrame:
+        counts = docs.groupBy(group).agg(F.count("*").alias("size"))
+        block = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.ceil(F.col("size") / BLOCK))
+        full = docs.join(common.written(counts), group).join(sets.select("doc_id", "tokens"), "doc_id")
+        return full.groupBy(F.col(group).alias("grp"), block.alias("block")).agg(F.collect_list(F.struct("doc_id", "tokens")).alias(into)).select("grp", into)
+
+    met = packed(fit, "other", "x").join(packed(members.select("doc_id", "grp"), "grp", "y"), "grp").select("x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                parts = [np.frombuffer(z["tokens"], np.uint64) for z in y]
+                sizes = np.array([len(z) for z in parts])
+                tokens, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+                out: list[tuple[int, int]] = []
+                for z in x:
+                    mine = np.sort(np.frombuffer(z["tokens"], np.uint64))
+                    hit = mine[np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)] == tokens
+                    same = np.bincount(owner[hit], minlength=len(parts))
+                    out += [(z["doc_id"], y[j]["doc_id"]) for j in np.flatnonzero(100 * same >= SIMILARITY * (len(mine) + sizes - same)).tolist()]
+                cols = [np.array(c, np.int64) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*cols)), pa.array(np.maximum(*cols))], names=["a", "b"])
+
+    return met.mapInArrow(compare, "a long, b long").where("a <> b")
 
 
 def _common_tokens(shared: DataFrame) -> np.ndarray:
