@@ -30,10 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder, read back. Survives lost executors."""
+def written(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder, read back. Survives lost executors.
+
+    ``batch_rows`` bounds the rows of an Arrow batch while this table is made, for wide rows.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    try:
+        if batch_rows:
+            conf.set(key, batch_rows)
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -231,8 +231,8 @@ def _wide_links(wide: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame
         open_rows = rows.join(lead, "token").where(F.col("grp") != F.col("lead.grp"))
         fits = (F.col("n") * 100 >= F.col("lead.n") * SIMILARITY) & (F.col("lead.n") * 100 >= F.col("n") * SIMILARITY)
         pairs = open_rows.where(fits).select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b")).distinct()
-        links = common.written(links.unionAll(verified(pairs, sets)))
-    return common.written(links.unionAll(_opened(wide, links, sets)))
+        links = common.written(links.unionAll(verified(pairs, sets)), 500)
+    return common.written(links.unionAll(_opened(wide, links, sets)), 32)
 
 
 def _opened(wide: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
@@ -325,12 +325,14 @@ def joined(docs: DataFrame) -> DataFrame:
     alive = common.written(counts.join(reps.select(F.col("rep").alias("doc_id"), "n"), "doc_id").where(F.col("k") >= _needed(F.col("n"))).select("doc_id"))
     often = _common_tokens(shared)
     common.dropped(shared)
-    sets = common.written(_sets(texts.join(alive, "doc_id", "left_semi").dropDuplicates(["doc_id"]), often))
+    sets = common.written(_sets(texts.join(alive, "doc_id", "left_semi"), often), 500)
+    if members.count() != members.select("doc_id").distinct().count():  # rows that repeat an id
+        sets = common.written(sets.dropDuplicates(["doc_id"]), 500)
 
     rows = _pruned(_pruned(_prefixes(sets))).where("short").select("token", "doc_id", "n")
     width = common.written(rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"))
     rows = common.written(rows.join(width, "token"))
-    links = common.written(verified(common.written(_pairs(rows.where(F.col("k") <= NARROW))), sets))
+    links = common.written(verified(common.written(_pairs(rows.where(F.col("k") <= NARROW))), sets), 500)
     wide = rows.where(F.col("k") > NARROW).select("token", "doc_id", "n")
     if wide.limit(1).count():
         links = _wide_links(wide, links, sets)
