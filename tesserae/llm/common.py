@@ -15,7 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 4 << 20
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table; from here on the session's Arrow batches have at most BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
