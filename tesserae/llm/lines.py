@@ -62,8 +62,8 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> D
     # Rows repeating an id and a text have the same places: they don't make a line repeated.
     place = F.struct("__line_doc", "__line_text", "at")
     shared = rows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
-    # Written, so that both sides of the join are plain exchanges, which adaptive execution can split.
-    rows = rows.join(common.written(shared), "fp")
+    # Written and merged, so that both sides are plain exchanges, which adaptive execution can split, at every size.
+    rows = rows.join(common.written(shared).hint("merge"), "fp")
 
     def around(i: Column) -> Column:
         inside = F.slice("near", i + 1, F.lit(window))
@@ -74,7 +74,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> D
     windows = rows.select("__line_doc", "__line_text", F.explode(F.when(F.size("near") == 0, single).otherwise(several)).alias("w")).select("__line_doc", "__line_text", "w.key", "w.ats")
     place = F.struct("__line_doc", "__line_text", F.get("ats", F.lit(0)).alias("at"))
     first = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
-    later = windows.join(common.written(first), "key").where(place > F.col("first"))
+    later = windows.join(common.written(first).hint("merge"), "key").where(place > F.col("first"))
     return later.select("__line_doc", "__line_text", F.explode("ats").alias("at"))
 
 
@@ -83,7 +83,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, long: int = LONG, counts
     keyed = docs.withColumns({"__line_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__line_text": F.xxhash64("text")})
     parsed = keyed.select("__line_doc", "__line_text", numbered(F.col("text")).alias("__lines"))
     gone = repeated_lines(parsed, window, long).groupBy("__line_doc", "__line_text").agg(F.collect_set("at").alias("__line_gone"))
-    both = keyed.join(gone, ["__line_doc", "__line_text"], "left")
+    both = keyed.join(gone.hint("merge"), ["__line_doc", "__line_text"], "left")
 
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_gone"))

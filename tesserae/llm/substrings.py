@@ -150,8 +150,8 @@ def last_digit(t: int = T):
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One pass: (runs of repeated windows; one run for each text of digits with several texts)."""
     shared = rows.groupBy("h").agg(F.count("*").alias("k"), F.min("cls").alias("a"), F.max("cls").alias("b")).where("k > 1").select("h", F.expr("a <> b").alias("several"))
-    # Written, so that both sides of the join are plain exchanges, which adaptive execution can split.
-    kept = common.written(rows.join(common.written(shared), "h"))
+    # Written and merged, so that both sides are plain exchanges, which adaptive execution can split, at every size.
+    kept = common.written(rows.join(common.written(shared).hint("merge"), "h"))
     several = kept.where("several")
     texts = several.groupBy("h", "cls").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "first", "n", "lead")).alias("one"))
     texts = common.written(texts)
