@@ -13,11 +13,10 @@ lost:
    leaves the prefixes, and what is left is pruned again.
 3. Each remaining prefix token is a row of the matrix; its columns are the documents that have
    it. Rows of up to ``NARROW`` documents give their pairs of fitting sizes. Wide rows, which
-   families of copies make, are not expanded: in a few rounds their documents are compared
-   with one leader a row, and linked documents become one group. Of a row's groups only
-   different ones are looked at further: a document's overlap with the union of a group's
-   tokens bounds its overlap with all members, and only groups that reach the needed overlap
-   are opened.
+   families of copies make, are not expanded: likely links join their documents in groups
+   first, and the family's documents are packed in blocks, similar ones together. A document's
+   overlap with the union of a block's tokens bounds its overlap with all its documents, and
+   only blocks that reach the needed overlap, and are not in its group already, are opened.
 4. Pairs are verified on whole sets; links make components by label propagation.
 
 The common tokens are sent to the workers as one sorted array of at most ``COMMON`` hashes: the
@@ -35,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -43,8 +42,8 @@ from . import common
 WORDS, SIMILARITY = 5, 80
 #: Columns of a matrix row that are paired at once; documents from which on a token is common; bound of the common tokens.
 NARROW, OFTEN, COMMON = 24, 20, 500_000
-#: Rounds with one leader a wide row; sets that are compared with as many others at once.
-ROUNDS, BLOCK = 4, 64
+#: Chains that look for likely links in wide rows; sets that are compared with as many others at once.
+CHAINS, BLOCK = 6, 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -213,86 +212,80 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, "token").where(fits).select("a", "b").distinct()
 
 
-def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows with the group (component of the links so far) of their document."""
-    held = components(links)
-    return rows.join(held, rows.doc_id == held.id, "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("grp"))
+def _chained(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are likely to link: neighbours among documents with the same minimum of a hash of their tokens."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = np.random.default_rng(3).integers(1, 1 << 63, CHAINS + 2, dtype=np.uint64) | np.uint64(1)
+        for block in common.blocks(batches, "tokens", 1 << 20):
+            low = []
+            for t in block.column(1).to_pylist():
+                x = np.frombuffer(t, np.uint64)
+                mixed = (x[:, None] ^ (x[:, None] >> np.uint64(29))) * salts
+                low.append((mixed ^ (mixed >> np.uint64(32))).min(0).view(np.int64))
+            low = np.array(low)
+            ids = block.column(0).to_numpy()
+            n = len(ids)
+            cols = [np.tile(ids, CHAINS), np.repeat(np.arange(CHAINS), n), *(np.concatenate([low[:, k + j] for k in range(CHAINS)]) for j in range(3))]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["doc_id", "chain", "m0", "m1", "m2"])
+
+    rows = sets.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "tokens").mapInArrow(work, "doc_id long, chain long, m0 long, m1 long, m2 long")
+    w = Window.partitionBy("chain", "m0").orderBy("m1", "m2", "doc_id")
+    pairs = rows.withColumn("other", F.lag("doc_id").over(w)).where("other IS NOT NULL")
+    return pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
 def _wide_links(wide: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """All links that wide rows hide, added to ``links``."""
-    for turn in range(ROUNDS):
-        rows = common.written(_grouped(wide, links))
-        pick = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "grp"))
-        lead = rows.groupBy("token").agg(pick.alias("lead"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("token", "lead")
-        lead = common.written(lead)
-        if not lead.limit(1).count():
-            return links
-        open_rows = rows.join(lead, "token").where(F.col("grp") != F.col("lead.grp"))
-        fits = (F.col("n") * 100 >= F.col("lead.n") * SIMILARITY) & (F.col("lead.n") * 100 >= F.col("n") * SIMILARITY)
-        pairs = open_rows.where(fits).select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b")).distinct()
-        links = common.written(links.unionAll(verified(pairs, sets)), 500)
-    return common.written(links.unionAll(_opened(wide, links, sets)), 32)
-
-
-def _opened(wide: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of documents to members of other groups in their rows, where the group's union has enough of the document's tokens.
-
-    Of two groups the smaller one's documents ask. Those that ask a group, and its members,
-    are packed in blocks of ``BLOCK`` sets, and blocks are compared with blocks, so a set is
-    moved once for each block that it meets, not once for each pair.
+    """``links`` and all links that wide rows hide, but for those within groups that are linked already.
+
+    Documents that wide rows connect are a family. Likely links, found by chains, make groups
+    in it. A family's sets are packed in blocks, group by group. Blocks are compared with
+    blocks, unless both lie in one group; there a set is compared with a block's sets only if
+    the union of the block's tokens has enough of its own. A set moves once for each slice of
+    blocks that it meets.
     """
-    rows = common.written(_grouped(wide, links))
-    members = rows.select("doc_id", "n", "grp").distinct()
-    groups = common.written(members.groupBy("grp").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most")))
-    several = rows.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("token")
-    rows = common.written(rows.join(common.written(several), "token").join(groups.select("grp", "size"), "grp"))
-    others = rows.select("token", F.col("grp").alias("other"), F.col("size").alias("others")).distinct()
-    asked = rows.join(others, "token").where(F.struct("size", "grp") < F.struct(F.col("others").alias("size"), F.col("other").alias("grp")))
-    asked = asked.select("doc_id", "n", "other").distinct().join(groups.withColumnRenamed("grp", "other"), "other")
-    asked = common.written(asked.where((F.col("least") * SIMILARITY <= F.col("n") * 100) & (F.col("most") * 100 >= F.col("n") * SIMILARITY)).select("doc_id", "n", "other", "size"))
-
-    def tokens_of(ids: DataFrame) -> DataFrame:
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in common.blocks(batches, "tokens", 1 << 20):
-                parts = [np.frombuffer(t, np.int64) for t in block.column(1).to_pylist()]
-                row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), block.column(0).take(pa.array(row))], names=["t", "doc"])
-
-        return ids.join(sets.select(F.col("doc_id").alias("doc"), "tokens"), "doc").select("doc", "tokens").mapInArrow(work, "t long, doc long")
-
-    wanted = asked.select(F.col("other").alias("grp")).distinct()
-    members = common.written(members.join(wanted, "grp", "left_semi"))
-    union = tokens_of(members.select(F.col("doc_id").alias("doc"))).join(members.select(F.col("doc_id").alias("doc"), "grp"), "doc").select("t", F.col("grp").alias("other")).distinct()
-    own = tokens_of(asked.select(F.col("doc_id").alias("doc")).distinct()).join(asked, F.col("doc") == F.col("doc_id"))
-    bound = own.join(union, ["t", "other"]).groupBy("doc_id", "n", "other").agg(F.count("*").alias("at_most"))
-    fit = common.written(bound.where(F.col("at_most") * 100 >= F.col("n") * SIMILARITY).select("doc_id", "other"))
-
-    def packed(docs: DataFrame, group: str, into: str) -> DataFrame:
-        counts = docs.groupBy(group).agg(F.count("*").alias("size"))
-        block = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.ceil(F.col("size") / BLOCK))
-        full = docs.join(common.written(counts), group).join(sets.select("doc_id", "tokens"), "doc_id")
-        return full.groupBy(F.col(group).alias("grp"), block.alias("block")).agg(F.collect_list(F.struct("doc_id", "tokens")).alias(into)).select("grp", into)
-
-    met = packed(fit, "other", "x").join(packed(members.select("doc_id", "grp"), "grp", "y"), "grp").select("x", "y")
+    lead = common.written(wide.groupBy("token").agg(F.min("doc_id").alias("b")))
+    family = common.written(components(wide.join(lead, "token").select(F.col("doc_id").alias("a"), "b").distinct()))
+    docs = family.select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    links = common.written(links.unionAll(verified(common.written(_chained(docs, sets)), sets)), 500)
+    held = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
+    docs = docs.join(held, "doc_id", "left").select("doc_id", "family", F.coalesce("grp", "doc_id").alias("grp"))
+    several = docs.groupBy("family").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.count("*").alias("size")).where("g0 <> g1").select("family", "size")
+    docs = common.written(docs.join(several, "family"))
+    place = F.floor((F.row_number().over(Window.partitionBy("family").orderBy("grp", "doc_id")) - 1) / BLOCK)
+    placed = common.written(docs.withColumn("block", place)).join(sets.select("doc_id", "tokens"), "doc_id")
+    blocks = placed.groupBy("family", "block", F.ceil(F.col("size") / (BLOCK * BLOCK / 4)).alias("slices")).agg(
+        F.collect_list(F.struct("doc_id", "grp", "tokens")).alias("rows"), F.min("grp").alias("g0"), F.max("grp").alias("g1")
+    )
+    blocks = common.written(blocks, 32)
+    x = blocks.select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"), F.col("block").alias("i"), F.col("rows").alias("x"), F.col("g0").alias("x0"), F.col("g1").alias("x1"))
+    y = blocks.select("family", F.pmod("block", "slices").alias("slice"), F.col("block").alias("j"), F.col("rows").alias("y"), F.col("g0").alias("y0"), F.col("g1").alias("y1"))
+    met = x.join(y.hint("merge"), ["family", "slice"]).where("i <= j AND NOT (x0 = x1 AND y0 = y1 AND x0 = y0)").select("x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 x, y = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 parts = [np.frombuffer(z["tokens"], np.uint64) for z in y]
-                sizes = np.array([len(z) for z in parts])
+                sizes, groups, ids = (np.array(c, np.int64) for c in ([len(z) for z in parts], [z["grp"] for z in y], [z["doc_id"] for z in y]))
                 tokens, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+                union = np.unique(tokens)
                 out: list[tuple[int, int]] = []
                 for z in x:
+                    if (groups == z["grp"]).all():
+                        continue
                     mine = np.sort(np.frombuffer(z["tokens"], np.uint64))
+                    held = union[np.minimum(np.searchsorted(union, mine), len(union) - 1)] == mine
+                    if held.sum() < least_overlap(len(mine)):
+                        continue
                     hit = mine[np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)] == tokens
                     same = np.bincount(owner[hit], minlength=len(parts))
-                    out += [(z["doc_id"], y[j]["doc_id"]) for j in np.flatnonzero(100 * same >= SIMILARITY * (len(mine) + sizes - same)).tolist()]
+                    good = (100 * same >= SIMILARITY * (len(mine) + sizes - same)) & (groups != z["grp"])
+                    out += [(z["doc_id"], j) for j in ids[good].tolist()]
                 cols = [np.array(c, np.int64) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*cols)), pa.array(np.maximum(*cols))], names=["a", "b"])
 
-    return met.mapInArrow(compare, "a long, b long").where("a <> b")
+    return common.written(links.unionAll(met.mapInArrow(compare, "a long, b long")), 8)
 
 
 def _common_tokens(shared: DataFrame) -> np.ndarray:
