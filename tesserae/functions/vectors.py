@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,7 +65,6 @@ def signature(text: Column) -> Column:
     import re
 
     import numpy as np
-    import pandas as pd
 
     signs = np.array(planes(), np.int32)
     word = re.compile(r"[a-z][a-z0-9_-]{1,}")
