@@ -71,3 +71,30 @@ def reconciled(claimed: DataFrame, actual: DataFrame) -> DataFrame:
     real = actual.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.array_join(F.sort_array(F.collect_set("scope")), ",").alias("scopes"))
     c = claimed.select("user_id", F.col("n").alias("cn"), F.col("last_ts").alias("cl"), F.col("scopes").alias("cs"))
     return c.join(real, "user_id", "left").select("user_id", (F.col("cn").eqNullSafe(F.col("n")) & F.col("cl").eqNullSafe(F.col("last_ts")) & F.col("cs").eqNullSafe(F.col("scopes"))).alias("agrees"))
+
+
+def eligible_steps(steps: DataFrame, level: str, gates: dict[str, bool]) -> DataFrame:
+    """Steps (name, level, requires) of the level, or of level:curation, whose gates are open; an unknown gate is open."""
+    open_gates = F.create_map(*[F.lit(x) for pair in gates.items() for x in pair]) if gates else F.expr("cast(map() as map<string,boolean>)")
+    wanted = F.col("level").isin(level, f"{level}:curation")
+    return steps.where(wanted & F.forall("requires", lambda g: F.coalesce(open_gates[g], F.lit(True))))
+
+
+def failed_essentials(essential: DataFrame, results: DataFrame) -> DataFrame:
+    met = essential.join(results, "name", "left")
+    return met.where(F.col("status").isNull() | F.col("status").isin("failed", "timeout", "pending")).select("name", F.coalesce("status", F.lit("missing")).alias("status"))
+
+
+def proposal(line: Column) -> Column:
+    """VERB key="value" ...: verb and map of values, null for another shape."""
+    pairs = F.regexp_extract_all(line, F.lit(r'(\w+)="((?:[^"\\]|\\.)*)"'), F.lit(0))
+    entries = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^(\w+)=", 1).alias("k"), F.regexp_replace(F.regexp_extract(p, r'(?s)^\w+="(.*)"$', 1), r"\\(.)", "$1").alias("v")))
+    verb = F.regexp_extract(line, r"^\s*([A-Z]+)\b", 1)
+    return F.when((F.length(verb) > 0) & (F.size(pairs) > 0) & (F.size(F.array_distinct(F.transform(entries, lambda e: e.k))) == F.size(entries)), F.struct(verb.alias("verb"), F.map_from_entries(entries).alias("fields")))
+
+
+def last_lines(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(by).orderBy(F.desc(order))
+    return rows.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")

@@ -93,3 +93,35 @@ def missing_days(days: DataFrame, start: str, end: str) -> DataFrame:
 def quarter_bounds(day: Column) -> tuple[Column, Column]:
     first = F.date_trunc("quarter", day).cast("date")
     return first, F.date_sub(F.add_months(first, 3), 1)
+
+
+def period_of(name: Column) -> tuple[Column, Column, Column]:
+    """(kind, first day, last day) of a summary's file name: 2024-01-31-0815.md, 2024-W05.md, 2024-Q1.md; nulls for others."""
+    day = F.try_to_date(F.regexp_extract(name, r"^(\d{4}-\d{2}-\d{2})-\d{4}\.md$", 1))
+    week = F.regexp_extract(name, r"^(\d{4})-W(\d{2})\.md$", 2).try_cast("int")
+    year = F.regexp_extract(name, r"^(\d{4})-[WQ]", 1)
+    fourth = F.try_to_date(F.concat(year, F.lit("-01-04")))
+    monday = F.date_add(F.date_trunc("week", fourth).cast("date"), (week - 1) * 7)
+    quarter = F.regexp_extract(name, r"^\d{4}-Q([1-4])\.md$", 1).try_cast("int")
+    first = F.add_months(F.try_to_date(F.concat(year, F.lit("-01-01"))), (quarter - 1) * 3)
+    kind = F.when(day.isNotNull(), "daily").when(week.isNotNull(), "weekly").when(quarter.isNotNull(), "quarterly")
+    start = F.coalesce(day, F.when(week.isNotNull(), monday), F.when(quarter.isNotNull(), first))
+    end = F.coalesce(day, F.when(week.isNotNull(), F.date_add(monday, 6)), F.when(quarter.isNotNull(), F.date_sub(F.add_months(first, 3), 1)))
+    return kind, start, end
+
+
+def superseded(current: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(current rows after the edits, closed revisions, scoped exceptions).
+
+    An edit (id, expected_revision, content, scope, day) of the row's own scope closes it and
+    raises its revision if the expected one holds; one of another scope leaves it and adds an
+    exception that names it.
+    """
+    tried = edits.select("id", "expected_revision", F.col("content").alias("__content"), F.col("scope").alias("__scope"), "day")
+    met = current.join(tried, "id", "left")
+    fits = F.coalesce(F.col("expected_revision") == F.col("revision"), F.lit(False))
+    same = fits & F.col("__scope").eqNullSafe(F.col("scope"))
+    after = met.select("id", F.when(same, F.col("__content")).otherwise(F.col("content")).alias("content"), "scope", (F.col("revision") + same.cast("int")).alias("revision"), F.when(same, F.col("day")).otherwise(F.col("valid_from")).alias("valid_from"))
+    closed = met.where(same).select("id", "content", "scope", "revision", "valid_from", F.col("day").alias("valid_to"))
+    exceptions = met.where(fits & ~F.col("__scope").eqNullSafe(F.col("scope"))).select(F.col("id").alias("exception_of"), F.col("__content").alias("content"), F.col("__scope").alias("scope"), F.col("day").alias("valid_from"))
+    return after, closed, exceptions

@@ -18,6 +18,7 @@ from .operators import operational as O
 from .operators import retrieval as R
 from .operators import temporal as P
 from .plans import recall
+from .sources import sinks
 from .sources.tables import MESSAGES_SQL, messages, table, within_budget
 from .streaming import streams as S
 
@@ -809,3 +810,107 @@ def streamed_weeks(s, d):
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def streamed_first_seen(s, d):
     return S.drained(S.first_seen(_stream(s, d).select("ts", "event_type", "user_id"), ["event_type", "user_id"], "3650 days").select("event_type", "user_id"), "tesserae_first")
+
+
+# -- writes, selection and parsing ---------------------------------------------
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+def insert_or_ignore(s, d):
+    return sinks.inserted(table(s, d, "documents").where("doc_id % 2 = 0").select("doc_id"), table(s, d, "labels").select("doc_id"), ["doc_id"])
+
+
+@query("""WITH b AS (SELECT vec_id, label AS version, 0 AS n FROM embeddings UNION ALL SELECT vec_id, 5, 1 FROM embeddings WHERE vec_id % 3 = 0)
+SELECT vec_id, version FROM b QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY version DESC, n DESC) = 1""")
+def vector_upsert(s, d):
+    old = table(s, d, "embeddings").select("vec_id", F.col("label").alias("version"))
+    return sinks.upserted(old, old.where("vec_id % 3 = 0").withColumn("version", F.lit(5)), ["vec_id"], "version")
+
+
+@query("SELECT s_suppkey, s_name AS opened FROM supplier")
+def sealed_values(s, d):
+    key = F.lit("0123456789abcdef").cast("binary")
+    rows = table(s, d, "supplier").withColumn("c", sinks.sealed(F.col("s_name"), key, F.lit("label")))
+    return rows.select("s_suppkey", sinks.unsealed(F.col("c"), key, F.lit("label")).alias("opened"))
+
+
+@query("""SELECT DISTINCT o_orderdate::DATE AS day, CASE extract(day FROM o_orderdate) % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' ELSE 'quarterly' END AS kind,
+CASE extract(day FROM o_orderdate) % 3 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN date_trunc('week', o_orderdate)::DATE ELSE date_trunc('quarter', o_orderdate)::DATE END AS first,
+CASE extract(day FROM o_orderdate) % 3 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN date_trunc('week', o_orderdate)::DATE + 6 ELSE (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH)::DATE - 1 END AS last FROM orders""")
+def file_periods(s, d):
+    day = F.to_date("o_orderdate")
+    iso = F.concat(F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"), F.lit(".md"))
+    name = F.when(F.dayofmonth(day) % 3 == 0, F.concat(day.cast("string"), F.lit("-0815.md"))).when(F.dayofmonth(day) % 3 == 1, iso).otherwise(F.concat(F.year(day).cast("string"), F.lit("-Q"), F.quarter(day).cast("string"), F.lit(".md")))
+    kind, first, last = P.period_of(F.col("name"))
+    return table(s, d, "orders").select(day.alias("day"), name.alias("name")).distinct().select("day", kind.alias("kind"), first.alias("first"), last.alias("last"))
+
+
+SUPERSEDE_SQL = "cu AS (SELECT p_partkey AS id, p_name AS content, p_brand AS scope, 1 + p_partkey % 2 AS revision FROM part)"
+
+
+def _superseded(s, d):
+    p = table(s, d, "part")
+    cur = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("content"), F.col("p_brand").alias("scope"), (1 + F.col("p_partkey") % 2).cast("int").alias("revision"), F.to_date(F.lit("2020-01-01")).alias("valid_from"))
+    edits = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.lit(1).alias("expected_revision"), F.lit("new").alias("content"), F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise("other").alias("scope"), F.to_date(F.lit("2024-01-01")).alias("day"))
+    return P.superseded(cur, edits)
+
+
+@query(f"WITH {SUPERSEDE_SQL} SELECT id, CASE WHEN e THEN 'new' ELSE content END AS content, revision + e::INT AS revision FROM (SELECT cu.*, (id % 3 = 0 AND revision = 1 AND p_size > 25) AS e FROM cu JOIN part ON p_partkey = id)")
+def superseded_facts(s, d):
+    return _superseded(s, d)[0].select("id", "content", "revision")
+
+
+@query("SELECT p_partkey AS exception_of, 'other' AS scope FROM part WHERE p_partkey % 6 = 0 AND p_size <= 25")
+def scoped_exceptions(s, d):
+    return _superseded(s, d)[2].select("exception_of", "scope")
+
+
+@query("""WITH c AS (SELECT 1 AS query_id, s_suppkey AS of, s_nationkey AS scope FROM supplier WHERE s_suppkey % 4 = 0),
+o AS (SELECT s_suppkey AS fact_id, s_nationkey AS scope, CASE WHEN s_suppkey % 2 = 0 THEN 'user' ELSE 'model' END AS authority, s_suppkey - s_suppkey % 4 AS exception_of FROM supplier),
+n AS (SELECT query_id, of, fact_id, 0 AS kind FROM o JOIN c ON exception_of = of UNION ALL SELECT query_id, of, fact_id, 1 FROM o JOIN c ON o.scope = c.scope WHERE authority = 'user' AND fact_id <> of),
+f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id, of, kind ORDER BY fact_id) <= 4), x AS (SELECT query_id, fact_id, min(kind) AS kind FROM f GROUP BY 1, 2)
+SELECT query_id::BIGINT AS query_id, fact_id, kind FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY kind, fact_id) <= 8""")
+def required_evidence(s, d):
+    sup = table(s, d, "supplier")
+    chosen = sup.where("s_suppkey % 4 = 0").select(F.lit(1).cast("bigint").alias("query_id"), F.col("s_suppkey").alias("fact_id"), F.col("s_nationkey").alias("scope"))
+    others = sup.select(F.col("s_suppkey").alias("fact_id"), F.col("s_nationkey").alias("scope"), F.when(F.col("s_suppkey") % 2 == 0, "user").otherwise("model").alias("authority"), (F.col("s_suppkey") - F.col("s_suppkey") % 4).alias("exception_of"))
+    return R.required_evidence(chosen, others)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS k, length(content) AS z FROM ({MESSAGES_SQL})),
+c AS (SELECT session_id, id, k, CASE WHEN z <= 300 THEN z ELSE 0 END AS used, z <= 300 AS taken FROM e WHERE k = 1 UNION ALL
+SELECT e.session_id, e.id, e.k, c.used + CASE WHEN c.used + e.z <= 300 THEN e.z ELSE 0 END, c.used + e.z <= 300 FROM c JOIN e ON e.session_id = c.session_id AND e.k = c.k + 1)
+SELECT session_id, id FROM c WHERE taken""")
+def greedy_budget(s, d):
+    return R.greedy_fill(messages(s, d).withColumn("z", F.length("content")), 300, "session_id", "id", "z")
+
+
+@query("""SELECT DISTINCT doc_id AS proposal_id, item_id AS quote_id FROM (SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 20 AND 3000), (SELECT item_id, substr(text, 1, 80) AS q FROM benchmark)
+WHERE len(list_filter(generate_series(1, length(q) - 19), lambda i: contains(text, substr(q, i, 20)))) > 0""")
+def verbatim_support(s, d):
+    quotes = table(s, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    props = table(s, d, "documents").where("length(text) BETWEEN 20 AND 3000").select(F.col("doc_id").alias("proposal_id"), F.col("text").alias("proposal"))
+    return R.verbatim_support(quotes, props)
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS name FROM part")
+def proposal_lines(s, d):
+    line = F.when(F.col("p_partkey") % 3 == 0, F.lit("no proposal here")).otherwise(F.concat(F.lit('STORE id="'), F.col("p_partkey").cast("string"), F.lit('" name="'), F.col("p_name"), F.lit('"')))
+    return table(s, d, "part").select("p_partkey", M.proposal(line).alias("m")).select("p_partkey", F.col("m.fields")["name"].alias("name"))
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey IN (0, 1) AND n_nationkey % 2 = 0")
+def eligible_steps(s, d):
+    level = F.when(F.col("n_regionkey") == 0, "nightly").when(F.col("n_regionkey") == 1, "nightly:curation").otherwise("weekly")
+    steps = table(s, d, "nation").select(F.col("n_name").alias("name"), level.alias("level"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("llm"), F.lit("unknown"))).otherwise(F.array(F.lit("closed"))).alias("requires"))
+    return M.eligible_steps(steps, "nightly", {"llm": True, "closed": False}).select("name")
+
+
+@query("SELECT n_name AS name, CASE n_regionkey WHEN 0 THEN 'failed' WHEN 1 THEN 'timeout' ELSE 'missing' END AS status FROM nation WHERE n_regionkey IN (0, 1, 4)")
+def failed_essentials(s, d):
+    n = table(s, d, "nation")
+    status = F.when(F.col("n_regionkey") == 0, "failed").when(F.col("n_regionkey") == 1, "timeout").otherwise("ok")
+    return M.failed_essentials(n.select(F.col("n_name").alias("name")), n.where("n_regionkey <> 4").select(F.col("n_name").alias("name"), status.alias("status")))
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5")
+def rolling_log(s, d):
+    return M.last_lines(table(s, d, "events").select("user_id", "event_id"), "user_id", "event_id", 5)
