@@ -281,7 +281,9 @@ def _wide_links(wide: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame
                     hit = mine[np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)] == tokens
                     same = np.bincount(owner[hit], minlength=len(parts))
                     good = (100 * same >= SIMILARITY * (len(mine) + sizes - same)) & (groups != z["grp"])
-                    out += [(z["doc_id"], j) for j in ids[good].tolist()]
+                    # One link to each group is enough for the components.
+                    _, first = np.unique(groups[good], return_index=True)
+                    out += [(z["doc_id"], j) for j in ids[good][first].tolist()]
                 cols = [np.array(c, np.int64) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*cols)), pa.array(np.maximum(*cols))], names=["a", "b"])
 
@@ -318,7 +320,7 @@ def joined(docs: DataFrame) -> DataFrame:
     alive = common.written(counts.join(reps.select(F.col("rep").alias("doc_id"), "n"), "doc_id").where(F.col("k") >= _needed(F.col("n"))).select("doc_id"))
     often = _common_tokens(shared)
     common.dropped(shared)
-    sets = common.written(_sets(texts.join(alive, "doc_id", "left_semi"), often), 500)
+    sets = common.written(_sets(texts.join(alive.hint("merge"), "doc_id", "left_semi"), often), 500)
     if members.count() != members.select("doc_id").distinct().count():  # rows that repeat an id
         sets = common.written(sets.dropDuplicates(["doc_id"]), 500)
 
@@ -341,7 +343,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the smallest id of their group, and those without an id or tokens, with all their columns."""
     found = joined(docs)
     others = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(common.written(others), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.join(common.written(others).hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
