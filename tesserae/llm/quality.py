@@ -9,8 +9,9 @@ than chance. Documents are drawn without replacement by Gumbel top-k: the k larg
 whose weight clears the threshold that separates the labelled documents best.
 
 What is fitted on a bounded sample: the target model and the threshold, on at most
-``LABELLED`` labelled rows (lowest hash of the id first, whatever the table's size). The raw
-model, the weights, k and the draw cover all documents. The models are ``BUCKETS`` counters
+``LABELLED`` labelled rows (lowest hash of the id first, whatever the table's size). One of
+``FOLDS`` of them sets the threshold and takes no part in the models, since documents fit a
+model that has seen them too well. The raw model, the weights, k and the draw cover all documents. The models are ``BUCKETS`` counters
 each, a fixed size, so their broadcast does not grow with the corpus.
 
 Null and empty texts have no n-grams and weight 0. A document is drawn on its own id and
@@ -32,12 +33,12 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 20
-#: Bound of the labelled sample.
-LABELLED = 20_000
+#: Bound of the labelled sample, and its parts, one of which sets the threshold.
+LABELLED, FOLDS = 20_000, 4
 #: Raw documents below which a bucket says nothing; prior count; standard errors that count as more than chance.
 MIN_COUNT, PRIOR, CHANCE = 8, 0.5, 3.0
 #: Small: the draw follows the weights closely.
-TEMPERATURE = 0.1
+TEMPERATURE = 0.02
 
 #: Bytes of the word beginnings that count as n-grams; levels (2, 4, 8, ...) of words that repeat the word before.
 PREFIXES, REPEATS = (4, 5, 6), 12
@@ -105,10 +106,10 @@ class Features:
 
 
 def labelled_sample(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
-    """(id, good) of at most ``bound`` labelled documents, lowest hash of the id first."""
+    """(doc_id, good, fold) of at most ``bound`` labelled documents, lowest hash of the id first."""
     good = F.min(F.when((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 1).otherwise(0))
     usable = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
-    return usable.groupBy("doc_id").agg(good.alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return usable.groupBy("doc_id").agg(good.alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
 
 
 class Models:
@@ -222,12 +223,15 @@ def kth_largest(keys: DataFrame, column: str, k: int, small: int = 10_000) -> fl
 def fitted(docs: DataFrame, labels: DataFrame):
     """(log ratios, key that a document must reach, scored table or None). The scored table has doc_id, log_weight and key of every row."""
     spark = docs.sparkSession
-    sample = {r.doc_id: r.good for r in labelled_sample(labels).collect()}
-    ratio = counted(docs, sample).log_ratio()
+    rows = labelled_sample(labels).collect()
+    seen, held = ({r.doc_id: r.good for r in rows if (r.fold == 0) == out} for out in (False, True))
+    if len(set(held.values())) < 2 or not any(seen.values()):  # too few labels to hold any out
+        seen = held = seen | held
+    ratio = counted(docs, seen).log_ratio()
     if not ratio.any():
         return ratio, None, None
     scored = common.written(docs.select("doc_id", weight_column(spark, ratio).alias("log_weight")).withColumn("key", draw_key(F.col("log_weight"))))
-    ids = spark.createDataFrame([(i, g) for i, g in sample.items()], "doc_id long, good int")
+    ids = spark.createDataFrame(list(held.items()), "doc_id long, good int")
     labelled = scored.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("log_weight"), F.min("good")).collect()  # at most LABELLED
     at = separating(np.array([r[1] for r in labelled]), np.array([r[2] for r in labelled], bool))
     k = scored.where(F.col("log_weight") >= at).count()
