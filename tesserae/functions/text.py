@@ -234,3 +234,13 @@ def hmac_digest(text: Column, key: str) -> Column:
     inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in block).hex())) for pad in (0x36, 0x5C))
     normal = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(normal, "UTF-8")), 256))), 256)
+
+
+def rendered(version: str, code: Column, topic: Column, feeling: Column, content: Column) -> Column:
+    """One line of a memory: plain text, or with its kind, topic and feeling in front."""
+    named = F.coalesce(topic, F.lit("general"))
+    if version == "plain":
+        return content
+    if version == "v0":
+        return F.concat(F.lit("["), turn_type_name(code), F.lit("] "), content)
+    return F.concat(F.coalesce(code, F.lit("F")), F.lit("|"), named, F.when(feeling.isNotNull(), F.concat(F.lit("|"), feeling)).otherwise(""), F.lit(": "), content)

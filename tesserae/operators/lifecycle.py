@@ -75,3 +75,34 @@ def published(spark, tables: dict[str, DataFrame], path: str, generation: int, c
             raise ValueError(f"generation {generation}: {name} fails its check")
     spark.createDataFrame([(generation,)], "generation int").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/current")
     return base
+
+
+def contradiction_candidates(facts: DataFrame, index: DataFrame, per: int = 20, words: int = 3) -> DataFrame:
+    """(fact_id, other_id): other facts of the user that share one of the first long words of a fact, the closest first.
+
+    facts: fact_id, user_id, text; index: term, fact_id, user_id.
+    """
+    from .retrieval import terms_of
+
+    long = F.slice(F.array_distinct(F.filter(terms_of(F.col("text")), lambda w: F.length(w) > 3)), 1, words)
+    asked = facts.select("fact_id", "user_id", F.explode(long).alias("term"))
+    hits = asked.join(index.select("term", "user_id", F.col("fact_id").alias("other_id")), ["term", "user_id"]).where("fact_id <> other_id")
+    counted = hits.groupBy("fact_id", "other_id").agg(F.count("*").alias("shared"))
+    w = Window.partitionBy("fact_id").orderBy(F.desc("shared"), "other_id")
+    return counted.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per).drop("k")
+
+
+def first_in_window(rows: DataFrame, key: str, ms: int) -> DataFrame:
+    """Rows that are recorded when a row is skipped if one of its key was recorded less than ``ms`` before it.
+
+    What is recorded depends on what was recorded before, so times are folded in order per
+    key; only times and ids enter the fold.
+    """
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "id"))).alias("rows"))
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, r: Column) -> Column:
+        new = acc.last.isNull() | (r.ts - acc.last >= ms)
+        return F.struct(F.when(new, r.ts).otherwise(acc.last).cast("bigint").alias("last"), F.when(new, F.concat(acc.out, F.array(r.id))).otherwise(acc.out).alias("out"))
+
+    return listed.select(F.explode(F.aggregate("rows", start, step, lambda a: a.out)).alias("id"))

@@ -17,6 +17,7 @@ from .operators import maintenance as M
 from .operators import operational as O
 from .operators import retrieval as R
 from .operators import temporal as P
+from .operators import visibility as Z
 from .plans import recall
 from .sources import sinks
 from .sources.tables import MESSAGES_SQL, messages, table, within_budget
@@ -917,3 +918,112 @@ def failed_essentials(s, d):
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5")
 def rolling_log(s, d):
     return M.last_lines(table(s, d, "events").select("user_id", "event_id"), "user_id", "event_id", 5)
+
+
+# -- visibility and the rest ---------------------------------------------------
+DOCS_SQL = """dc AS (SELECT d.doc_id, source AS owner, doc_id % 2 AS generation, (doc_id % 4)::INT AS classification, CASE WHEN doc_id % 3 = 0 THEN 'episode' ELSE 'durable' END AS layer, lang AS memory_type,
+CASE WHEN doc_id % 5 = 0 THEN 'general' ELSE 'repo' || doc_id % 5 END AS scope, doc_id * 10 AS moment FROM documents d)"""
+
+
+def _docs(s, d):
+    i = F.col("doc_id")
+    return table(s, d, "documents").select(
+        "doc_id", F.col("source").alias("owner"), (i % 2).alias("generation"), (i % 4).cast("int").alias("classification"), F.when(i % 3 == 0, "episode").otherwise("durable").alias("layer"), F.col("lang").alias("memory_type"),
+        F.when(i % 5 == 0, "general").otherwise(F.concat(F.lit("repo"), (i % 5).cast("string"))).alias("scope"), (i * 10).alias("at"))
+
+
+@query(f"WITH {DOCS_SQL} SELECT doc_id FROM dc WHERE owner = 'src3' AND generation = 1 AND classification <= 2 AND layer = 'durable'")
+def searchable_documents(s, d):
+    return _docs(s, d).where(Z.searchable("src3", 1, 3, durable_only=True)).select("doc_id")
+
+
+@query(f"WITH {DOCS_SQL} SELECT doc_id FROM dc WHERE classification <= 2 AND (classification <= 1 OR owner = 'src3')")
+def shared_or_owned_documents(s, d):
+    return _docs(s, d).where(Z.shared_or_owned("src3", 2)).select("doc_id")
+
+
+@query("SELECT count(*) AS n FROM documents WHERE 1 = 0")
+def nobody_sees_nothing(s, d):
+    return _docs(s, d).where(Z.shared_or_owned(None, 3)).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {DOCS_SQL} SELECT doc_id FROM dc WHERE (layer = 'episode' OR memory_type = 'en') AND scope IN ('repo2', 'general') AND moment BETWEEN 100 AND 5000")
+def narrowed_documents(s, d):
+    return _docs(s, d).where(Z.narrowed("en", "repo2", 100, 5000)).select("doc_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 4 <= 2 AND c_custkey % 5 <> 0 AND (c_custkey % 3 = 0 OR DATE '2024-01-01' + (c_custkey % 60)::INT > DATE '2024-01-31')")
+def eligible_facts(s, d):
+    k = F.col("c_custkey")
+    c = table(s, d, "customer").select(k, F.when(k % 7 == 0, k).alias("superseded_by"), (k % 4).alias("classification"), (k % 5 == 0).alias("encrypted"), F.when(k % 3 != 0, F.date_add(F.to_date(F.lit("2024-01-01")), (k % 60).cast("int"))).alias("valid_to"))
+    return c.where(Z.eligible("2024-01-31")).select("c_custkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 4 IN (0, 1, 3)")
+def consumed_sessions(s, d):
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, "u_A_1").when(k % 4 == 1, "").when(k % 4 == 2, "a_b_c").otherwise("a_b")
+    return table(s, d, "part").where(Z.consumed_scope(name)).select("p_partkey")
+
+
+@query(f"""{MSG}, x AS (SELECT id AS excerpt_id, user_id AS owner, substr(trim(content), 1, 60) AS h FROM m WHERE length(substr(trim(content), 1, 60)) >= 40)
+SELECT DISTINCT excerpt_id FROM x WHERE EXISTS (SELECT 1 FROM m WHERE m.user_id = x.owner AND m.id % 2 = 0 AND contains(m.content, h)) AND NOT EXISTS (SELECT 1 FROM m WHERE m.user_id = x.owner AND m.id % 2 = 1 AND contains(m.content, h))""")
+def superseded_retellings(s, d):
+    m = messages(s, d).select(F.col("user_id").alias("owner"), F.col("id").alias("excerpt_id"), "content")
+    return Z.retold(m.withColumn("excerpt", F.substring(F.trim("content"), 1, 60)).drop("content"), m.where("excerpt_id % 2 = 0"), m.where("excerpt_id % 2 = 1"))
+
+
+@query(f"{MSG}, v AS (SELECT user_id, substr(content, 1, 12) AS value FROM m WHERE turn_of = 0) SELECT id FROM m WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.user_id = m.user_id AND contains(m.content, v.value))".replace("turn_of = 0", "id % 1000 = 0"))
+def sealed_value_purge(s, d):
+    m = messages(s, d)
+    return Z.without_value(m, m.where("id % 1000 = 0").select("user_id", F.substring("content", 1, 12).alias("value"))).select("id")
+
+
+@query(f"""WITH f AS (SELECT item_id AS fact_id, item_id % 3 AS user_id, {DOC_TERMS} AS ws FROM benchmark), ix AS (SELECT DISTINCT fact_id, user_id, unnest(ws) AS term FROM f),
+lw AS (SELECT fact_id, user_id, list_filter(ws, lambda w: length(w) > 3) AS l FROM f), dw AS (SELECT fact_id, user_id, term FROM (SELECT fact_id, user_id, unnest(l) AS term, generate_subscripts(l, 1) AS p FROM lw) GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY min(p)) <= 3)
+SELECT a.fact_id, b.fact_id AS other_id, count(*) AS shared FROM dw a JOIN ix b USING (term, user_id) WHERE a.fact_id <> b.fact_id GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a.fact_id ORDER BY shared DESC, b.fact_id) <= 20""")
+def contradiction_candidates(s, d):
+    f = table(s, d, "benchmark").select(F.col("item_id").alias("fact_id"), (F.col("item_id") % 3).alias("user_id"), "text")
+    index = f.select("fact_id", "user_id", F.explode(F.array_distinct(R.terms_of(F.col("text")))).alias("term"))
+    return L.contradiction_candidates(f, index)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT topic, id, ts, row_number() OVER (PARTITION BY topic ORDER BY ts, id) AS k FROM ({EVENTS_SQL})),
+c AS (SELECT topic, id, k, ts AS last, true AS kept FROM e WHERE k = 1 UNION ALL SELECT e.topic, e.id, e.k, CASE WHEN e.ts - c.last >= 86400000 THEN e.ts ELSE c.last END, e.ts - c.last >= 86400000 FROM c JOIN e ON e.topic = c.topic AND e.k = c.k + 1)
+SELECT id FROM c WHERE kept""")
+def near_time_duplicates(s, d):
+    return L.first_in_window(_events(s, d), "topic", 86_400_000)
+
+
+@query(f"WITH l AS ({LINES_SQL}) SELECT doc_id, 'F|' || coalesce(CASE {TOPIC_SQL} END, 'general') || ': ' || content AS line FROM l")
+def rendered_memories(s, d):
+    rows = _lines(s, d)
+    return rows.select("doc_id", T.rendered("v1", F.lit(None).cast("string"), T.turn_topic(F.col("content")), F.lit(None).cast("string"), F.col("content")).alias("line"))
+
+
+@query(f"{MSG}, p AS (SELECT count(*) AS n, min(ts) AS first FROM m WHERE role <> 'system' AND ts > 1000000) SELECT n, n >= 20 AND 9000000 - 1000000 > 3600000 AS due FROM p")
+def pending_trigger(s, d):
+    return messages(s, d).where("role <> 'system' AND ts > 1000000").agg(F.count("*").alias("n")).select("n", ((F.col("n") >= 20) & F.lit(9_000_000 - 1_000_000 > 3_600_000)).alias("due"))
+
+
+@query("SELECT c_custkey, c_name, (SELECT count(*) FROM customer) AS total FROM customer ORDER BY c_custkey DESC LIMIT 20")
+def newest_facts_report(s, d):
+    c = table(s, d, "customer")
+    newest = c.orderBy(F.desc("c_custkey")).limit(20).select("c_custkey", "c_name")
+    return newest.crossJoin(F.broadcast(c.agg(F.count("*").alias("total"))))
+
+
+@query("SELECT layer, owner, count(*) AS n FROM (SELECT source AS owner, CASE WHEN doc_id % 3 = 0 THEN 'episode' ELSE 'durable' END AS layer FROM documents) GROUP BY 1, 2")
+def projection_status(s, d):
+    return _docs(s, d).groupBy("layer", "owner").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'token') OR contains(lower(text), 'licensed') ORDER BY doc_id DESC LIMIT 10")
+def consolidation_search(s, d):
+    t = F.lower("text")
+    return table(s, d, "documents").where(F.contains(t, F.lit("token")) | F.contains(t, F.lit("licensed"))).orderBy(F.desc("doc_id")).limit(10).select("doc_id")
+
+
+@query("SELECT lang AS tier, max_by(doc_id, n_chars * 1000000 + doc_id) AS newest FROM documents GROUP BY 1")
+def latest_by_tier(s, d):
+    return table(s, d, "documents").groupBy(F.col("lang").alias("tier")).agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("newest"))
