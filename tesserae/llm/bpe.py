@@ -235,6 +235,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", keep:
     file need not exist on executors. No shuffle: a row's result depends on the row alone.
     """
     spark = docs.sparkSession
+    common.shipped(spark)
     spec = spark.sparkContext.broadcast(load(path or default_path()))
     columns = [F.col(f"`{c}`") for c in keep]
     kept = docs.select(*columns, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))

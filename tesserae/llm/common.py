@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import shipped
+
 #: Text bytes handled at once inside a Python worker; bounds its memory.
 BLOCK_BYTES = 4 << 20
 
@@ -21,6 +23,7 @@ BATCH_ROWS = 1000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table; from here on the session's Arrow batches have at most BATCH_ROWS rows."""
+    shipped(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
@@ -43,6 +46,7 @@ def written(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
 
     ``batch_rows`` bounds the rows of an Arrow batch while this table is made, for wide rows.
     """
+    shipped(df.sparkSession)
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
