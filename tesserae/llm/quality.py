@@ -3,8 +3,8 @@
 Two generative models over hashed n-grams (words, punctuation runs, word beginnings, levels
 of immediate repetition; each once a document) are compared: the target (documents labelled
 good: quality 1 and toxic 0) and the raw text (every document). A document's log importance
-weight is the sum, over its n-grams, of log p_target - log p_raw, where that differs by more
-than chance. Documents are drawn without replacement by Gumbel top-k: the k largest
+weight is the sum, over its n-grams, of log p_target - log p_raw, shrunk towards 0, where that
+differs by more than chance. Documents are drawn without replacement by Gumbel top-k: the k largest
 (log weight / TEMPERATURE + Gumbel noise) are accepted, where k is the number of documents
 whose weight clears the threshold that separates the labelled documents best.
 
@@ -37,6 +37,8 @@ BUCKETS = 1 << 20
 LABELLED, FOLDS = 20_000, 4
 #: Raw documents below which a bucket says nothing; prior count; standard errors that count as more than chance.
 MIN_COUNT, PRIOR, CHANCE = 8, 0.5, 3.0
+#: Nats of a log ratio that count for nothing: what near copies and small samples make. Others kept that weigh as much as a good one lost.
+SHRINK, LOSS = 1.0, 3.0
 #: Small: the draw follows the weights closely.
 TEMPERATURE = 0.02
 
@@ -129,7 +131,7 @@ class Models:
         apart = np.abs(self.target - labelled * fair) / np.sqrt(labelled * fair * (1 - fair) + 1e-9)
         out = np.log((self.target + PRIOR) / (expected + PRIOR))
         out[(np.maximum(far, apart) < CHANCE) | (self.raw < MIN_COUNT)] = 0
-        return out.astype(np.float32)
+        return (np.sign(out) * np.maximum(np.abs(out) - SHRINK, 0)).astype(np.float32)
 
 
 def counted(docs: DataFrame, sample: dict[int, int]) -> Models:
@@ -189,14 +191,14 @@ def draw_key(weight, doc_id: str = "doc_id"):
 
 
 def separating(weights: np.ndarray, good: np.ndarray) -> float:
-    """The threshold at which (good kept) - (others kept) is largest; midway to the next weight below."""
+    """The threshold at which LOSS * (share of good kept) - (share of others kept) is largest; midway to the next weight below."""
     if not len(weights) or good.all() or not good.any():
         return -np.inf
     order = np.argsort(-weights, kind="stable")
     w, g = weights[order], good[order]
-    gain = np.cumsum(g) / g.sum() - np.cumsum(~g) / (~g).sum()
+    gain = LOSS * np.cumsum(g) / g.sum() - np.cumsum(~g) / (~g).sum()
     last = np.r_[w[1:] != w[:-1], True]
-    at = int(np.argmax(np.where(last, gain, -2)))
+    at = int(np.argmax(np.where(last, gain, -np.inf)))
     return float((w[at] + w[at + 1]) / 2) if at + 1 < len(w) else -np.inf
 
 
