@@ -186,22 +186,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): smallest id reachable by links (a, b), for all ids in links."""
-    edges = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = common.written(edges)
-    labels = common.written(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "id"))
-    while True:
-        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        lower = common.written(lower)
-        jump = lower.select(F.col("id").alias("at"), F.col("component").alias("further"))
-        new = common.written(lower.join(jump, lower.component == jump["at"]).select("id", "old", F.least("component", "further").alias("component")))
-        common.dropped(lower)
-        done = not new.where("old <> component").limit(1).count()
-        common.dropped(labels)
-        labels = new.select("id", "component")
-        if done:
-            return labels
+    """(id, component): smallest id reachable by links (a, b), for all ids that have one.
+
+    Each round points every id at its smallest neighbour (and on to that one's), contracts
+    the links to what is pointed at, and drops those inside a group, so links soon vanish.
+    """
+    there = links.where("a <> b").select("a", "b")
+    edges = common.written(there.unionAll(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    maps: list[DataFrame] = []
+    while edges.limit(1).count():
+        parent = common.written(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("p")).withColumnRenamed("a", "v"))
+        up = parent.select(F.col("v").alias("at"), F.col("p").alias("further"))
+        maps.append(common.written(parent.join(up, parent.p == up["at"]).select("v", F.col("further").alias("p"))))
+        common.dropped(parent)
+        ends = [maps[-1].select(F.col("v").alias(c), F.col("p").alias(f"p{c}")) for c in "ab"]
+        new = common.written(edges.join(ends[0], "a").join(ends[1], "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        common.dropped(edges)
+        edges = new
+    if not maps:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    out = maps[0].select(F.col("v").alias("id"), F.col("p").alias("component"))
+    for m in maps[1:]:
+        up = m.select(F.col("v").alias("at"), F.col("p").alias("further"))
+        out = out.join(up, out.component == up["at"], "left").select("id", F.coalesce("further", "component").alias("component"))
+    return common.written(out)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
