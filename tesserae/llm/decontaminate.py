@@ -1,21 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: exact bounds from shared words, then Smith-Waterman alignment.
 
-Words are runs of digits and letters, lower-cased. A first pass counts, over all documents,
-in how many of them each word ``N``-gram of the benchmark occurs; the rarer half of every
-item's n-grams are its seeds. A second pass looks the seeds up in every document, gathers
-hits of one item that lie on near diagonals into windows, and aligns each window that holds
-``MIN_SEEDS`` distinct seeds (one, where the item has no more) with the item by
-Smith-Waterman. Its score over the score of a verbatim copy is the similarity; from
-``MIN_SIMILARITY`` on the document contains the item.
+Words are runs of digits and letters, lower-cased. The Smith-Waterman score of item and text
+over the score of a verbatim copy is the similarity; from ``MIN_SIMILARITY`` on the document
+contains the item. Items of fewer than 2 * ``N`` words ask for the score of ``N`` words in a
+row at least (of the whole item, where it is shorter), as half of them says nothing.
+
+Two bounds find, without missing any, where an alignment can score enough. A score of s takes
+s / ``MATCH`` words of the item that the document has somewhere. And a stretch of text scores
+at most ``MATCH`` for a word of the item and ``MISMATCH`` or ``GAP`` for another: stretches
+on which such a running sum stays above 0 are aligned where its peak reaches the score. No
+word or n-gram is left out for being frequent.
 
 The benchmark goes to the workers in blocks of at most ``BLOCK`` bytes of text, each a
-bounded broadcast and two passes over the documents, whatever the benchmark's size. There is
-no shuffle of texts; counts are summed by n-gram.
+bounded broadcast and one pass over the documents, whatever the benchmark's size. There is
+no shuffle.
 
-Null and empty texts and items match nothing; items of fewer than ``N`` words are their own
-single seed. Repeated rows repeat their result; of several windows of one item in a document
-the best counts, the earliest on ties. Empty tables give no leaks and leave documents as
-they are. Null ids pass through.
+Null and empty texts and items match nothing. Repeated rows repeat their result; of several
+alignments of one item in a document the best counts, the earliest on ties. Empty tables give
+no leaks and leave documents as they are. Null ids pass through.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-N, MIN_SEEDS, MIN_SIMILARITY = 3, 2, 0.5
+N, MIN_SIMILARITY = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of benchmark text that go to the workers at once.
 BLOCK = 4 << 20
@@ -68,101 +70,60 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """A block of benchmark items: words, n-gram keys with their places, seeds."""
+    """A block of benchmark items: words as numbers, and the scores they ask for."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        texts = [(i, words_of(t)) for i, t in rows]
+        texts = [(i, t) for i, t in ((i, words_of(t)) for i, t in rows) if t]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, t in texts for w in t), 1)}
-        self.ids = [i for i, t in texts if t]
-        self.items = [np.array([self.vocabulary[w] for w in t], np.int64) for _, t in texts if t]
-        place = [(self.keys(x), k) for k, x in enumerate(self.items)]
-        self.gram = np.concatenate([g for g, _ in place]) if place else np.empty(0, np.int64)
-        self.item = np.concatenate([np.full(len(g), k) for g, k in place]) if place else np.empty(0, np.int64)
-        self.at = np.concatenate([np.arange(len(g)) for g, _ in place]) if place else np.empty(0, np.int64)
-        order = np.argsort(self.gram, kind="stable")
-        self.gram, self.item, self.at = self.gram[order], self.item[order], self.at[order]
-        self.distinct = np.unique(self.gram)
-
-    def keys(self, ids: np.ndarray) -> np.ndarray:
-        """N-gram keys by position; -1 where a word is unknown. A shorter item is one key."""
-        v = len(self.vocabulary) + 1
-        n = min(N, len(ids))
-        out, whole = np.zeros(len(ids) - n + 1, np.int64), np.ones(len(ids) - n + 1, bool)
-        for k in range(n):
-            part = ids[k : len(ids) - n + 1 + k]
-            out, whole = out * v + part, whole & (part > 0)
-        return np.where(whole, out, -1)
+        self.ids = [i for i, _ in texts]
+        self.items = [np.array([self.vocabulary[w] for w in t], np.int64) for _, t in texts]
+        self.flat = np.concatenate(self.items) if texts else np.empty(0, np.int64)
+        size = np.array([len(x) for x in self.items], np.int64)
+        self.starts = np.cumsum(size) - size
+        self.least = np.maximum(np.ceil(MIN_SIMILARITY * MATCH * size), MATCH * np.minimum(N, size)).astype(np.int64)
 
     def ids_of(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in words_of(text)], np.int64)
 
-    def text_keys(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(positions, keys) of the known n-grams of a text; for the sizes that items have."""
-        out = []
-        for n in {min(N, len(x)) for x in self.items}:
-            known = ids > 0
-            for k in range(1, n):
-                known = known[:-1] & (ids[k:] > 0)[: len(known) - 1] if len(known) else known
-            at = np.flatnonzero(known)
-            key, v = np.zeros(len(at), np.int64), len(self.vocabulary) + 1
-            for k in range(n):
-                key = key * v + ids[at + k]
-            out.append((at, key))
-        return out
-
-    def seen(self, ids: np.ndarray) -> np.ndarray:
-        """Numbers of the distinct benchmark n-grams that a text has."""
-        found = [k for _, key in self.text_keys(ids) for k in [self._known(key)]]
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-
-    def _known(self, key: np.ndarray) -> np.ndarray:
-        if not len(key) or not len(self.distinct):
+    def candidates(self, ids: np.ndarray) -> np.ndarray:
+        """Numbers of the items of which the text has enough words, wherever they stand."""
+        if not len(ids) or not self.items:
             return np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.distinct, key), len(self.distinct) - 1)
-        return at[self.distinct[at] == key]
-
-    def keep_seeds(self, df: np.ndarray) -> None:
-        """Of each item's n-grams, the rarer half by the number of documents (ties: all)."""
-        rarity = df[np.searchsorted(self.distinct, self.gram)]
-        order = np.lexsort((rarity, self.item))
-        starts = np.searchsorted(self.item[order], np.arange(len(self.items)))
-        sizes = np.bincount(self.item, minlength=len(self.items))
-        most = rarity[order][starts + (sizes - 1) // 2] if len(order) else rarity
-        seed = rarity <= most[self.item] if len(order) else np.empty(0, bool)
-        self.gram, self.item, self.at = self.gram[seed], self.item[seed], self.at[seed]
-        self.need = np.minimum(MIN_SEEDS, np.bincount(self.item, minlength=len(self.items)))
+        has = np.zeros(len(self.vocabulary) + 1, np.int64)
+        has[ids] = MATCH
+        has[0] = 0
+        return np.flatnonzero(np.add.reduceat(has[self.flat], self.starts) >= self.least)
+
+    def stretches(self, k: int, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(first, end) of the parts of the text in which item ``k`` can reach its score."""
+        member = np.zeros(len(self.vocabulary) + 1, bool)
+        member[self.items[k]] = True
+        at = np.flatnonzero(member[ids])
+        loss = -max(MISMATCH, GAP)
+        # The sum before and after each hit; it starts anew at hits where it would be at its lowest.
+        before = (MATCH + loss) * np.arange(len(at)) - loss * at
+        after = before + MATCH
+        peak = after - np.minimum.accumulate(before)
+        if not len(at) or peak.max() < self.least[k]:
+            return []
+        new = np.flatnonzero(before <= np.minimum.accumulate(before))
+        tops = np.maximum.reduceat(peak, new)
+        lasts = np.r_[new[1:], len(at)] - 1
+        return [(int(at[a]), int(at[z]) + 1) for a, z, top in zip(new, lasts, tops) if top >= self.least[k]]
 
     def leaks(self, ids: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item id, similarity, first word, end) of the items that a text contains."""
-        hits = []
-        for at, key in self.text_keys(ids):
-            lo, hi = np.searchsorted(self.gram, key, "left"), np.searchsorted(self.gram, key, "right")
-            many = hi - lo
-            if many.any():
-                which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                hits.append(np.stack([self.item[which], np.repeat(at, many) - self.at[which], self.gram[which]]))
-        if not hits:
-            return []
-        item, diagonal, gram = np.concatenate(hits, axis=1)
-        order = np.lexsort((diagonal, item))
-        item, diagonal, gram = item[order], diagonal[order], gram[order]
-        size = np.array([len(x) for x in self.items])[item]
-        new = np.r_[True, (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 2 + 2)]
-        cuts = [*np.flatnonzero(new).tolist(), len(item)]
-        best: dict[int, tuple[float, int, int]] = {}
-        for a, b in zip(cuts, cuts[1:]):
-            k = int(item[a])
-            if len(np.unique(gram[a:b])) < self.need[k]:
-                continue
-            words = self.items[k]
-            lo = max(0, int(diagonal[a]) - len(words) // 2)
-            end = min(len(ids), int(diagonal[b - 1]) + len(words) + len(words) // 2 + 1)
-            score, first, last = smith_waterman(words, ids[lo:end])
-            similarity = score / (MATCH * len(words))
-            if similarity >= MIN_SIMILARITY and similarity > best.get(k, (0.0,))[0]:
-                best[k] = (similarity, lo + first, lo + last)
-        return [(self.ids[k], *v) for k, v in sorted(best.items())]
+        out = []
+        for k in self.candidates(ids).tolist():
+            words, best = self.items[k], (int(self.least[k]) - 1, 0, 0)
+            for lo, end in self.stretches(k, ids):
+                score, first, last = smith_waterman(words, ids[lo:end])
+                if score > best[0]:
+                    best = (score, lo + first, lo + last)
+            if best[2]:
+                out.append((self.ids[k], best[0] / (MATCH * len(words)), *best[1:]))
+        return out
 
 
 def benchmark_blocks(bench: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
@@ -176,27 +137,6 @@ def benchmark_blocks(bench: DataFrame, block: int = BLOCK) -> Iterator[list[tupl
             yield sorted((r.item_id, r.text) for r in rows)
 
 
-def seeded(docs: DataFrame, rows: list[tuple[int, str]]) -> Items:
-    """The block's items with seeds chosen by counts over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(shared.value)
-        counts = np.zeros(len(items.distinct), np.int64)
-        for block in common.blocks(batches, "text"):
-            for text in block.column(0).to_pylist():
-                counts[items.seen(items.ids_of(text))] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["gram", "n"])
-
-    got = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most the block's n-grams
-    items = Items(rows)
-    df = np.zeros(len(items.distinct), np.int64)
-    df[got.column("gram").to_numpy()] = got.column("n").to_numpy()
-    items.keep_seeds(df)
-    return items
-
-
 def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, first_word, end_word: items that documents contain."""
     spark = docs.sparkSession
@@ -204,7 +144,7 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, item_id long, similarity double, first_word long, end_word long"
     out = spark.createDataFrame([], schema)
     for rows in benchmark_blocks(bench):
-        shared = spark.sparkContext.broadcast(seeded(docs, rows))
+        shared = spark.sparkContext.broadcast(Items(rows))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
@@ -223,7 +163,7 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents that contain no benchmark item, with all their columns."""
     for rows in benchmark_blocks(bench):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(seeded(docs, rows)))(F.col("text")))
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(Items(rows)))(F.col("text")))
     return docs
 
 

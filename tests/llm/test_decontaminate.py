@@ -65,3 +65,36 @@ def test_blocks_cover_benchmark(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     parts = list(D.benchmark_blocks(bench, 1500))
     assert len(parts) > 1 and sorted(r for p in parts for r in p) == sorted(items)
+
+
+def test_edited_copies_against_brute_force(spark):
+    rng = random.Random(3)
+    item = [f"w{k}" for k in range(30)]
+    noise = lambda n: [f"n{rng.randrange(500)}" for _ in range(n)]
+    edited = lambda step: [f"x{k}" if k % step == step - 1 else w for k, w in enumerate(item)]
+    copies = {step: noise(40) + edited(step) + noise(40) for step in (3, 4, 5, 6)}
+    copies[7] = noise(9) + [w for x in item for w in (x, "zz")] + noise(9)  # a word put in after each
+    for others in ([], [item] * 50, [item[:15]] * 50, [item[15:]] * 50):  # verbatim copies, copies of a half
+        texts = [*copies.values(), *(noise(5) + x + noise(5) for x in others), noise(200), rng.sample(item, 30)]
+        number = {w: k for k, w in enumerate({w for t in (item, *texts) for w in t})}
+        want = {d: brute_score([number[w] for w in item], [number[w] for w in t]) / 60 for d, t in enumerate(texts)}
+        want = {d: s for d, s in want.items() if s >= D.MIN_SIMILARITY}
+        assert set(range(5)) <= set(want)
+        docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+        bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        assert {r.doc_id: r.similarity for r in D.leaks(docs, bench).collect()} == want
+        assert {r.doc_id for r in D.decontaminated(docs, bench).collect()} == set(range(len(texts))) - set(want)
+
+
+def test_bounds_miss_nothing():
+    rng = random.Random(4)
+    for _ in range(400):
+        items = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 14)))) for k in range(4)]
+        held = D.Items(items)
+        ids = held.ids_of(" ".join(rng.choice("abcdefghijklmn") for _ in range(rng.randrange(40))))
+        want = {}
+        for k, item in enumerate(held.items):
+            score = brute_score(item, ids)
+            if score >= max(len(item), 2 * min(D.N, len(item))):
+                want[k] = score / (2 * len(item))
+        assert {i: s for i, s, *_ in held.leaks(ids)} == want
