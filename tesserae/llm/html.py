@@ -55,7 +55,20 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label|data-component)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_DISPLAY_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+
+
+def hides(rest: str) -> bool:
+    """Do a tag's attributes hide it: hidden, aria-hidden=true, or a style of display:none?"""
+    if not _MAY_HIDE.search(rest):
+        return False
+    held: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        held.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").strip())
+    hidden = "hidden" in held and held["hidden"].lower() != "until-found"
+    return hidden or held.get("aria-hidden", "").lower() == "true" or bool(_DISPLAY_NONE.search(held.get("style", "")))
 
 
 class Element:
@@ -70,7 +83,7 @@ class Element:
             for m in _NAMED.finditer(rest):
                 value = (m[1] or m[2] or m[3] or "").lower()
                 names.update(_WORD.findall(value), value.split())
-        self.never = bool(up and up.never) or tag in NEVER or bool(rest and _HIDDEN.search(rest))
+        self.never = bool(up and up.never) or tag in NEVER or bool(rest) and hides(rest)
         self.article = bool(up and up.article) or tag == "article"
         self.main = bool(up and up.main) or tag == "main" or "main" in names
         bad = bool(names & BOILERPLATE)

@@ -55,3 +55,13 @@ def test_frame(spark):
     got = sorted((r.page_id or 0, r.url or "", r.text) for r in H.extracted(df).collect())
     assert got == [(0, "v", ""), (1, "u", PARA), (1, "u", PARA), (2, "", "")]
     assert H.extracted(df.limit(0)).count() == 0
+
+
+def test_hidden_by_attribute_name():
+    shown = ["class='overflow-hidden'", 'aria-hidden="false"', 'data-state="hidden"', 'title="The hidden valley"', "data-hidden", 'hidden="until-found"', 'data-x="display:none"', 'style="x-display: none"', 'title="a> hidden"', "href=/hidden/display:none", "style='display:block' title=hidden"]
+    for rest in shown:
+        assert not H.hides(f" {rest} "), rest
+        assert H.main_text(f"<body><div {rest}><article {rest}><p>{PARA}</p><p>{PARA}</p></article></div></body>") == f"{PARA}\n{PARA}", rest
+    for rest in ("hidden", "HIDDEN=''", 'class=x hidden="hidden"', "aria-hidden=true", 'aria-hidden = "True"', "style='color:red; DISPLAY : none'", 'style="display:none!important"', "a=1 hidden/"):
+        assert H.hides(f" {rest} "), rest
+        assert H.main_text(f"<body><article><div {rest}><p>{PARA}</p></div><p>{PARA}</p></article></body>") == PARA, rest
