@@ -38,7 +38,7 @@ PATTERNS = {
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 ADDRESS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 #: A word, an assignment sign with an optional quote, and a value: groups 1 to 3.
-INSTANCE = r"""(?<![\p{L}\p{N}_])([\p{L}_][\p{L}\p{N}_]{0,23})([\x20]?[=:]{1,2}[\x20]?["']?)((?=[A-Za-z._+/@-]{0,60}[0-9])[A-Za-z0-9+][A-Za-z0-9._+/@-]{5,199})"""
+INSTANCE = r"""(?<![\p{L}\p{N}_])([\p{L}_][\p{L}\p{N}_]*+)([\x20]?[=:]{1,2}[\x20]?["']?)((?=[A-Za-z._+/@-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9._+/@-]{5,}+)"""
 SEED = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|[0-9]+(?:\.[0-9]+){3}|\+?[0-9-]{9,19})$"
 ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT = 3, 0.7, 3
 #: Offsets are summed in chunks of this many matches, so that texts with very many matches stay cheap.

@@ -66,3 +66,14 @@ def test_query(spark, tmp_path):
     assert got[1].spans == "email:0:6,phone:7:24" and got[1].n_email == got[1].n_phone == 1 and got[1].n_card == 0
     assert got[1].base_sha256 == hashlib.sha256(b"email:0:6,phone:7:24").hexdigest()
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[2].spans == ""
+
+
+def test_long_values_and_keys(spark):
+    key = "a_rather_long_name_of_a_secret_key"
+    rows = [(i, f'{k} = "{hashlib.md5(f"{k}{i}".encode()).hexdigest()}" def') for k, at in (("token", 0), (key, 20)) for i in range(at, at + 10)]
+    signed, late = "eyJ0" + "aB-_x9." * 45, "x" * 80 + "7"
+    rows += [(100, f'token = "{signed}" end'), (101, f'token = "{late}" end'), (102, f'{key} = "short9code" end'), (103, "k" * 200_000 + '="' + "v" * 200_000 + '1 token="' + "9w" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.secret] for r in P.found_spans(df).collect()}
+    assert got[100] == [(9, 9 + len(signed))] and got[101] == [(9, 90)]
+    assert got[102] == [(len(key) + 4, len(key) + 14)] and got[103] == [(400_011, 600_011)]
