@@ -226,8 +226,8 @@ def postings_statistics(s, d):
     return R.postings(table(s, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
-def _probe(s, d):
-    items = table(s, d, "benchmark").where("item_id < 20")
+def _probe(s, d, asked="item_id < 20"):
+    items = table(s, d, "benchmark").where(asked)
     return items.select(F.col("item_id").alias("query_id"), F.explode(T.significant_terms(F.col("text"))).alias("term"))
 
 
@@ -292,7 +292,7 @@ def quantised_vectors(s, d):
 def signature_neighbours(s, d):
     """Rows only: the planes come from a generator. Sampled documents against benchmark items by Hamming similarity."""
     docs = R.spread(table(s, d, "documents").select("doc_id", "text"), R.PROFILES["fast"]["sample"]).select("doc_id", V.signature(F.col("text")).alias("sig"))
-    items = table(s, d, "benchmark").where("item_id < 20").select("item_id", V.signature(F.col("text")).alias("q"))
+    items = table(s, d, "benchmark").select("item_id", V.signature(F.col("text")).alias("q"))
     near = docs.crossJoin(F.broadcast(items)).select("item_id", "doc_id", V.hamming_similarity(F.col("sig"), F.col("q")).alias("similarity")).where(F.col("similarity") >= R.SIGNATURE_FLOOR)
     w = Window.partitionBy("item_id").orderBy(F.desc("similarity"), "doc_id")
     return near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= R.PROFILES["fast"]["signature"]).drop("k")
@@ -308,9 +308,9 @@ cx AS (SELECT query_id, doc_id, 'context' AS field, row_number() OVER (PARTITION
 f AS (SELECT query_id, doc_id, greatest(sum(60.0::DOUBLE / (60 + rank) * CASE WHEN field = 'context' THEN 0.5 ELSE 1 END), 0.01) AS score, min(rank) AS best_rank, max((field = 'lexical')::INT) AS lexical, max((field = 'context')::INT) AS context FROM (SELECT * FROM lx UNION ALL SELECT * FROM cx) GROUP BY 1, 2)"""
 
 
-def _fused(s, d):
+def _fused(s, d, asked="item_id < 20"):
     docs = table(s, d, "documents")
-    b = R.bm25(R.postings(docs), _probe(s, d), R.index_stats(docs)).withColumn("score", F.round("score", 6))
+    b = R.bm25(R.postings(docs), _probe(s, d, asked), R.index_stats(docs)).withColumn("score", F.round("score", 6))
     rank = lambda *o: (F.row_number().over(Window.partitionBy("query_id").orderBy(*o)) - 1).alias("rank")
     lx = b.select("query_id", "doc_id", F.lit("lexical").alias("field"), rank(F.desc("score"), "doc_id")).where("rank < 24")
     cx = b.select("query_id", "doc_id", F.lit("context").alias("field"), rank("doc_id")).where("rank < 24")
@@ -332,9 +332,9 @@ cv AS (SELECT f.*, len(list_filter(terms, lambda t: regexp_matches(lower(text),
 fl AS (SELECT *, CASE WHEN cover = 1 AND lexical = 1 THEN greatest(score, 1.2) WHEN cover = 1 AND context = 1 THEN greatest(score, 0.6) ELSE score END AS floored FROM cv)"""
 
 
-def _tiers(s, d):
-    terms = _probe(s, d).groupBy("query_id").agg(F.collect_list("term").alias("terms"))
-    rows = _fused(s, d).join(terms, "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+def _tiers(s, d, asked="item_id < 20"):
+    terms = _probe(s, d, asked).groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    rows = _fused(s, d, asked).join(terms, "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
     rows = rows.withColumn("cover", R.coverage(F.col("text"), F.col("terms")))
     return rows.withColumn("floored", R.floored(F.col("score"), F.col("cover"), F.col("lexical"), F.col("context")))
 
@@ -347,7 +347,7 @@ def tiered_candidates(s, d):
 @query()
 def diversified_candidates(s, d):
     """Rows only: greedy choice."""
-    rows = _tiers(s, d).select("query_id", "doc_id", R.tier(F.col("cover")).alias("tier"), F.substring("text", 1, 400).alias("content"), F.col("floored").alias("score"))
+    rows = _tiers(s, d, "true").select("query_id", "doc_id", R.tier(F.col("cover")).alias("tier"), F.substring("text", 1, 400).alias("content"), F.col("floored").alias("score"))
     return R.diversified(rows, ["query_id", "tier"]).select("query_id", "tier", "doc_id", "place")
 
 
@@ -363,7 +363,7 @@ def final_selection(s, d):
 def batched_recall(s, d):
     """Rows only: the whole read path for a batch of queries."""
     docs = table(s, d, "documents").select("doc_id", "text")
-    items = table(s, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), "text")
+    items = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return recall.recalled(docs, items, "normal").select("query_id", "doc_id", "place", "tier", F.round("score", 6).alias("score"))
 
 
