@@ -347,7 +347,7 @@ def tiered_candidates(s, d):
 @query()
 def diversified_candidates(s, d):
     """Rows only: greedy choice."""
-    rows = _tiers(s, d, "true").select("query_id", "doc_id", R.tier(F.col("cover")).alias("tier"), F.substring("text", 1, 400).alias("content"), F.col("floored").alias("score"))
+    rows = _tiers(s, d, "true").select("query_id", "doc_id", R.tier(F.col("cover")).alias("tier"), F.col("text").alias("content"), F.col("floored").alias("score"))
     return R.diversified(rows, ["query_id", "tier"]).select("query_id", "tier", "doc_id", "place")
 
 
