@@ -11,13 +11,18 @@ lost:
    the shortest sufficient ones, so documents with fewer shared tokens drop out. The first
    order is by hash; tokens that it shows to be common then go last, so that boilerplate
    leaves the prefixes, and what is left is pruned again.
-3. Each remaining prefix token is a row of the matrix; its columns are the documents that have
-   it. Rows of up to ``NARROW`` documents give their pairs of fitting sizes. Wide rows, which
-   families of copies make, are not expanded: likely links join their documents in groups
-   first, and the family's documents are packed in blocks, similar ones together. A document's
-   overlap with the union of a block's tokens bounds its overlap with all its documents, and
-   only blocks that reach the needed overlap, and are not in its group already, are opened.
-4. Pairs are verified on whole sets; links make components by label propagation.
+3. Similar documents are partitioned into groups. Likely partners are neighbours in orders by
+   min-hashes, and the most central document among those that share a token: a linear number
+   of pairs, verified at once. What these links connect is one group; documents that they
+   leave alone are put in groups of up to ``GROUP`` along a min-hash order. Groups of any size
+   are stored in pieces of up to ``GROUP`` documents and ``PIECE_BYTES`` of tokens.
+4. The matrix holds each group's token union, one row (token, group). Every document is a query:
+   joined with the matrix by its prefix tokens, it keeps the groups whose union holds enough of
+   them, then the pieces of these that do. A connected group is no query to itself, so a family of copies
+   costs one row a token, whatever its size. Only qualifying pieces are opened: there the
+   union of all tokens bounds the overlap again, and what passes is compared whole. One link to each
+   group is enough.
+5. Links make components by contraction.
 
 The common tokens are sent to the workers as one sorted array of at most ``COMMON`` hashes: the
 most frequent ones, whatever the corpus. Which they are changes only the amount of work.
@@ -34,21 +39,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 WORDS, SIMILARITY = 5, 80
-#: Columns of a matrix row that are paired at once; documents from which on a token is common; bound of the common tokens.
-NARROW, OFTEN, COMMON = 24, 20, 500_000
-#: Chains that look for likely links in wide rows; sets that are compared with as many others at once.
-CHAINS, BLOCK = 6, 64
+#: Documents from which on a token is common; bound of the common tokens.
+OFTEN, COMMON = 20, 500_000
+#: Orders by min-hashes that look for likely links; documents of a piece of a group, and bytes of their tokens.
+CHAINS, GROUP, PIECE_BYTES = 4, 64, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B]
+_MINIMA = [f"m{k}" for k in range(CHAINS + 2)]
 _BASE, _MIX, _STEP = 0xB492B66FBE98F273, np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,18 +159,16 @@ def _sets(docs: DataFrame, often: np.ndarray) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(token, doc_id, n, short): longer prefixes in the second order; ``short`` marks the shortest sufficient part."""
+    """(token, doc_id, n): longer prefixes in the second order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "tokens", 1 << 20):
             ns = block.column(1).to_numpy()
             parts = [np.frombuffer(t, np.int64)[: prefix(n, spare(n))] for t, n in zip(block.column(2).to_pylist(), ns.tolist())]
-            sizes = np.array([len(x) for x in parts])
-            row = np.repeat(np.arange(len(parts)), sizes)
-            short = [np.arange(len(x)) < prefix(n, 1) for x, n in zip(parts, ns.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), block.column(0).take(pa.array(row)), pa.array(ns[row]), pa.array(np.concatenate(short))], names=["token", "doc_id", "n", "short"])
+            row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), block.column(0).take(pa.array(row)), pa.array(ns[row])], names=["token", "doc_id", "n"])
 
-    return sets.mapInArrow(work, "token long, doc_id long, n long, short boolean")
+    return sets.mapInArrow(work, "token long, doc_id long, n long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -212,63 +216,103 @@ def components(links: DataFrame) -> DataFrame:
     return common.written(out)
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of fitting sizes, a < b, of documents that share a matrix row."""
-    a = rows.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    b = rows.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("na") * 100 >= F.col("nb") * SIMILARITY) & (F.col("nb") * 100 >= F.col("na") * SIMILARITY)
-    return a.join(b, "token").where(fits).select("a", "b").distinct()
-
-
-def _chained(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that are likely to link: neighbours among documents with the same minimum of a hash of their tokens."""
+def _minima(sets: DataFrame) -> DataFrame:
+    """doc_id, size (bytes of tokens) and minima of CHAINS + 2 hashes of the tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = np.random.default_rng(3).integers(1, 1 << 63, CHAINS + 2, dtype=np.uint64) | np.uint64(1)
         for block in common.blocks(batches, "tokens", 1 << 20):
-            low = []
+            low, sizes = [], []
             for t in block.column(1).to_pylist():
                 x = np.frombuffer(t, np.uint64)
                 mixed = (x[:, None] ^ (x[:, None] >> np.uint64(29))) * salts
                 low.append((mixed ^ (mixed >> np.uint64(32))).min(0).view(np.int64))
+                sizes.append(len(t))
             low = np.array(low)
-            ids = block.column(0).to_numpy()
-            n = len(ids)
-            cols = [np.tile(ids, CHAINS), np.repeat(np.arange(CHAINS), n), *(np.concatenate([low[:, k + j] for k in range(CHAINS)]) for j in range(3))]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["doc_id", "chain", "m0", "m1", "m2"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes, pa.int64()), *map(pa.array, low.T.copy())], names=["doc_id", "size", *_MINIMA])
+
+    return sets.select("doc_id", "tokens").mapInArrow(work, "doc_id long, size long, " + ", ".join(f"{m} long" for m in _MINIMA))
+
+
+def _neighbours(minima: DataFrame) -> DataFrame:
+    """Likely pairs (a, b): next to each other in an order by min-hashes, two of three of which agree."""
+    chains = F.explode(F.array(*(F.struct(F.lit(k).alias("chain"), *(F.col(f"m{k + j}").alias(f"x{j}") for j in range(3))) for k in range(CHAINS))))
+    order = ["chain", "x0", "x1", "x2", "doc_id"]
+    rows = minima.select("doc_id", chains.alias("c")).select("c.*", "doc_id").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            got = np.stack([batch.column(k).to_numpy() for k in range(5)], 1) if batch.num_rows else np.empty((0, 5), np.int64)
+            got = got if last is None else np.concatenate([last, got])
+            same = got[1:] == got[:-1]
+            pairs = np.sort(np.stack([got[:-1, 4], got[1:, 4]], 1)[same[:, 0] & same[:, 1] & (same[:, 2] | same[:, 3])], 1)
+            last = got[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return rows.selectExpr("cast(chain as bigint) chain", "x0", "x1", "x2", "doc_id").mapInArrow(work, "a long, b long")
+
 
-    rows = sets.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "tokens").mapInArrow(work, "doc_id long, chain long, m0 long, m1 long, m2 long")
-    w = Window.partitionBy("chain", "m0").orderBy("m1", "m2", "doc_id")
-    pairs = rows.withColumn("other", F.lag("doc_id").over(w)).where("other IS NOT NULL")
-    return pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+def _central(rows: DataFrame, width: DataFrame) -> DataFrame:
+    """Likely pairs (a, b): each document, and the one among those with a token of it whose tokens most documents share."""
+    score = rows.join(width, "token").groupBy("doc_id").agg((F.sum("k") / F.first(F.col("n"))).alias("score"))
+    scored = common.written(rows.join(score, "doc_id").select("token", "doc_id", "n", "score"))
+    best = scored.groupBy("token").agg(F.max(F.struct("score", "doc_id", "n")).alias("best"))
+    pairs = scored.join(common.written(best).hint("merge"), "token").where("doc_id <> best.doc_id AND n * 100 >= best.n * 80 AND best.n * 100 >= n * 80")
+    return pairs.select(F.least("doc_id", "best.doc_id").alias("a"), F.greatest("doc_id", "best.doc_id").alias("b"))
 
 
-def _wide_links(wide: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """``links`` and all links that wide rows hide, but for those within groups that are linked already.
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, n, own, grp, piece of ``docs`` (doc_id, n, size, grp, minima).
 
-    Documents that wide rows connect are a family. Likely links, found by chains, make groups
-    in it. A family's sets are packed in blocks, group by group. Blocks are compared with
-    blocks, unless both lie in one group; there a set is compared with a block's sets only if
-    the union of the block's tokens has enough of its own. A set moves once for each slice of
-    blocks that it meets.
+    ``own`` is the matrix column: the document's connected group (grp, even), or the piece of single
+    documents it lies in (odd).
     """
-    lead = common.written(wide.groupBy("token").agg(F.min("doc_id").alias("b")))
-    family = common.written(components(wide.join(lead, "token").select(F.col("doc_id").alias("a"), "b").distinct()))
-    docs = family.select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
-    links = common.written(links.unionAll(verified(common.written(_chained(docs, sets)), sets)), 500)
-    held = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
-    docs = docs.join(held, "doc_id", "left").select("doc_id", "family", F.coalesce("grp", "doc_id").alias("grp"))
-    several = docs.groupBy("family").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.count("*").alias("size")).where("g0 <> g1").select("family", "size")
-    docs = common.written(docs.join(several, "family"))
-    place = F.floor((F.row_number().over(Window.partitionBy("family").orderBy("grp", "doc_id")) - 1) / BLOCK)
-    placed = common.written(docs.withColumn("block", place)).join(sets.select("doc_id", "tokens"), "doc_id")
-    blocks = placed.groupBy("family", "block", F.ceil(F.col("size") / (BLOCK * BLOCK / 4)).alias("slices")).agg(
-        F.collect_list(F.struct("doc_id", "grp", "tokens")).alias("rows"), F.min("grp").alias("g0"), F.max("grp").alias("g1")
-    )
-    blocks = common.written(blocks, 32)
-    x = blocks.select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"), F.col("block").alias("i"), F.col("rows").alias("x"), F.col("g0").alias("x0"), F.col("g1").alias("x1"))
-    y = blocks.select("family", F.pmod("block", "slices").alias("slice"), F.col("block").alias("j"), F.col("rows").alias("y"), F.col("g0").alias("y0"), F.col("g1").alias("y1"))
-    met = x.join(y.hint("merge"), ["family", "slice"]).where("i <= j AND NOT (x0 = x1 AND y0 = y1 AND x0 = y0)").select("x", "y")
+    order = ["grp", "m0", "m1", "m2", "doc_id"]
+    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "size", "grp", F.spark_partition_id().cast("long").alias("part"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size, before = 0, 0, 0, None
+        for batch in batches:
+            pieces = []
+            for grp, more, part in zip(*(batch.column(k).to_pylist() for k in (3, 2, 4))):
+                if grp != before or held >= GROUP or size + more > PIECE_BYTES:
+                    number, held, size, before = number + 1, 0, 0, grp
+                held, size = held + 1, size + more
+                pieces.append(part << 36 | number)
+            yield pa.RecordBatch.from_arrays([*batch.select([0, 1, 3]).columns, pa.array(pieces, pa.int64())], names=["doc_id", "n", "grp", "piece"])
+
+    placed = rows.mapInArrow(work, "doc_id long, n long, grp long, piece long")
+    own = F.when(F.col("grp").isNull(), F.struct(F.lit(1).alias("single"), F.col("piece").alias("id"))).otherwise(F.struct(F.lit(0).alias("single"), F.col("grp").alias("id")))
+    return placed.select("doc_id", "n", own.alias("own"), F.coalesce("grp", "doc_id").alias("grp"), "piece")
+
+
+def opened(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """(doc_id, piece): the pieces that may hold a partner of the document, by the bounds of the token-group matrix."""
+    cells = common.written(rows.select("token", "doc_id").join(placed.select("doc_id", "n", "own", "piece"), "doc_id"))
+    matrix = cells.groupBy("token", F.col("own").alias("grp")).agg(F.count("*").alias("k"))
+    several = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.max(F.when(F.col("grp.single") == 1, F.col("k"))).alias("k")).where("groups > 1 OR k > 1").select("token")
+    several = common.written(several)
+    cells = common.written(cells.join(several.hint("merge"), "token"))
+    matrix = common.written(cells.groupBy("token", F.col("own").alias("grp"), "piece").agg(F.count("*").alias("k")))
+    groups = common.written(matrix.groupBy("token", "grp").agg(F.sum("k").alias("k")))
+    # A single document's own group counts for it where others in it share the token.
+    other = (F.col("own") != F.col("grp")) | ((F.col("grp.single") == 1) & (F.col("k") > 1))
+    enough = F.col("shared") >= _needed(F.col("n"))
+    held = cells.join(groups.hint("merge"), "token").where(other).groupBy("doc_id", "n", "grp").agg(F.count("*").alias("shared")).where(enough)
+    held = common.written(held.select("doc_id", "grp"))
+    there = cells.drop("piece").join(held.hint("merge"), "doc_id").join(matrix.hint("merge"), ["token", "grp"]).where(other)
+    return there.groupBy("doc_id", "n", "piece").agg(F.count("*").alias("shared")).where(enough).select("doc_id", "piece")
+
+
+def _compared(queries: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the documents and the pieces they open, one for each group at least."""
+    load = common.written(queries.groupBy("piece").agg(F.ceil(F.count("*") / GROUP).alias("slices")))
+    whole = sets.join(placed.select("doc_id", "grp", "piece"), "doc_id").select("doc_id", "grp", "piece", "tokens")
+    rows = F.collect_list(F.struct("doc_id", "grp", "tokens"))
+    y = common.written(whole.join(load.select("piece").hint("merge"), "piece").groupBy("piece").agg(rows.alias("y")), 16)
+    asked = queries.join(load.hint("merge"), "piece").select("doc_id", F.col("piece").alias("at"), F.pmod(F.xxhash64("doc_id"), "slices").alias("slice"))
+    x = common.written(whole.join(asked.hint("merge"), "doc_id").groupBy("at", "slice").agg(rows.alias("x")), 16)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,8 +324,6 @@ def _wide_links(wide: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame
                 union = np.unique(tokens)
                 out: list[tuple[int, int]] = []
                 for z in x:
-                    if (groups == z["grp"]).all():
-                        continue
                     mine = np.sort(np.frombuffer(z["tokens"], np.uint64))
                     held = union[np.minimum(np.searchsorted(union, mine), len(union) - 1)] == mine
                     if held.sum() < least_overlap(len(mine)):
@@ -289,13 +331,25 @@ def _wide_links(wide: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame
                     hit = mine[np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)] == tokens
                     same = np.bincount(owner[hit], minlength=len(parts))
                     good = (100 * same >= SIMILARITY * (len(mine) + sizes - same)) & (groups != z["grp"])
-                    # One link to each group is enough for the components.
                     _, first = np.unique(groups[good], return_index=True)
                     out += [(z["doc_id"], j) for j in ids[good][first].tolist()]
                 cols = [np.array(c, np.int64) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*cols)), pa.array(np.maximum(*cols))], names=["a", "b"])
 
-    return common.written(links.unionAll(met.mapInArrow(compare, "a long, b long")), 8)
+    return common.written(x.join(y.hint("merge"), x["at"] == y.piece).select("x", "y").mapInArrow(compare, "a long, b long").distinct(), 8)
+
+
+def linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of all links: likely ones, and by the matrix all that join other groups."""
+    width = common.written(rows.groupBy("token").agg(F.count("*").alias("k")))
+    minima = common.written(_minima(sets))
+    likely = _central(rows, width).unionAll(_neighbours(minima)).distinct()
+    links = common.written(verified(common.written(likely), sets), 500)
+    held = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
+    docs = minima.join(sets.select("doc_id", "n"), "doc_id").join(held, "doc_id", "left")
+    placed = common.written(_placed(docs))
+    queries = common.written(opened(rows, placed))
+    return links.unionAll(_compared(queries, placed, sets))
 
 
 def _common_tokens(shared: DataFrame) -> np.ndarray:
@@ -332,14 +386,7 @@ def joined(docs: DataFrame) -> DataFrame:
     if members.count() != members.select("doc_id").distinct().count():  # rows that repeat an id
         sets = common.written(sets.dropDuplicates(["doc_id"]), 500)
 
-    rows = _pruned(_pruned(_prefixes(sets))).where("short").select("token", "doc_id", "n")
-    width = common.written(rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"))
-    rows = common.written(rows.join(width, "token"))
-    links = common.written(verified(common.written(_pairs(rows.where(F.col("k") <= NARROW))), sets), 500)
-    wide = rows.where(F.col("k") > NARROW).select("token", "doc_id", "n")
-    if wide.limit(1).count():
-        links = _wide_links(wide, links, sets)
-
+    links = linked(_pruned(_pruned(_prefixes(sets))), sets)
     held = components(links)
     class_of = common.written(reps.join(held, reps.rep == held.id, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component")))
     out = members.join(class_of, ["c1", "c2"], "left")
