@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,8 @@ from . import common
 WORDS, SIMILARITY = 5, 80
 #: Documents from which on a token is common; bound of the common tokens.
 OFTEN, COMMON = 20, 500_000
-#: Orders by min-hashes that look for likely links; documents of a piece of a group, and bytes of their tokens.
-CHAINS, GROUP, PIECE_BYTES = 4, 64, 1 << 20
+#: Orders by min-hashes that look for likely links; single documents of a group; documents of a piece of a group, and bytes of their tokens.
+CHAINS, GROUP, PIECE, PIECE_BYTES = 4, 64, 16, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -265,8 +266,7 @@ def _central(rows: DataFrame, width: DataFrame) -> DataFrame:
 def _placed(docs: DataFrame) -> DataFrame:
     """doc_id, n, own, grp, piece of ``docs`` (doc_id, n, size, grp, minima).
 
-    ``own`` is the matrix column: the document's connected group (grp, even), or the piece of single
-    documents it lies in (odd).
+    ``own`` is the document's group: the connected one (grp), or one of single documents.
     """
     order = ["grp", "m0", "m1", "m2", "doc_id"]
     rows = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "size", "grp", F.spark_partition_id().cast("long").alias("part"))
@@ -276,67 +276,72 @@ def _placed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             pieces = []
             for grp, more, part in zip(*(batch.column(k).to_pylist() for k in (3, 2, 4))):
-                if grp != before or held >= GROUP or size + more > PIECE_BYTES:
+                if grp != before or held >= PIECE or size + more > PIECE_BYTES:
                     number, held, size, before = number + 1, 0, 0, grp
                 held, size = held + 1, size + more
                 pieces.append(part << 36 | number)
             yield pa.RecordBatch.from_arrays([*batch.select([0, 1, 3]).columns, pa.array(pieces, pa.int64())], names=["doc_id", "n", "grp", "piece"])
 
     placed = rows.mapInArrow(work, "doc_id long, n long, grp long, piece long")
-    own = F.when(F.col("grp").isNull(), F.struct(F.lit(1).alias("single"), F.col("piece").alias("id"))).otherwise(F.struct(F.lit(0).alias("single"), F.col("grp").alias("id")))
+    single = F.struct(F.lit(1).alias("single"), F.floor(F.col("piece") / max(1, GROUP // PIECE)).alias("id"))
+    own = F.when(F.col("grp").isNull(), single).otherwise(F.struct(F.lit(0).alias("single"), F.col("grp").alias("id")))
     return placed.select("doc_id", "n", own.alias("own"), F.coalesce("grp", "doc_id").alias("grp"), "piece")
 
 
 def opened(rows: DataFrame, placed: DataFrame) -> DataFrame:
     """(doc_id, piece): the pieces that may hold a partner of the document, by the bounds of the token-group matrix."""
-    cells = common.written(rows.select("token", "doc_id").join(placed.select("doc_id", "n", "own", "piece"), "doc_id"))
-    matrix = cells.groupBy("token", F.col("own").alias("grp")).agg(F.count("*").alias("k"))
-    several = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.max(F.when(F.col("grp.single") == 1, F.col("k"))).alias("k")).where("groups > 1 OR k > 1").select("token")
-    several = common.written(several)
-    cells = common.written(cells.join(several.hint("merge"), "token"))
-    matrix = common.written(cells.groupBy("token", F.col("own").alias("grp"), "piece").agg(F.count("*").alias("k")))
-    groups = common.written(matrix.groupBy("token", "grp").agg(F.sum("k").alias("k")))
+    owned = rows.select("token", "doc_id").join(placed.select("doc_id", "own"), "doc_id")
+    several = owned.groupBy("token").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("k")).where("a <> b OR (a.single = 1 AND k > 1)").select("token")
+    cells = common.written(rows.select("token", "doc_id").join(common.written(several).hint("merge"), "token").join(placed.drop("grp"), "doc_id"))
+    # A cell of the matrix: the documents of a piece with the token, and their sizes, which have to fit the query's.
+    matrix = common.written(cells.groupBy("token", F.col("own").alias("grp"), "piece").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high")))
+    groups = common.written(matrix.groupBy("token", "grp").agg(F.sum("k").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")))
+    cells = cells.drop("piece")
     # A single document's own group counts for it where others in it share the token.
     other = (F.col("own") != F.col("grp")) | ((F.col("grp.single") == 1) & (F.col("k") > 1))
+    fits = other & (F.col("high") * 100 >= F.col("n") * SIMILARITY) & (F.col("n") * 100 >= F.col("low") * SIMILARITY)
     enough = F.col("shared") >= _needed(F.col("n"))
-    held = cells.join(groups.hint("merge"), "token").where(other).groupBy("doc_id", "n", "grp").agg(F.count("*").alias("shared")).where(enough)
+    held = cells.join(groups.hint("merge"), "token").where(fits).groupBy("doc_id", "n", "grp").agg(F.count("*").alias("shared")).where(enough)
     held = common.written(held.select("doc_id", "grp"))
-    there = cells.drop("piece").join(held.hint("merge"), "doc_id").join(matrix.hint("merge"), ["token", "grp"]).where(other)
-    return there.groupBy("doc_id", "n", "piece").agg(F.count("*").alias("shared")).where(enough).select("doc_id", "piece")
+    there = cells.join(held.hint("merge"), "doc_id").join(matrix.hint("merge"), ["token", "grp"]).where(fits)
+    out = common.written(there.groupBy("doc_id", "n", "piece").agg(F.count("*").alias("shared")).where(enough).select("doc_id", "piece"))
+    for done in (cells, matrix, groups, held):
+        common.dropped(done)
+    return out
 
 
 def _compared(queries: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between the documents and the pieces they open, one for each group at least."""
+    """Links (a, b) between the documents and the pieces they open, one for each group at least.
+
+    A piece meets its queries in slices of about ``GROUP`` of them, so a much asked piece is spread.
+    """
     load = common.written(queries.groupBy("piece").agg(F.ceil(F.count("*") / GROUP).alias("slices")))
-    whole = sets.join(placed.select("doc_id", "grp", "piece"), "doc_id").select("doc_id", "grp", "piece", "tokens")
-    rows = F.collect_list(F.struct("doc_id", "grp", "tokens"))
-    y = common.written(whole.join(load.select("piece").hint("merge"), "piece").groupBy("piece").agg(rows.alias("y")), 16)
-    asked = queries.join(load.hint("merge"), "piece").select("doc_id", F.col("piece").alias("at"), F.pmod(F.xxhash64("doc_id"), "slices").alias("slice"))
-    x = common.written(whole.join(asked.hint("merge"), "doc_id").groupBy("at", "slice").agg(rows.alias("x")), 16)
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")
+    held = placed.select("doc_id", "grp", "piece").join(load.hint("merge"), "piece").select("doc_id", "grp", "piece", slices, F.lit(True).alias("member"))
+    asked = queries.join(load.hint("merge"), "piece").withColumn("slice", F.pmod(F.xxhash64("doc_id"), "slices"))
+    asked = asked.join(placed.select("doc_id", "grp").hint("merge"), "doc_id").select("doc_id", "grp", "piece", "slice", F.lit(False).alias("member"))
+    met = sets.select("doc_id", "tokens").join(held.unionAll(asked).hint("merge"), "doc_id").select("piece", "slice", "member", "doc_id", "grp", "tokens")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        sides = [rows.filter(pa.compute.equal(rows.column("member"), m)) for m in (False, True)]
+        (ids, groups), (others, theirs) = ([t.column(c).to_numpy() for c in ("doc_id", "grp")] for t in sides)
+        parts = [np.frombuffer(t, np.uint64) for t in sides[1].column("tokens").to_pylist()]
+        sizes = np.array([len(z) for z in parts])
+        tokens, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+        union, out = np.unique(tokens), []
+        for doc, grp, mine in zip(ids.tolist(), groups.tolist(), sides[0].column("tokens").to_pylist()):
+            mine = np.sort(np.frombuffer(mine, np.uint64))
+            held = union[np.minimum(np.searchsorted(union, mine), len(union) - 1)] == mine
+            if held.sum() < least_overlap(len(mine)):
+                continue
+            hit = mine[np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)] == tokens
+            same = np.bincount(owner[hit], minlength=len(parts))
+            good = (100 * same >= SIMILARITY * (len(mine) + sizes - same)) & (theirs != grp)
+            _, first = np.unique(theirs[good], return_index=True)
+            out += [(min(doc, j), max(doc, j)) for j in others[good][first].tolist()]
+        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x, y = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                parts = [np.frombuffer(z["tokens"], np.uint64) for z in y]
-                sizes, groups, ids = (np.array(c, np.int64) for c in ([len(z) for z in parts], [z["grp"] for z in y], [z["doc_id"] for z in y]))
-                tokens, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
-                union = np.unique(tokens)
-                out: list[tuple[int, int]] = []
-                for z in x:
-                    mine = np.sort(np.frombuffer(z["tokens"], np.uint64))
-                    held = union[np.minimum(np.searchsorted(union, mine), len(union) - 1)] == mine
-                    if held.sum() < least_overlap(len(mine)):
-                        continue
-                    hit = mine[np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)] == tokens
-                    same = np.bincount(owner[hit], minlength=len(parts))
-                    good = (100 * same >= SIMILARITY * (len(mine) + sizes - same)) & (groups != z["grp"])
-                    _, first = np.unique(groups[good], return_index=True)
-                    out += [(z["doc_id"], j) for j in ids[good][first].tolist()]
-                cols = [np.array(c, np.int64) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*cols)), pa.array(np.maximum(*cols))], names=["a", "b"])
-
-    return common.written(x.join(y.hint("merge"), x["at"] == y.piece).select("x", "y").mapInArrow(compare, "a long, b long").distinct(), 8)
+    return common.written(met.groupBy("piece", "slice").applyInArrow(compare, "a long, b long").distinct())
 
 
 def linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -344,12 +349,15 @@ def linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
     width = common.written(rows.groupBy("token").agg(F.count("*").alias("k")))
     minima = common.written(_minima(sets))
     likely = _central(rows, width).unionAll(_neighbours(minima)).distinct()
-    links = common.written(verified(common.written(likely), sets), 500)
+    likely = common.written(likely)
+    links = common.written(verified(likely, sets), 500)
     held = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
     docs = minima.join(sets.select("doc_id", "n"), "doc_id").join(held, "doc_id", "left")
     placed = common.written(_placed(docs))
-    queries = common.written(opened(rows, placed))
-    return links.unionAll(_compared(queries, placed, sets))
+    more = _compared(opened(rows, placed), placed, sets)
+    for done in (width, minima, likely):
+        common.dropped(done)
+    return links.unionAll(more)
 
 
 def _common_tokens(shared: DataFrame) -> np.ndarray:
@@ -365,8 +373,11 @@ def _pruned(rows: DataFrame) -> DataFrame:
     """Rows whose token others share, of documents that have enough of them."""
     shared = common.written(rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"))
     kept = common.written(rows.join(shared, "token"))
-    alive = kept.groupBy("doc_id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= _needed(F.col("n"))).select("doc_id")
-    return common.written(kept.join(common.written(alive), "doc_id"))
+    alive = common.written(kept.groupBy("doc_id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= _needed(F.col("n"))).select("doc_id"))
+    out = common.written(kept.join(alive, "doc_id"))
+    for done in (shared, kept, alive):
+        common.dropped(done)
+    return out
 
 
 def joined(docs: DataFrame) -> DataFrame:
