@@ -11,18 +11,19 @@ lost:
    the shortest sufficient ones, so documents with fewer shared tokens drop out. The first
    order is by hash; tokens that it shows to be common then go last, so that boilerplate
    leaves the prefixes, and what is left is pruned again.
-3. Similar documents are partitioned into groups. Likely partners are neighbours in orders by
-   min-hashes, and the most central document among those that share a token: a linear number
-   of pairs, verified at once. What these links connect is one group; documents that they
-   leave alone are put in groups of up to ``GROUP`` along a min-hash order. Groups of any size
-   are stored in pieces of up to ``GROUP`` documents and ``PIECE_BYTES`` of tokens.
+3. Similar documents are partitioned into groups. Each token's most central document, whose tokens
+   most others share, is a hub; a document belongs to the largest group among the hubs of its tokens
+   that are half alike, or to the nearest hub's. Its overlaps with the hubs are counted, and those that link are linked.
 4. The matrix holds each group's token union, one row (token, group). Every document is a query:
    joined with the matrix by its prefix tokens, it keeps the groups whose union holds enough of
-   them, then the pieces of these that do. A connected group is no query to itself, so a family of copies
-   costs one row a token, whatever its size. Only qualifying pieces are opened: there the
-   union of all tokens bounds the overlap again, and what passes is compared whole. One link to each
-   group is enough.
-5. Links make components by contraction.
+   them. Copies lie in one group whether they link or not, so a family costs one row a
+   token, whatever its size. Only qualifying groups are opened: the query becomes their guest.
+5. In a group, a document stands for its difference (tokens that it adds or lacks) from the group's centre, the tokens
+   that most of its documents have. Two documents differ by what their differences don't share. So if the sizes of the
+   differences alone prove a link, both link to the document nearest to the centre; otherwise they
+   link only if the differences share enough tokens. Prefixes of the differences,
+   with added tokens first, and the positions of shared ones leave few pairs, which are verified whole.
+6. Links make components by contraction.
 
 The common tokens are sent to the workers as one sorted array of at most ``COMMON`` hashes: the
 most frequent ones, whatever the corpus. Which they are changes only the amount of work.
@@ -38,7 +39,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,14 +48,13 @@ from . import common
 WORDS, SIMILARITY = 5, 80
 #: Documents from which on a token is common; bound of the common tokens.
 OFTEN, COMMON = 20, 500_000
-#: Orders by min-hashes that look for likely links; single documents of a group; documents of a piece of a group, and bytes of their tokens.
-CHAINS, GROUP, PIECE, PIECE_BYTES = 4, 64, 16, 1 << 20
+#: Similarity to a hub from which on its size decides.
+NEAR = 0.5
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B]
-_MINIMA = [f"m{k}" for k in range(CHAINS + 2)]
 _BASE, _MIX, _STEP = 0xB492B66FBE98F273, np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -217,147 +216,144 @@ def components(links: DataFrame) -> DataFrame:
     return common.written(out)
 
 
-def _minima(sets: DataFrame) -> DataFrame:
-    """doc_id, size (bytes of tokens) and minima of CHAINS + 2 hashes of the tokens."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = np.random.default_rng(3).integers(1, 1 << 63, CHAINS + 2, dtype=np.uint64) | np.uint64(1)
-        for block in common.blocks(batches, "tokens", 1 << 20):
-            low, sizes = [], []
-            for t in block.column(1).to_pylist():
-                x = np.frombuffer(t, np.uint64)
-                mixed = (x[:, None] ^ (x[:, None] >> np.uint64(29))) * salts
-                low.append((mixed ^ (mixed >> np.uint64(32))).min(0).view(np.int64))
-                sizes.append(len(t))
-            low = np.array(low)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes, pa.int64()), *map(pa.array, low.T.copy())], names=["doc_id", "size", *_MINIMA])
-
-    return sets.select("doc_id", "tokens").mapInArrow(work, "doc_id long, size long, " + ", ".join(f"{m} long" for m in _MINIMA))
+def _hubs(rows: DataFrame) -> DataFrame:
+    """(doc_id, hub): for each document, the most central ones of those with a token of it, of a size not too far from its own."""
+    width = rows.groupBy("token").agg(F.count("*").alias("k"))
+    score = rows.join(common.written(width).hint("merge"), "token").groupBy("doc_id").agg((F.sum("k") / F.first("n")).alias("score"))
+    scored = common.written(rows.join(score, "doc_id").select("token", "doc_id", "n", "score"))
+    best = common.written(scored.groupBy("token").agg(F.max(F.struct("score", "doc_id", "n")).alias("best")))
+    pairs = scored.join(best.hint("merge"), "token").where("doc_id <> best.doc_id AND n * 10 >= best.n * 6 AND best.n * 10 >= n * 6")
+    out = common.written(pairs.select("doc_id", F.col("best.doc_id").alias("hub")).distinct())
+    for done in (scored, best):
+        common.dropped(done)
+    return out
 
 
-def _neighbours(minima: DataFrame) -> DataFrame:
-    """Likely pairs (a, b): next to each other in an order by min-hashes, two of three of which agree."""
-    chains = F.explode(F.array(*(F.struct(F.lit(k).alias("chain"), *(F.col(f"m{k + j}").alias(f"x{j}") for j in range(3))) for k in range(CHAINS))))
-    order = ["chain", "x0", "x1", "x2", "doc_id"]
-    rows = minima.select("doc_id", chains.alias("c")).select("c.*", "doc_id").repartitionByRange(*order).sortWithinPartitions(*order)
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id, hub, alike (Jaccard similarity), link (whether it suffices)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            got = np.stack([batch.column(k).to_numpy() for k in range(5)], 1) if batch.num_rows else np.empty((0, 5), np.int64)
-            got = got if last is None else np.concatenate([last, got])
-            same = got[1:] == got[:-1]
-            pairs = np.sort(np.stack([got[:-1, 4], got[1:, 4]], 1)[same[:, 0] & same[:, 1] & (same[:, 2] | same[:, 3])], 1)
-            last = got[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        for block in common.blocks(batches, "x", 4 << 20):
+            same, union = [], []
+            for x, y in zip(block.column(2).to_pylist(), block.column(3).to_pylist()):
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+                same.append(int(np.count_nonzero(both[1:] == both[:-1])))
+                union.append(len(both) - same[-1])
+            same, union = np.array(same), np.array(union)
+            yield pa.RecordBatch.from_arrays([*block.columns[:2], pa.array(same / union), pa.array(100 * same >= SIMILARITY * union)], names=["doc_id", "hub", "alike", "link"])
 
-    return rows.selectExpr("cast(chain as bigint) chain", "x0", "x1", "x2", "doc_id").mapInArrow(work, "a long, b long")
+    one = pairs.join(sets.select("doc_id", F.col("tokens").alias("x")).hint("merge"), "doc_id")
+    both = one.join(sets.select(F.col("doc_id").alias("hub"), F.col("tokens").alias("y")).hint("merge"), "hub")
+    return both.select("doc_id", "hub", "x", "y").mapInArrow(work, "doc_id long, hub long, alike double, link boolean")
 
 
-def _central(rows: DataFrame, width: DataFrame) -> DataFrame:
-    """Likely pairs (a, b): each document, and the one among those with a token of it whose tokens most documents share."""
-    score = rows.join(width, "token").groupBy("doc_id").agg((F.sum("k") / F.first(F.col("n"))).alias("score"))
-    scored = common.written(rows.join(score, "doc_id").select("token", "doc_id", "n", "score"))
-    best = scored.groupBy("token").agg(F.max(F.struct("score", "doc_id", "n")).alias("best"))
-    pairs = scored.join(common.written(best).hint("merge"), "token").where("doc_id <> best.doc_id AND n * 100 >= best.n * 80 AND best.n * 100 >= n * 80")
-    return pairs.select(F.least("doc_id", "best.doc_id").alias("a"), F.greatest("doc_id", "best.doc_id").alias("b"))
+def _centres(homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, centre: the tokens that more than half of a group's documents have, sorted, as bytes."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, "tokens", 1 << 20):
+            parts = [np.frombuffer(t, np.int64) for t in block.column(2).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+            yield pa.RecordBatch.from_arrays([block.column(0).take(row), block.column(1).take(row), pa.array(np.concatenate(parts))], names=["hub", "half", "token"])
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """doc_id, n, own, grp, piece of ``docs`` (doc_id, n, size, grp, minima).
+    half = homes.groupBy("hub").agg((F.count("*") / 2).cast("long").alias("half"))
+    grouped = homes.select("doc_id", "hub").join(half.hint("merge"), "hub").join(sets.select("doc_id", "tokens").hint("merge"), "doc_id")
+    counted = grouped.select("hub", "half", "tokens").mapInArrow(work, "hub long, half long, token long").groupBy("hub", "token", "half").agg(F.count("*").alias("k"))
+    held = counted.where("k > half").groupBy("hub").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return held.select("hub", "tokens")
 
-    ``own`` is the document's group: the connected one (grp), or one of single documents.
-    """
-    order = ["grp", "m0", "m1", "m2", "doc_id"]
-    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "size", "grp", F.spark_partition_id().cast("long").alias("part"))
+
+def _differences(roles: DataFrame, sets: DataFrame, centres: DataFrame) -> DataFrame:
+    """doc_id, hub, guest, n, size (of the difference from the group's centre), and the prefix of the difference."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size, before = 0, 0, 0, None
-        for batch in batches:
-            pieces = []
-            for grp, more, part in zip(*(batch.column(k).to_pylist() for k in (3, 2, 4))):
-                if grp != before or held >= PIECE or size + more > PIECE_BYTES:
-                    number, held, size, before = number + 1, 0, 0, grp
-                held, size = held + 1, size + more
-                pieces.append(part << 36 | number)
-            yield pa.RecordBatch.from_arrays([*batch.select([0, 1, 3]).columns, pa.array(pieces, pa.int64())], names=["doc_id", "n", "grp", "piece"])
-
-    placed = rows.mapInArrow(work, "doc_id long, n long, grp long, piece long")
-    single = F.struct(F.lit(1).alias("single"), F.floor(F.col("piece") / max(1, GROUP // PIECE)).alias("id"))
-    own = F.when(F.col("grp").isNull(), single).otherwise(F.struct(F.lit(0).alias("single"), F.col("grp").alias("id")))
-    return placed.select("doc_id", "n", own.alias("own"), F.coalesce("grp", "doc_id").alias("grp"), "piece")
-
-
-def opened(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """(doc_id, piece): the pieces that may hold a partner of the document, by the bounds of the token-group matrix."""
-    owned = rows.select("token", "doc_id").join(placed.select("doc_id", "own"), "doc_id")
-    several = owned.groupBy("token").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("k")).where("a <> b OR (a.single = 1 AND k > 1)").select("token")
-    cells = common.written(rows.select("token", "doc_id").join(common.written(several).hint("merge"), "token").join(placed.drop("grp"), "doc_id"))
-    # A cell of the matrix: the documents of a piece with the token, and their sizes, which have to fit the query's.
-    matrix = common.written(cells.groupBy("token", F.col("own").alias("grp"), "piece").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high")))
-    groups = common.written(matrix.groupBy("token", "grp").agg(F.sum("k").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")))
-    cells = cells.drop("piece")
-    # A single document's own group counts for it where others in it share the token.
-    other = (F.col("own") != F.col("grp")) | ((F.col("grp.single") == 1) & (F.col("k") > 1))
-    fits = other & (F.col("high") * 100 >= F.col("n") * SIMILARITY) & (F.col("n") * 100 >= F.col("low") * SIMILARITY)
-    enough = F.col("shared") >= _needed(F.col("n"))
-    held = cells.join(groups.hint("merge"), "token").where(fits).groupBy("doc_id", "n", "grp").agg(F.count("*").alias("shared")).where(enough)
-    held = common.written(held.select("doc_id", "grp"))
-    there = cells.join(held.hint("merge"), "doc_id").join(matrix.hint("merge"), ["token", "grp"]).where(fits)
-    out = common.written(there.groupBy("doc_id", "n", "piece").agg(F.count("*").alias("shared")).where(enough).select("doc_id", "piece"))
-    for done in (cells, matrix, groups, held):
+        for block in common.blocks(batches, "tokens", 4 << 20):
+            sizes, parts = [], []
+            for x, y in zip(block.column(4).to_pylist(), block.column(5)):
+                x, y = np.frombuffer(x, np.int64), y.values.to_numpy() if y.is_valid else np.empty(0, np.int64)
+                # Added tokens, then lacking ones, each in the order of the sets: one order for the whole group.
+                apart = np.concatenate([x[~np.isin(x, y)], y[~np.isin(y, x)]])
+                sizes.append(len(apart))
+                parts.append(apart[: _most_apart(len(x)) + 1].tobytes())
+            yield pa.RecordBatch.from_arrays([*block.columns[:4], pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "hub", "guest", "n", "size", "apart"])
+
+    both = roles.join(sets.hint("merge"), "doc_id").join(centres.select("hub", F.col("tokens").alias("centre")).hint("merge"), "hub", "left")
+    return both.select("doc_id", "hub", "guest", "n", "tokens", "centre").mapInArrow(work, "doc_id long, hub long, guest boolean, n long, size long, apart binary")
+
+
+def _most_apart(n: int) -> int:
+    """Tokens by which a set of n differs from one it links to, at most."""
+    return (n + n * 100 // SIMILARITY) * (100 - SIMILARITY) // (100 + SIMILARITY)
+
+
+def guests(rows: DataFrame, homes: DataFrame) -> DataFrame:
+    """(doc_id, hub): the groups, behind the document's own by id, that may hold a partner of it, by the bound of the token-group matrix."""
+    cells = rows.select("token", "doc_id").join(homes.select("doc_id", "n", F.col("hub").alias("home")).hint("merge"), "doc_id")
+    several = common.written(cells.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high").select("token"))
+    cells = common.written(cells.join(several.hint("merge"), "token"))
+    matrix = common.written(cells.groupBy("token", F.col("home").alias("hub")).agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    fits = (F.col("home") < F.col("hub")) & (F.col("high") * 100 >= F.col("n") * SIMILARITY) & (F.col("n") * 100 >= F.col("low") * SIMILARITY)
+    shared = cells.join(matrix.hint("merge"), "token").where(fits).groupBy("doc_id", "n", "hub").agg(F.count("*").alias("shared"))
+    out = common.written(shared.where(F.col("shared") >= _needed(F.col("n"))).select("doc_id", "hub"))
+    for done in (several, cells, matrix):
         common.dropped(done)
     return out
 
 
-def _compared(queries: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between the documents and the pieces they open, one for each group at least.
+def _candidates(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a group, in different components, whose differences from the hub may share enough.
 
-    A piece meets its queries in slices of about ``GROUP`` of them, so a much asked piece is spread.
+    ``members`` has doc_id, hub, guest, n, size (tokens of the difference), apart, component.
     """
-    load = common.written(queries.groupBy("piece").agg(F.ceil(F.count("*") / GROUP).alias("slices")))
-    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")
-    held = placed.select("doc_id", "grp", "piece").join(load.hint("merge"), "piece").select("doc_id", "grp", "piece", slices, F.lit(True).alias("member"))
-    asked = queries.join(load.hint("merge"), "piece").withColumn("slice", F.pmod(F.xxhash64("doc_id"), "slices"))
-    asked = asked.join(placed.select("doc_id", "grp").hint("merge"), "doc_id").select("doc_id", "grp", "piece", "slice", F.lit(False).alias("member"))
-    met = sets.select("doc_id", "tokens").join(held.unionAll(asked).hint("merge"), "doc_id").select("piece", "slice", "member", "doc_id", "grp", "tokens")
-
-    def compare(rows: pa.Table) -> pa.Table:
-        sides = [rows.filter(pa.compute.equal(rows.column("member"), m)) for m in (False, True)]
-        (ids, groups), (others, theirs) = ([t.column(c).to_numpy() for c in ("doc_id", "grp")] for t in sides)
-        parts = [np.frombuffer(t, np.uint64) for t in sides[1].column("tokens").to_pylist()]
-        sizes = np.array([len(z) for z in parts])
-        tokens, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
-        union, out = np.unique(tokens), []
-        for doc, grp, mine in zip(ids.tolist(), groups.tolist(), sides[0].column("tokens").to_pylist()):
-            mine = np.sort(np.frombuffer(mine, np.uint64))
-            held = union[np.minimum(np.searchsorted(union, mine), len(union) - 1)] == mine
-            if held.sum() < least_overlap(len(mine)):
-                continue
-            hit = mine[np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)] == tokens
-            same = np.bincount(owner[hit], minlength=len(parts))
-            good = (100 * same >= SIMILARITY * (len(mine) + sizes - same)) & (theirs != grp)
-            _, first = np.unique(theirs[good], return_index=True)
-            out += [(min(doc, j), max(doc, j)) for j in others[good][first].tolist()]
-        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
 
-    return common.written(met.groupBy("piece", "slice").applyInArrow(compare, "a long, b long").distinct())
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, "apart", 1 << 20):
+            parts = [np.frombuffer(x, np.int64) for x in block.column(0).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+            at = np.concatenate([np.arange(len(x)) for x in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(at), *(c.take(row) for c in block.columns[1:])], names=["token", "at", *names])
+
+    names = ["doc_id", "hub", "guest", "n", "size", "component"]
+    rows = members.select("apart", *names).mapInArrow(work, "token long, at long, doc_id long, hub long, guest boolean, n long, size long, component long")
+    several = rows.groupBy("hub", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("hub", "token")
+    rows = common.written(rows.join(common.written(several).hint("merge"), ["hub", "token"]))
+    a, b = (rows.select("hub", "token", *(F.col(c).alias(c + k) for c in ("at", "doc_id", "guest", "n", "size", "component"))) for k in "12")
+    low, high = 100 - SIMILARITY, 100 + SIMILARITY
+    rest = F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))  # shared tokens from this one on, at most
+    enough = rest * 2 * high >= (F.col("size1") + F.col("size2")) * high - (F.col("n1") + F.col("n2")) * low
+    fits = (F.col("n1") * 100 >= F.col("n2") * SIMILARITY) & (F.col("n2") * 100 >= F.col("n1") * SIMILARITY)
+    apart = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("component1") != F.col("component2")) & ~(F.col("guest1") & F.col("guest2"))
+    return a.join(b.hint("merge"), ["hub", "token"]).where(apart & fits & enough).select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct()
 
 
 def linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) with the components of all links: likely ones, and by the matrix all that join other groups."""
-    width = common.written(rows.groupBy("token").agg(F.count("*").alias("k")))
-    minima = common.written(_minima(sets))
-    likely = _central(rows, width).unionAll(_neighbours(minima)).distinct()
-    likely = common.written(likely)
-    links = common.written(verified(likely, sets), 500)
-    held = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
-    docs = minima.join(sets.select("doc_id", "n"), "doc_id").join(held, "doc_id", "left")
-    placed = common.written(_placed(docs))
-    more = _compared(opened(rows, placed), placed, sets)
-    for done in (width, minima, likely):
-        common.dropped(done)
-    return links.unionAll(more)
+    """Links (a, b) with the components of all links."""
+    near = common.written(_overlaps(_hubs(rows), sets))
+    # Few large groups: the hub that most documents have, of those that are half alike; else the nearest.
+    asking = near.where(F.col("alike") >= NEAR).groupBy("hub").agg(F.count("*").alias("asking"))
+    first = F.max(F.struct(F.when(F.col("alike") >= NEAR, F.col("asking")).alias("asking"), "alike", "hub"))["hub"]
+    best = common.written(near.join(asking.hint("merge"), "hub", "left").groupBy("doc_id").agg(first.alias("hub")))
+    homes = common.written(sets.select("doc_id", "n").join(best.hint("merge"), "doc_id", "left").select("doc_id", "n", F.coalesce("hub", "doc_id").alias("hub")))
+    for _ in range(2):  # a hub takes its followers along when it follows another one
+        up = homes.select(F.col("doc_id").alias("hub"), F.col("hub").alias("further"))
+        homes = common.written(homes.join(up.hint("merge"), "hub").select("doc_id", "n", F.col("further").alias("hub")))
+    asked = guests(rows, homes)
+    # Groups of one that nobody asks have no pairs.
+    used = homes.groupBy("hub").agg(F.count("*").alias("k")).where("k > 1").select("hub").unionAll(asked.select("hub")).distinct()
+    grouped = common.written(homes.join(used.hint("merge"), "hub").select("doc_id", "hub"))
+    centres = common.written(_centres(grouped, sets), 500)
+    roles = grouped.withColumn("guest", F.lit(False)).unionAll(asked.withColumn("guest", F.lit(True)))
+    members = common.written(_differences(roles, sets, centres), 500)
+    # Two documents link for sure if their slacks add up to 0 or more; then each does so with the one of the most slack.
+    slack = F.col("n") * (100 - SIMILARITY) - F.col("size") * (100 + SIMILARITY)
+    most = members.groupBy("hub").agg(F.max(F.struct(slack.alias("slack"), "doc_id")).alias("most"))
+    sure = members.join(most.hint("merge"), "hub").where((slack + F.col("most.slack") >= 0) & (F.col("doc_id") != F.col("most.doc_id")))
+    links = near.where("link").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).unionAll(sure.select(F.col("doc_id").alias("a"), F.col("most.doc_id").alias("b")))
+    links = common.written(links)
+    connected = components(links).withColumnRenamed("id", "doc_id")
+    members = members.join(connected.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    pairs = common.written(_candidates(common.written(members)))
+    return common.written(links.unionAll(verified(pairs, sets)))
 
 
 def _common_tokens(shared: DataFrame) -> np.ndarray:

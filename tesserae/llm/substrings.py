@@ -22,9 +22,9 @@ execution can split, so a digit that a third of all rows share stays distributed
 between passes are written to the shared folder.
 
 Null and empty texts, and texts under ``T`` bytes, keep everything. Repeated rows are copies
-of each other, so texts from ``T`` bytes on vanish from both. ``doc_id`` names a text: rows
-with one id are taken to hold one text, and null ids count as one id. Other columns are not
-read. An empty table gives an empty table.
+of each other, so texts from ``T`` bytes on vanish from both. A text is named by ``doc_id`` and
+its own hash, so rows that share an id (or have none) with different texts are told apart. Other
+columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -47,8 +47,10 @@ SEGMENT = 1 << 18
 _BASE = 0x9E6C63D0876A9A47
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LETTERS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-_ROW = "h long, cls long, doc_id long, first long, n int, lead int"
-_NAMES = ["h", "cls", "doc_id", "first", "n", "lead"]
+_ROW = "h long, cls long, doc_id long, text_hash long, first long, n int, lead int"
+_NAMES = ["h", "cls", "doc_id", "text_hash", "first", "n", "lead"]
+#: What names a text.
+_KEY = ["doc_id", "text_hash"]
 
 
 class Anchors:
@@ -85,7 +87,7 @@ class Anchors:
 
 def _batch(parts: list[tuple]) -> pa.RecordBatch:
     cols = [np.concatenate(c) for c in zip(*parts)]
-    kinds = [np.int64, np.int64, np.int64, np.int64, np.int32, np.int32]
+    kinds = [np.int64, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32]
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(k)) for c, k in zip(cols, kinds)], names=_NAMES)
 
 
@@ -96,10 +98,10 @@ def anchored(docs: DataFrame, t: int = T, k: int = K) -> DataFrame:
         anchors = Anchors(t, k)
         for block in common.blocks(batches, "text"):
             parts = []
-            for doc, text in zip(block.column(0).to_pylist(), common.utf8(block.column(1))):
+            for doc, mark, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), common.utf8(block.column(2))):
                 for h, first, n, lead in anchors(np.frombuffer(text, np.uint8)):
                     cls = [xxhash.xxh3_64_intdigest(text[a : a + m + t - 1], x) for a, m, x in zip(first.tolist(), n.tolist(), lead.tolist())]
-                    parts.append((h, np.array(cls, np.uint64), np.full(len(h), doc, np.int64), first, n, lead))
+                    parts.append((h, np.array(cls, np.uint64), np.full(len(h), doc, np.int64), np.full(len(h), mark, np.int64), first, n, lead))
             if parts:
                 yield _batch(parts)
 
@@ -108,20 +110,20 @@ def anchored(docs: DataFrame, t: int = T, k: int = K) -> DataFrame:
 
 def _deeper(texts: DataFrame, wanted: DataFrame, digits) -> DataFrame:
     """Rows of the next digit for the wanted runs; ``digits(text, first, n, lead)`` yields (digit, covered text's hash, first, n, lead)."""
-    runs = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "lead")).alias("runs"))
+    runs = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "n", "lead")).alias("runs"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text", 1 << 20):
             got = []
-            for doc, text, mine in zip(block.column(0).to_pylist(), common.utf8(block.column(1)), block.column(2).to_pylist()):
-                got += [(h, c, doc, f, n, x) for run in mine for h, c, f, n, x in digits(text, run["first"], run["n"], run["lead"])]
+            for doc, mark, text, mine in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), common.utf8(block.column(2)), block.column(3).to_pylist()):
+                got += [(h, c, doc, mark, f, n, x) for run in mine for h, c, f, n, x in digits(text, run["first"], run["n"], run["lead"])]
                 if len(got) > 200_000:
                     yield _batch([tuple(np.array(c, np.uint64 if k < 2 else np.int64) for k, c in enumerate(zip(*got)))])
                     got = []
             if got:
                 yield _batch([tuple(np.array(c, np.uint64 if k < 2 else np.int64) for k, c in enumerate(zip(*got)))])
 
-    return texts.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(work, _ROW)
+    return texts.join(runs, _KEY).select(*_KEY, "text", "runs").mapInArrow(work, _ROW)
 
 
 def second_digit(t: int = T, step: int = STEP):
@@ -153,14 +155,14 @@ def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Written and merged, so that both sides are plain exchanges, which adaptive execution can split, at every size.
     kept = common.written(rows.join(common.written(shared).hint("merge"), "h"))
     several = kept.where("several")
-    texts = several.groupBy("h", "cls").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "first", "n", "lead")).alias("one"))
+    texts = several.groupBy("h", "cls").agg(F.count("*").alias("k"), F.min(F.struct(*_KEY, "first", "n", "lead")).alias("one"))
     texts = common.written(texts)
     alike = several.join(texts.where("k > 1").select("h", "cls"), ["h", "cls"])
-    return kept.where("not several").select("doc_id", "first", "n").unionAll(alike.select("doc_id", "first", "n")), texts.select("one.*")
+    return kept.where("not several").select(*_KEY, "first", "n").unionAll(alike.select(*_KEY, "first", "n")), texts.select("one.*")
 
 
 def repeated(texts: DataFrame, t: int = T, k: int = K, step: int = STEP) -> DataFrame:
-    """(doc_id, first, n): runs of windows that occur elsewhere too; ``texts`` has doc_id (no nulls) and text."""
+    """(doc_id, text_hash, first, n): runs of windows that occur elsewhere too; ``texts`` has doc_id (no nulls), text_hash and text."""
     found, open_runs = split(anchored(texts, t, k))
     more, open_windows = split(common.written(_deeper(texts, open_runs, second_digit(t, step))))
     last, _ = split(common.written(_deeper(texts, open_windows, last_digit(t))))
@@ -170,8 +172,10 @@ def repeated(texts: DataFrame, t: int = T, k: int = K, step: int = STEP) -> Data
 def deduplicated(docs: DataFrame, t: int = T, k: int = K, step: int = STEP) -> DataFrame:
     """doc_id, n_bytes, ``removed`` (maximal spans, end exclusive) and ``kept`` (binary) of each row."""
     none = -(1 << 63)
-    texts = docs.select(F.coalesce("doc_id", F.lit(none)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    runs = repeated(texts, t, k, step).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    common.shipped(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.coalesce("doc_id", F.lit(none)).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    runs = repeated(texts, t, k, step).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +197,7 @@ def deduplicated(docs: DataFrame, t: int = T, k: int = K, step: int = STEP) -> D
                 kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    out = texts.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, removed array<struct<first:long,end:long>>, kept binary")
+    out = texts.join(runs, _KEY, "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, removed array<struct<first:long,end:long>>, kept binary")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(none)))
 
 

@@ -53,13 +53,11 @@ def corpus(seed):
     return out + [(9000, None), (9001, ""), (9002, " \t"), (9003, "w " * 40_000), (9004, "W x"), (9005, "w X")]
 
 
-@pytest.mark.parametrize("seed,group,often,likely", [(1, 64, 20, True), (2, 3, 4, True), (3, 5, 1, False)])
-def test_against_brute_force(spark, monkeypatch, seed, group, often, likely):
+@pytest.mark.parametrize("seed,often,hubs", [(1, 20, True), (2, 4, True), (3, 1, False)])
+def test_against_brute_force(spark, monkeypatch, seed, often, hubs):
     monkeypatch.setattr(J, "OFTEN", often)
-    monkeypatch.setattr(J, "GROUP", group)
-    if not likely:  # the matrix alone finds all links
-        monkeypatch.setattr(J, "_central", lambda rows, width: rows.selectExpr("doc_id a", "doc_id b").limit(0))
-        monkeypatch.setattr(J, "_neighbours", lambda minima: minima.selectExpr("doc_id a", "doc_id b").limit(0))
+    if not hubs:  # groups of one: the matrix alone finds all links
+        monkeypatch.setattr(J, "_hubs", lambda rows: rows.selectExpr("doc_id", "doc_id hub").limit(0))
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as token")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.joined(df).collect())

@@ -56,6 +56,18 @@ def test_repeated_rows_and_empty(spark):
     assert S.deduplicated(df.limit(0)).count() == 0
 
 
+def test_null_and_equal_ids_with_different_texts(spark):
+    rng = random.Random(9)
+    piece = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    long, short, other = piece(900), piece(250), piece(400)
+    texts = [long, short, other, long + other, piece(30), None]
+    for ids in ([None] * 6, [7] * 6, [1, 1, None, 2, None, None]):
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        want = brute([(x or "").encode() for x in texts], 200)
+        got = [(r.n_bytes, sum(s["end"] - s["first"] for s in r.removed), len(r.removed), bytes(r.kept)) for r in S.deduplicated(df).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_query(spark, tmp_path):
     rng = random.Random(4)
     x = "".join(rng.choice("abcdef") for _ in range(500))
