@@ -23,7 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,12 +35,19 @@ from . import common
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("head title script style noscript template nav footer form button select option textarea input label fieldset iframe object svg canvas aside menu dialog".split())
+NEVER = frozenset("head title script style noscript template nav footer button select option textarea input label fieldset iframe object svg canvas aside menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element of the given kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in class, id, role or the like.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising alert aside author-box banner breadcrumb breadcrumbs byline-share comment comments consent cookie cookies copyright disclaimer discussion disqus footer form legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion reader-comments recommended related reply replies respond search share sharing sidebar sign signup skip social sponsor sponsored subscribe subscription tagcloud teaser toc toolbar topbar widget widgets contentinfo complementary".split())
+#: Last parts of names that say nothing, first parts that name a state of the page.
+GENERIC = frozenset("area bar block box container content group inner item items link links list panel section text title wrap wrapper".split())
+STATES = frozenset("after before has hide is no not with without".split())
+#: Elements whose names describe the page, not a part of it; elements that make a form around them a wrapper.
+WRAPPERS, WRAPPED = frozenset("html body main article".split()), frozenset("article main h1".split())
+#: Elements nested deeper than this become siblings, as browsers do.
+DEEPEST = 256
 CONTENT = frozenset("article body content entry main post story text prose".split())
 #: Weights of the linear classifier, in nats: above 0 speaks for content.
 WEIGHTS = {"bias": -1.2, "article": 2.6, "main": 1.8, "paragraph": 1.0, "heading": 0.3, "list": -0.3, "words": 0.55, "stops": 0.25, "links": -4.0, "boilerplate": -9.0, "content": 0.8, "header": -4.0}
@@ -49,12 +56,12 @@ INFINITE = 1e6
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg)\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\b[^>]*>|\Z))"
+    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</(?P=raw)\b[^>]*>|\Z)|<svg\b[^>]*?(?:/>|>.*?(?:</svg\b[^>]*>|\Z))"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>""",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label|data-component)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z]+")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
 _MAY_HIDE = re.compile(r"hidden|display", re.I)
 _DISPLAY_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
@@ -71,25 +78,40 @@ def hides(rest: str) -> bool:
     return hidden or held.get("aria-hidden", "").lower() == "true" or bool(_DISPLAY_NONE.search(held.get("style", "")))
 
 
+def is_boilerplate(name: str) -> bool:
+    """Is a class, id or role a name for boilerplate: one of the words, or a compound that ends in one (site-footer, comment-list)?"""
+    if name in BOILERPLATE:
+        return True
+    parts = _PART.findall(name)
+    while len(parts) > 1 and parts[-1] in GENERIC:
+        parts.pop()
+    return bool(parts) and parts[-1] in BOILERPLATE and parts[0] not in STATES
+
+
 class Element:
-    __slots__ = ("tag", "number", "never", "article", "main", "bad", "good", "header", "depth", "up", "block")
+    __slots__ = ("tag", "number", "never", "form", "article", "main", "bad", "good", "header", "depth", "up", "block", "links")
 
     def __init__(self, tag: str, number: int, up: Element | None, rest: str):
         self.tag, self.number, self.up = tag, number, up
         self.depth = up.depth + 1 if up else 0
-        self.block = self if tag not in INLINE or up is None else up.block
+        inline = tag in INLINE and up is not None
+        self.block = up.block if inline else self
+        self.links = (up.links if inline else 0) + (tag == "a")
         names: set[str] = set()
         if rest and "=" in rest:
             for m in _NAMED.finditer(rest):
-                value = (m[1] or m[2] or m[3] or "").lower()
-                names.update(_WORD.findall(value), value.split())
+                names.update((m[1] or m[2] or m[3] or "").lower().split())
         self.never = bool(up and up.never) or tag in NEVER or bool(rest) and hides(rest)
+        # A form counts as one unless it wraps the page's article.
+        self.form = [True] if tag == "form" else up.form if up else None
+        if tag in WRAPPED and self.form:
+            self.form[0] = False
         self.article = bool(up and up.article) or tag == "article"
         self.main = bool(up and up.main) or tag == "main" or "main" in names
-        bad = bool(names & BOILERPLATE)
+        bad = tag not in WRAPPERS and any(map(is_boilerplate, names))
         self.bad = bool(up and up.bad) or bad
-        self.good = bool(up and up.good) or bool(names & CONTENT) and not bad
-        self.header = bool(up and up.header) or (tag == "header" or "header" in names) and not self.article
+        self.good = bool(up and up.good) or not bad and any(n in CONTENT or CONTENT.intersection(_PART.findall(n)) for n in names)
+        self.header = bool(up and up.header) or (tag == "header" or tag not in WRAPPERS and "header" in names) and not self.article
 
 
 class Block:
@@ -101,10 +123,18 @@ class Block:
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text with the element around them, in page order."""
-    root = here = Element("#root", 0, None, "")
+    here = Element("#root", 0, None, "")
     out: list[Block] = []
     parts: list[str] = []
     linked, links, count, at = 0, 0, 0, 0
+    end = page.rfind(">") + 1  # no tag ends after it
+    opened: Counter[str] = Counter()
+
+    def ended(x: Element) -> None:
+        nonlocal here
+        while here is not x.up:
+            opened[here.tag] -= 1
+            here = here.up
 
     def flush() -> None:
         nonlocal linked
@@ -115,7 +145,7 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(Block(text, linked, here.block))
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    for m in _TOKEN.finditer(page, 0, end):
         if m.start() > at:
             parts.append(page[at : m.start()])
             linked += (m.start() - at) * (links > 0)
@@ -139,31 +169,30 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if m["end"] or m["end2"]:
-            x = here
+            x = here if opened[tag] else None
             while x is not None and x.tag != tag:
                 # A stray end tag of an inline element ends nothing beyond its block.
                 x = None if tag in INLINE and x.block is x else x.up
             if x is not None and x.up is not None:
-                here = x.up
+                ended(x)
         else:
             ends = ENDS.get(tag, ())
             if tag not in INLINE and not ends:
                 ends = {"p"}
-            if ends:
+            if any(opened[t] for t in ends):
                 x = here
                 while x is not None and x.tag not in ends and (x.tag in INLINE or x.tag == "p"):
                     x = x.up
                 if x is not None and x.tag in ends and x.up is not None:
-                    here = x.up
+                    ended(x)
             count += 1
             rest = m["rest"] if m["rest"] is not None else m["rest2"] or ""
             if not rest.endswith("/") or tag in ("a", "p", "div"):
+                if here.depth >= DEEPEST:
+                    ended(here)
                 here = Element(tag, count, here, rest)
-        x, links = here, 0
-        while x is not None and x is not x.block:
-            links += x.tag == "a"
-            x = x.up
-        links += x is not None and x.tag == "a"
+                opened[tag] += 1
+        links = here.links
     if at < len(page):
         tail = page[at:]
         if "<" not in tail or ">" in tail:
@@ -171,14 +200,13 @@ def blocks_of(page: str) -> list[Block]:
         else:
             parts.append(tail[: tail.rindex("<")] if re.match(r"</?[a-zA-Z]", tail[tail.rindex("<") :]) else tail)
     flush()
-    del root
     return out
 
 
 def preference(block: Block) -> float:
     """Log-odds of content against boilerplate."""
     e, w = block.element, WEIGHTS
-    if e.never:
+    if e.never or e.form and e.form[0]:
         return -INFINITE
     words = block.text.count(" ") + 1
     score = w["bias"] + w["words"] * math.log(words)
@@ -313,6 +341,7 @@ def main_text(page: str | None) -> str:
 
 def extracted(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), column: str = "html") -> DataFrame:
     """``keep`` columns and ``text``. One pass, no shuffle."""
+    common.shipped(pages.sparkSession)
     kept = pages.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{column}`").alias("__html"))
     schema = pages.select(*(F.col(f"`{c}`") for c in keep)).schema.add("text", "string", False)
 

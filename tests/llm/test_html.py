@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from tesserae.llm import html as H
 
 
@@ -65,3 +67,36 @@ def test_hidden_by_attribute_name():
     for rest in ("hidden", "HIDDEN=''", 'class=x hidden="hidden"', "aria-hidden=true", 'aria-hidden = "True"', "style='color:red; DISPLAY : none'", 'style="display:none!important"', "a=1 hidden/"):
         assert H.hides(f" {rest} "), rest
         assert H.main_text(f"<body><article><div {rest}><p>{PARA}</p></div><p>{PARA}</p></article></body>") == PARA, rest
+
+
+ARTICLE = "<article><h1>A walk</h1><p>We walked, slowly, along the river; the day was long, and nobody spoke a word of the loss.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="has-sidebar">{ARTICLE}</body>',
+        f'<body class="no-sidebar menu-open">{ARTICLE}</body>',
+        f'<html class="social-media-theme"><body>{ARTICLE}</body></html>',
+        ARTICLE.replace("<article>", '<article class="post comments-open">'),
+        f'<div class="notice-of-death">{ARTICLE}</div>',
+        f"<form>{ARTICLE}<input name=q></form>",
+        f'<script src="x"/>var a = "shown";</script>{ARTICLE}',
+        f'<div class="site-footer">All rights reserved, and so on, as ever.</div><div class="comment-list"><p>I liked this, it was good, thanks a lot.</p></div>{ARTICLE}',
+        f"<form><p>Your name, please, and your letter, in full, below.</p></form>{ARTICLE}",
+    ],
+)
+def test_names_and_wrappers(page):
+    text = H.main_text(page)
+    assert "along the river" in text
+    assert not any(x in text for x in ("shown", "reserved", "liked", "Your name"))
+
+
+@pytest.mark.parametrize("piece", ["<b>", '<a "', "<div>", "<p>x</i>", "<i><div>", "</b>", "<", "<!-", "<a '\"", "&amp"])
+def test_hostile_pages_end(piece):
+    import time
+
+    began = time.perf_counter()
+    H.main_text(piece * (1_000_000 // len(piece)))
+    H.main_text("<i><div>" + "<b>" * 100_000 + "</i>" * 100_000)
+    assert time.perf_counter() - began < 20
