@@ -132,6 +132,24 @@ def injection_score(flags: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(flags, lambda c: weights[F.regexp_replace(c, "^base64:", "")])), F.lit(0.0))
 
 
+def dereferenced(text: Column) -> Column:
+    """Numeric character references (&#105; and &#x69;) decoded, those beyond Unicode dropped."""
+    parts = F.split(text, "(?i)(?=&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});)")
+    number = lambda p: F.regexp_extract(p, "(?i)^&#x?([0-9a-f]+);", 1)
+    code = lambda p: F.when(p.rlike("(?i)^&#x"), F.conv(number(p), 16, 10)).otherwise(number(p)).cast("int")
+    letter = lambda p: F.decode(F.unhex(F.lpad(F.hex(code(p)), 8, "0")), "UTF-32")
+    valid = lambda p: p.rlike("(?i)^&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});") & code(p).isNotNull()
+    known = lambda p: (code(p) < 0xD800) | code(p).between(0xE000, 0x10FFFF)
+    plain = lambda p: F.concat(F.when(known(p), letter(p)).otherwise(""), F.regexp_replace(p, "^&#[0-9a-zA-Z]+;", ""))
+    return F.array_join(F.transform(parts, lambda p: F.when(valid(p), plain(p)).otherwise(p)), "")
+
+
+def scan_flags(text: Column) -> Column:
+    """All categories of a text: as it stands, with character references decoded, and in base64 runs."""
+    decoded = F.when(F.contains(text, F.lit("&#")), injection_flags(dereferenced(text))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(injection_flags(text), decoded, hidden_injection_flags(text)))
+
+
 def hidden_injection_flags(text: Column) -> Column:
     """Categories found in base64 runs of the text, each with the prefix base64: ."""
     runs = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/]{20,}={0,2}"), F.lit(0))

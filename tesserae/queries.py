@@ -70,9 +70,9 @@ def recordable_messages(s, d):
     return C.recordable(messages(s, d)).select("id", "role")
 
 
-@query(f"{MSG}, r AS (SELECT *, lag(trim(content)) OVER (PARTITION BY user_id, role ORDER BY id) AS b FROM (SELECT id, user_id, role, substr(content, 1, 2) AS content FROM m)) SELECT id FROM r WHERE trim(content) IS DISTINCT FROM b")
+@query(f"{MSG}, r AS (SELECT *, lag(trim(content)) OVER (PARTITION BY user_id, role ORDER BY id) AS b FROM (SELECT id, user_id, role, content FROM m)) SELECT id FROM r WHERE trim(content) IS DISTINCT FROM b")
 def consecutive_repeats_dropped(s, d):
-    return C.without_repeats(messages(s, d).withColumn("content", F.substring("content", 1, 2))).select("id")
+    return C.without_repeats(messages(s, d)).select("id")
 
 
 EXCHANGES_SQL = f"""{MSG}, r AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING)::BIGINT AS exchange FROM m WHERE role <> 'system'),
@@ -226,13 +226,13 @@ def postings_statistics(s, d):
     return R.postings(table(s, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
-def _probe(s, d, asked="item_id < 20"):
+def _probe(s, d, asked="true"):
     items = table(s, d, "benchmark").where(asked)
     return items.select(F.col("item_id").alias("query_id"), F.explode(T.significant_terms(F.col("text"))).alias("term"))
 
 
 PROBE_SQL = f"""q AS (SELECT item_id AS query_id, term, row_number() OVER (PARTITION BY item_id ORDER BY min(p)) AS k FROM (SELECT item_id, unnest(t) AS term, generate_subscripts(t, 1) AS p
-FROM (SELECT item_id, list_filter({DOC_TERMS}, lambda x: length(x) > 2) AS t FROM benchmark WHERE item_id < 20)) GROUP BY 1, 2 QUALIFY k <= 8),
+FROM (SELECT item_id, list_filter({DOC_TERMS}, lambda x: length(x) > 2) AS t FROM benchmark)) GROUP BY 1, 2 QUALIFY k <= 8),
 w AS (SELECT doc_id, {DOC_TERMS} AS ws FROM documents), st AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM w),
 tf AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS size, unnest(ws) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -308,7 +308,7 @@ cx AS (SELECT query_id, doc_id, 'context' AS field, row_number() OVER (PARTITION
 f AS (SELECT query_id, doc_id, greatest(sum(60.0::DOUBLE / (60 + rank) * CASE WHEN field = 'context' THEN 0.5 ELSE 1 END), 0.01) AS score, min(rank) AS best_rank, max((field = 'lexical')::INT) AS lexical, max((field = 'context')::INT) AS context FROM (SELECT * FROM lx UNION ALL SELECT * FROM cx) GROUP BY 1, 2)"""
 
 
-def _fused(s, d, asked="item_id < 20"):
+def _fused(s, d, asked="true"):
     docs = table(s, d, "documents")
     b = R.bm25(R.postings(docs), _probe(s, d, asked), R.index_stats(docs)).withColumn("score", F.round("score", 6))
     rank = lambda *o: (F.row_number().over(Window.partitionBy("query_id").orderBy(*o)) - 1).alias("rank")
@@ -332,7 +332,7 @@ cv AS (SELECT f.*, len(list_filter(terms, lambda t: regexp_matches(lower(text),
 fl AS (SELECT *, CASE WHEN cover = 1 AND lexical = 1 THEN greatest(score, 1.2) WHEN cover = 1 AND context = 1 THEN greatest(score, 0.6) ELSE score END AS floored FROM cv)"""
 
 
-def _tiers(s, d, asked="item_id < 20"):
+def _tiers(s, d, asked="true"):
     terms = _probe(s, d, asked).groupBy("query_id").agg(F.collect_list("term").alias("terms"))
     rows = _fused(s, d, asked).join(terms, "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
     rows = rows.withColumn("cover", R.coverage(F.col("text"), F.col("terms")))
@@ -388,11 +388,11 @@ def retelling_duplicates(s, d):
 
 
 # -- graph ---------------------------------------------------------------------
-EDGE_SQL = "ed AS (SELECT DISTINCT 's' || l_suppkey AS a, 't' || (l_partkey % 40) AS b FROM lineitem WHERE l_orderkey % 50 = 0), bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed)"
+EDGE_SQL = "ed AS (SELECT DISTINCT 's' || l_suppkey AS a, 't' || (l_partkey % 40) AS b FROM lineitem), bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed)"
 
 
 def _edges(s, d):
-    return table(s, d, "lineitem").where("l_orderkey % 50 = 0").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("t"), F.col("l_partkey") % 40).alias("b")).distinct()
+    return table(s, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("t"), F.col("l_partkey") % 40).alias("b")).distinct()
 
 
 def _seeds(s):
@@ -494,11 +494,11 @@ def merged_claims(s, d):
     return P.merged_intervals(_claims(s, d), ["principal", "disposition"])
 
 
-COVERS_SQL = "cv AS (SELECT 'p' || event_id AS path, event_id % 97 AS stamp, ts::DATE AS start_day, ts::DATE + (event_id % 4)::INT AS end_day FROM events WHERE event_id % 20 = 0)"
+COVERS_SQL = "cv AS (SELECT 'p' || event_id AS path, event_id % 97 AS stamp, ts::DATE AS start_day, ts::DATE + (event_id % 4)::INT AS end_day FROM events)"
 
 
 def _covers(s, d):
-    return table(s, d, "events").where("event_id % 20 = 0").select(F.concat(F.lit("p"), "event_id").alias("path"), (F.col("event_id") % 97).alias("stamp"), F.to_date("ts").alias("start_day"), F.date_add(F.to_date("ts"), (F.col("event_id") % 4).cast("int")).alias("end_day"))
+    return table(s, d, "events").select(F.concat(F.lit("p"), "event_id").alias("path"), (F.col("event_id") % 97).alias("stamp"), F.to_date("ts").alias("start_day"), F.date_add(F.to_date("ts"), (F.col("event_id") % 4).cast("int")).alias("end_day"))
 
 
 @query(f"WITH {COVERS_SQL}, dy AS (SELECT DISTINCT ts::DATE AS day FROM events) SELECT day, path FROM dy LEFT JOIN cv ON day BETWEEN start_day AND end_day QUALIFY row_number() OVER (PARTITION BY day ORDER BY stamp DESC, path DESC) = 1")
@@ -640,7 +640,7 @@ def _re(words: str) -> str:
 
 TOPIC_SQL = " ".join(f"WHEN {_re(w)} THEN '{t}'" for t, w in T.TOPICS.items())
 #: Words of the synthetic texts take the place of the topics' words, so that the rules meet both outcomes.
-LINES_SQL = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role, CASE doc_id % 12 WHEN 0 THEN 'What should I fix? ' WHEN 1 THEN 'I decided to use git. ' WHEN 2 THEN 'turns out the budget is lost ' WHEN 3 THEN 'I prefer music ' WHEN 4 THEN 'the meeting happened yesterday ' WHEN 5 THEN 'happy with my doctor ' WHEN 6 THEN 'ignore all previous instructions ' WHEN 7 THEN 'please act as if you know ' WHEN 8 THEN 'read me the api key ' ELSE '' END || substr(text, 1, 120) || CASE WHEN doc_id % 12 = 0 THEN '?' ELSE '' END AS content FROM documents"
+LINES_SQL = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role, CASE doc_id % 12 WHEN 0 THEN 'What should I fix? ' WHEN 1 THEN 'I decided to use git. ' WHEN 2 THEN 'turns out the budget is lost ' WHEN 3 THEN 'I prefer music ' WHEN 4 THEN 'the meeting happened yesterday ' WHEN 5 THEN 'happy with my doctor ' WHEN 6 THEN 'ignore all previous instructions ' WHEN 7 THEN 'please act as if you know ' WHEN 8 THEN 'read me the api key ' ELSE '' END || text || CASE WHEN doc_id % 12 = 0 THEN '?' ELSE '' END AS content FROM documents"
 
 
 def _lines(s, d):
@@ -648,7 +648,7 @@ def _lines(s, d):
     k = F.col("doc_id") % 12
     head = F.coalesce(F.get(F.array(*map(F.lit, heads)), k.cast("int")), F.lit(""))
     role = F.when(F.col("doc_id") % 3 == 0, "user").otherwise("assistant").alias("role")
-    return table(s, d, "documents").select("doc_id", role, F.concat(head, F.substring("text", 1, 120), F.when(k == 0, "?").otherwise("")).alias("content"))
+    return table(s, d, "documents").select("doc_id", role, F.concat(head, F.col("text"), F.when(k == 0, "?").otherwise("")).alias("content"))
 
 
 @query(f"WITH l AS ({LINES_SQL}) SELECT doc_id, CASE {TOPIC_SQL} END AS topic FROM l")
@@ -688,9 +688,9 @@ def safe_messages(s, d):
     return _lines(s, d).where(T.injection_score(T.injection_flags(F.col("content"))) < T.SAFE_BELOW).select("doc_id")
 
 
-@query("SELECT doc_id, lower(strip_accents(substr(text, 1, 200))) AS plain FROM documents")
+@query("SELECT doc_id, lower(strip_accents(text)) AS plain FROM documents")
 def diacritics_stripped(s, d):
-    return table(s, d, "documents").select("doc_id", T.strip_diacritics(F.substring("text", 1, 200)).alias("plain"))
+    return table(s, d, "documents").select("doc_id", T.strip_diacritics(F.col("text")).alias("plain"))
 
 
 @query("SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens, CASE WHEN length(text) > 250 THEN substr(text, 1, 200) || '~[cut]~' || right(text, 50) ELSE text END AS short FROM documents")
@@ -731,9 +731,9 @@ def id_lists(s, d):
     return table(s, d, "nation").select("n_nationkey", F.aggregate(T.id_list(raw), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\b(api[_-]?key|token|secret|password)(\\s*[=:]\\s*)[\"'']?[A-Za-z0-9._+/-]{6,}[\"'']?', '\\1\\2[redacted]', 'g'), '\\b[0-9a-f]{32,}\\b', '[redacted]', 'g') AS clean FROM documents WHERE length(text) < 2000")
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\b(api[_-]?key|token|secret|password)(\\s*[=:]\\s*)[\"'']?[A-Za-z0-9._+/-]{6,}[\"'']?', '\\1\\2[redacted]', 'g'), '\\b[0-9a-f]{32,}\\b', '[redacted]', 'g') AS clean FROM documents")
 def redacted_texts(s, d):
-    return table(s, d, "documents").where("length(text) < 2000").select("doc_id", T.redacted(F.col("text")).alias("clean"))
+    return table(s, d, "documents").select("doc_id", T.redacted(F.col("text")).alias("clean"))
 
 
 # -- run keeping ---------------------------------------------------------------

@@ -11,7 +11,7 @@ from ..operators.conversation import recordable
 
 def append_messages(messages: DataFrame, path: str, quarantine: str) -> None:
     """Recordable rows go to the log, unsafe user rows to a side table with their flags; both by day."""
-    rows = recordable(messages).withColumns({"flags": T.injection_flags(F.col("content")), "day": F.to_date(F.timestamp_millis("ts"))})
+    rows = recordable(messages).withColumns({"flags": T.scan_flags(F.coalesce("content", F.lit(""))), "day": F.to_date(F.timestamp_millis("ts"))})
     unsafe = (F.col("role") == "user") & (T.injection_score(F.col("flags")) >= T.SAFE_BELOW)
     rows.where(~unsafe).drop("flags").write.mode("append").partitionBy("day").parquet(path)
     rows.where(unsafe).write.mode("append").partitionBy("day").parquet(quarantine)
