@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     if set_dir:
         return set_dir
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-checkpoint-"))
     return sc.getCheckpointDir()
 
