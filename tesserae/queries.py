@@ -367,13 +367,15 @@ def batched_recall(s, d):
     return recall.recalled(docs, items, "normal").select("query_id", "doc_id", "place", "tier", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT a.doc_id, b.item_id FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) < 3000) a, (SELECT item_id, lower(text) AS t FROM benchmark WHERE item_id < 30) b
-WHERE (length(b.t) >= 20 AND len(list_filter(generate_series(1, length(b.t) - 19, 10), lambda i: contains(a.t, substr(b.t, i, 20)))) > 0)
-OR len(list_intersect(list_distinct(list_filter(regexp_extract_all(a.t, '[a-z]{4,}'), lambda w: w NOT IN ('that', 'this', 'with', 'from'))), list_distinct(list_filter(regexp_extract_all(b.t, '[a-z]{4,}'), lambda w: w NOT IN ('that', 'this', 'with', 'from'))))) >= 5""")
+@query("""WITH r AS (SELECT doc_id, lower(text) AS t FROM documents), m AS (SELECT item_id, lower(text) AS t FROM benchmark),
+rw AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '[a-z]{4,}')) AS w FROM r), mw AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(t, '[a-z]{4,}')) AS w FROM m),
+mp AS (SELECT item_id, unnest(list_transform(generate_series(1, length(t) - 19, 10), lambda i: substr(t, i, 20))) AS p FROM m WHERE length(t) >= 20)
+SELECT doc_id, item_id FROM rw JOIN mw USING (w) WHERE w NOT IN ('that', 'this', 'with', 'from') GROUP BY 1, 2 HAVING count(*) >= 5
+UNION SELECT doc_id, item_id FROM r, mp WHERE contains(t, p)""")
 def citations(s, d):
-    docs = table(s, d, "documents").where("length(text) < 3000").select("doc_id", "text")
-    items = table(s, d, "benchmark").where("item_id < 30").select("item_id", F.col("text").alias("memory"))
-    return docs.crossJoin(F.broadcast(items)).where(R.cites(F.col("text"), F.col("memory"), ["that", "this", "with", "from"])).select("doc_id", "item_id")
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("response_id"), F.col("text").alias("response"))
+    items = table(s, d, "benchmark").select(F.col("item_id").alias("memory_id"), F.col("text").alias("memory"))
+    return R.cited(docs, items, ["that", "this", "with", "from"]).select(F.col("response_id").alias("doc_id"), F.col("memory_id").alias("item_id"))
 
 
 @query("""SELECT doc_id, CASE WHEN p IS NULL THEN NULL ELSE substr(text, greatest(p - 20, 1)::INT, 80) END AS excerpt FROM (SELECT doc_id, text,
@@ -703,11 +705,11 @@ def search_expressions(s, d):
     return table(s, d, "benchmark").select("item_id", T.search_query(F.col("text")).alias("q"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, 'really the configuration of this Telegram bot causes trouble because ' || substr(text, 1, 60) AS t FROM documents)
+@query(r"""WITH l AS (SELECT doc_id, 'really the configuration of this Telegram bot causes trouble because ' || text AS t FROM documents)
 SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\bTelegram\b', 'TG', 'g'), '(?i)\bconfiguration\b', 'config', 'g'), '(?i)\bcauses?\b', '>causes', 'g'), '(?i)\bbecause\b', '∵', 'g'),
 '(?i)\b(basically|essentially|actually|really|very|just|quite|rather|simply|that|this|these|those|its|also|so|then|well|some|about|there)\b', '', 'g'), '\s{2,}', ' ', 'g')) AS compact FROM l""")
 def compact_texts(s, d):
-    t = F.concat(F.lit("really the configuration of this Telegram bot causes trouble because "), F.substring("text", 1, 60))
+    t = F.concat(F.lit("really the configuration of this Telegram bot causes trouble because "), "text")
     return table(s, d, "documents").select("doc_id", T.compact(t).alias("compact"))
 
 
@@ -803,17 +805,17 @@ def _stream(s, d):
 @query("""WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS "end", count(*) AS n, max(value) AS top FROM g GROUP BY user_id, k""")
 def streamed_sessions(s, d):
-    return S.drained(S.sessions(_stream(s, d), "1 day"), "tesserae_sessions", "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    return S.drained(S.sessions(_stream(s, d), "1 day"), "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @query("SELECT date_trunc('week', ts) AS week, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def streamed_weeks(s, d):
-    return S.drained(S.tumbling(_stream(s, d)), "tesserae_weeks", "complete").withColumns({"week": F.col("week").cast("timestamp_ntz"), "total": F.round("total", 6)})
+    return S.drained(S.tumbling(_stream(s, d)), "complete").withColumns({"week": F.col("week").cast("timestamp_ntz"), "total": F.round("total", 6)})
 
 
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def streamed_first_seen(s, d):
-    return S.drained(S.first_seen(_stream(s, d).select("ts", "event_type", "user_id"), ["event_type", "user_id"], "3650 days").select("event_type", "user_id"), "tesserae_first")
+    return S.drained(S.first_seen(_stream(s, d).select("ts", "event_type", "user_id"), ["event_type", "user_id"], "3650 days").select("event_type", "user_id"))
 
 
 # -- writes, selection and parsing ---------------------------------------------
@@ -887,11 +889,11 @@ def greedy_budget(s, d):
     return R.greedy_fill(messages(s, d).withColumn("z", F.length("content")), 300, "session_id", "id", "z")
 
 
-@query("""SELECT DISTINCT doc_id AS proposal_id, item_id AS quote_id FROM (SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 20 AND 3000), (SELECT item_id, substr(text, 1, 80) AS q FROM benchmark)
+@query("""SELECT DISTINCT doc_id AS proposal_id, item_id AS quote_id FROM documents, (SELECT item_id, substr(text, 1, 80) AS q FROM benchmark)
 WHERE len(list_filter(generate_series(1, length(q) - 19), lambda i: contains(text, substr(q, i, 20)))) > 0""")
 def verbatim_support(s, d):
     quotes = table(s, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    props = table(s, d, "documents").where("length(text) BETWEEN 20 AND 3000").select(F.col("doc_id").alias("proposal_id"), F.col("text").alias("proposal"))
+    props = table(s, d, "documents").select(F.col("doc_id").alias("proposal_id"), F.col("text").alias("proposal"))
     return R.verbatim_support(quotes, props)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +30,33 @@ def tumbling(events: DataFrame, size: str = "7 days", late: str = "56 days") ->
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("week"), "event_type", "n", "total")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return its result table (tests, backfills)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there and return its result table (tests, backfills).
+
+    Each trigger's rows are written as Parquet under ``spark.checkpoint.dir``, beside the
+    stream's checkpoint, and a trigger that is repeated overwrites its own folder. With the
+    mode complete the last trigger's folder is the result, else all of them are.
+    """
+    spark = stream.sparkSession
+    base = f"{_shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    seen: set[int] = set()
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/rows/batch={batch}")
+        seen.add(batch)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not seen:
+        return spark.createDataFrame([], stream.schema)
+    wanted = [max(seen)] if mode == "complete" else sorted(seen)
+    return spark.read.schema(stream.schema).parquet(*(f"{base}/rows/batch={b}" for b in wanted))
+
+
+def _shared_dir(spark) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where it is unset and the master is local, as in tests."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tesserae-streams-")
