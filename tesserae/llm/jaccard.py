@@ -9,7 +9,8 @@ lost:
 2. Tokens are put in one order for all documents, and only prefixes are compared. Two linked
    documents share at least ``spare`` tokens of the prefixes that are that much longer than
    the shortest sufficient ones, so documents with fewer shared tokens drop out. The first
-   order is by hash; tokens that it shows to be common then go last, so that boilerplate
+   order is by hash; tokens that it shows to be common then go last, and so do those that the prefixes
+   of this order show, for some rounds: what stood beyond the first prefixes is only seen then. So boilerplate
    leaves the prefixes, and what is left is pruned again.
 3. Similar documents are partitioned into groups. Each token's most central document, whose tokens
    most others share, is a hub; a document belongs to the largest group among the hubs of its tokens
@@ -25,7 +26,7 @@ lost:
    with added tokens first, and the positions of shared ones leave few pairs, which are verified whole.
 6. Links make components by contraction.
 
-The common tokens are sent to the workers as one sorted array of at most ``COMMON`` hashes: the
+The common tokens are sent to the workers as one sorted array a round of at most ``COMMON`` hashes: the
 most frequent ones, whatever the corpus. Which they are changes only the amount of work.
 
 Null and empty texts have no tokens, link with nothing, and are their own component. Rows
@@ -48,6 +49,8 @@ from . import common
 WORDS, SIMILARITY = 5, 80
 #: Documents from which on a token is common; bound of the common tokens.
 OFTEN, COMMON = 20, 500_000
+#: Orders after the second one, at most.
+ROUNDS = 3
 #: Similarity to a hub from which on its size decides.
 NEAR = 0.5
 
@@ -158,13 +161,20 @@ def _sets(docs: DataFrame, often: np.ndarray) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n long, tokens binary")
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """(token, doc_id, n): longer prefixes in the second order."""
+def _prefixes(sets: DataFrame, later: np.ndarray) -> DataFrame:
+    """(token, doc_id, n): longer prefixes in the order of the sets, but with the tokens ``later`` (sorted) behind the others."""
+    shared = sets.sparkSession.sparkContext.broadcast(later)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
         for block in common.blocks(batches, "tokens", 1 << 20):
-            ns = block.column(1).to_numpy()
-            parts = [np.frombuffer(t, np.int64)[: prefix(n, spare(n))] for t, n in zip(block.column(2).to_pylist(), ns.tolist())]
+            ns, parts = block.column(1).to_numpy(), []
+            for t, n in zip(block.column(2).to_pylist(), ns.tolist()):
+                x = np.frombuffer(t, np.uint64)
+                if len(last):
+                    late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
+                    x = np.concatenate([x[~late], x[late]])
+                parts.append(x[: prefix(n, spare(n))].view(np.int64))
             row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), block.column(0).take(pa.array(row)), pa.array(ns[row])], names=["token", "doc_id", "n"])
 
@@ -376,6 +386,19 @@ def _pruned(rows: DataFrame) -> DataFrame:
     return out
 
 
+def _ordered(sets: DataFrame, often: np.ndarray) -> DataFrame:
+    """Prefixes in an order whose common tokens, as far as the rounds see them, stand last."""
+    later = np.empty(0, np.uint64)
+    for _ in range(ROUNDS):
+        shared = common.written(_prefixes(sets, later).groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > OFTEN))
+        fresh = np.setdiff1d(_common_tokens(shared), np.union1d(often, later))
+        common.dropped(shared)
+        if not len(fresh):
+            break
+        later = np.union1d(later, fresh)
+    return _prefixes(sets, later)
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -393,7 +416,7 @@ def joined(docs: DataFrame) -> DataFrame:
     if members.count() != members.select("doc_id").distinct().count():  # rows that repeat an id
         sets = common.written(sets.dropDuplicates(["doc_id"]), 500)
 
-    links = linked(_pruned(_pruned(_prefixes(sets))), sets)
+    links = linked(_pruned(_pruned(_ordered(sets, often))), sets)
     held = components(links)
     class_of = common.written(reps.join(held, reps.rep == held.id, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component")))
     out = members.join(class_of, ["c1", "c2"], "left")
