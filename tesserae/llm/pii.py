@@ -6,14 +6,17 @@ sum, number of digits) are dropped without another try. The expressions use poss
 repetition and look-behinds where that changes no match, so that long runs of one class
 cost linear time and no stack.
 
-Bootstrapping: identifier-like values (six or more characters with a digit) that follow a word
-and an assignment sign are instances; the word with its sign and quote is their lexical
-pattern. Values that a base kind matches and values of 32 or more hexadecimal digits are
-seeds. Over the bipartite graph of patterns and instances, counted over all documents,
-patterns get the share of their occurrences that instances support, and instances the
-probability that some pattern of theirs holds, in ``ROUNDS`` rounds. Patterns of at least
-``MIN_CONFIDENCE`` with ``MIN_SUPPORT`` seeds then mark all their instances (kind ``secret``),
-seeds or not, unless a base span overlaps.
+Bootstrapping: identifier-like values are instances, and what stands around them is their
+lexical pattern, of three sorts: a word with an assignment sign and quote before a value (six
+or more characters with a digit), and, for values of eight or more characters with a letter
+and a digit that follow no sign, the two words before or the two words after. Values of 32 or more hexadecimal
+digits are seeds, and so are values after a sign that a base kind matches; between bare words the
+latter speak against a pattern, since addresses stand anywhere in prose. Over the bipartite graph of
+patterns and instances, counted over all documents, patterns get the share of their
+occurrences that instances support, and instances the probability that some pattern of theirs
+holds (of two words, those with support and a confidence of ``TELLING`` or more), in ``ROUNDS`` rounds. Patterns of at least ``MIN_CONFIDENCE`` with ``MIN_SUPPORT`` seeds
+then mark all their instances (kind ``secret``), seeds or not, unless a base span overlaps; of
+marked values that overlap, the one that starts first and is longest stays.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows
 get equal spans, each its own row. Null ids are kept. Columns other than id and text are not
@@ -40,7 +43,15 @@ ADDRESS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 #: A word, an assignment sign with an optional quote, and a value: groups 1 to 3.
 INSTANCE = r"""(?<![\p{L}\p{N}_])([\p{L}_][\p{L}\p{N}_]*+)([\x20]?[=:]{1,2}[\x20]?["']?)((?=[A-Za-z._+/@-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9._+/@-]{5,}+)"""
 SEED = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|[0-9]+(?:\.[0-9]+){3}|\+?[0-9-]{9,19})$"
-ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT = 3, 0.7, 3
+HEX = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"
+_VALUE = r"(?=[A-Za-z._+/@-]*+[0-9])(?=[0-9._+/@-]*+[A-Za-z])[A-Za-z0-9+][A-Za-z0-9._+/@-]{7,}+"
+#: Two words and a value that no sign follows: groups 1 to 3.
+BEFORE = rf"""(?<![\p{{L}}\p{{N}}_])(\p{{L}}++)\x20(\p{{L}}++)\x20["']?({_VALUE})(?!\x20?["']?\x20?[=:])"""
+#: A value that no sign explains, and two words: groups 1 to 3.
+_FREE = r"""(?<![A-Za-z0-9._+/@-])(?<![=:]|[=:]["'\x20]|[=:]\x20["'])"""
+AFTER = rf"""{_FREE}({_VALUE})["']?\x20(\p{{L}}++)\x20(\p{{L}}++)(?![\p{{N}}_])"""
+#: TELLING: confidence from which on two words tell of their values.
+ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT, TELLING = 3, 0.7, 3, 0.4
 #: Offsets are summed in chunks of this many matches, so that texts with very many matches stay cheap.
 CHUNK = 256
 
@@ -104,26 +115,41 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def instances(text: Column) -> Column:
-    """array<struct<pattern, value, seed, start, end>> of values after a word and a sign."""
+    """array<struct<pattern, value, seed, other, start, end>>: values with a word and a sign before them, or two words on a side."""
 
-    def instance(p: Column) -> Column:
+    def row(pattern: Column, value: Column, seed: Column, other: Column, start: Column) -> Column:
+        return F.struct(F.lower(pattern).alias("pattern"), value.alias("value"), seed.alias("seed"), other.alias("other"), start.alias("start"), (start + F.char_length(value)).alias("end"))
+
+    def assigned(p: Column) -> Column:
         word, sign, value = (F.regexp_extract(p.match, INSTANCE.replace(r"(?<![\p{L}\p{N}_])", "^"), k) for k in (1, 2, 3))
-        pattern = F.lower(F.concat(word, F.translate(sign, " ", "")))
-        return F.struct(pattern.alias("pattern"), value.alias("value"), value.rlike(SEED).alias("seed"), (p.end - F.char_length(value)).alias("start"), p.end.alias("end"))
+        return row(F.concat(word, F.translate(sign, " ", "")), value, value.rlike(SEED), F.lit(False), p.end - F.char_length(value))
+
+    def between(value: Column, pattern: Column, start: Column) -> Column:
+        return row(pattern, value, value.rlike(HEX), value.rlike(SEED) & ~value.rlike(HEX), start)
+
+    def before(p: Column) -> Column:
+        one, two, value = (F.regexp_extract(p.match, BEFORE.replace(r"(?<![\p{L}\p{N}_])", "^"), k) for k in (1, 2, 3))
+        return between(value, F.concat(one, F.lit(" "), two, F.lit(" _")), p.end - F.char_length(value))
+
+    def after(p: Column) -> Column:
+        value, one, two = (F.regexp_extract(p.match, AFTER.replace(_FREE, "^"), k) for k in (1, 2, 3))
+        return between(value, F.concat(F.lit("_ "), one, F.lit(" "), two), p.start)
 
-    return F.transform(places(text, INSTANCE), instance)
+    return F.concat(F.transform(places(text, INSTANCE), assigned), F.transform(places(text, BEFORE), before), F.transform(places(text, AFTER), after))
 
 
 def scored_patterns(found: DataFrame) -> DataFrame:
     """pattern, confidence, support: of the pattern-instance graph over all documents."""
-    seeded = found.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    seeded = found.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.count("*").alias("n"), F.max("seed").alias("seed"), F.max("other").alias("other"))
     edges = common.written(seeded)
     belief = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
     for _ in range(ROUNDS):
         told = edges.join(belief, "instance")
         confidence = told.groupBy("pattern").agg((F.sum(F.col("n") * F.col("belief")) / F.sum("n")).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("support"))
         held = edges.join(confidence, "pattern").groupBy("instance")
-        belief = held.agg(F.greatest(F.max(F.col("seed").cast("double")), 1 - F.exp(F.sum(F.log1p(-0.9 * F.col("confidence"))))).alias("belief"))
+        sure = ~F.col("pattern").contains(" ") | (F.col("confidence") >= TELLING) & (F.col("support") >= MIN_SUPPORT)
+        told_by_patterns = F.when(F.max("other"), 0.0).otherwise(1 - F.exp(F.sum(F.when(sure, F.log1p(-0.9 * F.col("confidence"))).otherwise(0.0))))
+        belief = held.agg(F.greatest(F.max(F.col("seed").cast("double")), told_by_patterns).alias("belief"))
         belief = common.written(belief)
     told = edges.join(belief, "instance")
     return told.groupBy("pattern").agg((F.sum(F.col("n") * F.col("belief")) / F.sum("n")).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("support"))
@@ -141,8 +167,9 @@ def found_spans(docs: DataFrame) -> DataFrame:
     scanned = common.written(scanned)
     found = scanned.where(F.size("instances") > 0).select("doc_id", "text_key", F.explode("instances").alias("i")).select("doc_id", "text_key", "i.*")
     held = scored_patterns(found).where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT)).select("pattern")
-    # Rows that repeat an id and a text have equal spans: one copy of them is enough.
-    new = found.join(held, "pattern").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("new"))
+    # Rows that repeat an id and a text have equal spans: one copy of them is enough. Values reach to the end of a run, so those that overlap end alike.
+    new = found.join(held, "pattern").groupBy("doc_id", "text_key", "end").agg(F.min("start").alias("start"))
+    new = new.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("new"))
     new = new.withColumnsRenamed({"doc_id": "new_id", "text_key": "new_key"})
     both = scanned.join(new, F.col("doc_id").eqNullSafe(F.col("new_id")) & (F.col("text_key") == F.col("new_key")), "left")
     base = F.concat(*KINDS)
@@ -166,4 +193,5 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
         *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS),
         F.sha2(listed(KINDS).cast("binary"), 256).alias("base_sha256"),
         listed((*KINDS, "secret")).alias("spans"),
+        F.size(F.concat(*KINDS, "secret")).cast("long").alias("n_spans"),
     )

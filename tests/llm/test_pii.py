@@ -77,3 +77,71 @@ def test_long_values_and_keys(spark):
     got = {r.doc_id: [(s["start"], s["end"]) for s in r.secret] for r in P.found_spans(df).collect()}
     assert got[100] == [(9, 9 + len(signed))] and got[101] == [(9, 90)]
     assert got[102] == [(len(key) + 4, len(key) + 14)] and got[103] == [(400_011, 600_011)]
+
+
+def scored(edges):
+    """The graph's scores, in plain Python: edges are (pattern, value, n, seed, other)."""
+    def confidences(belief):
+        total, good, support = {}, {}, {}
+        for p, v, n, seed, _ in edges:
+            total[p] = total.get(p, 0) + n
+            good[p] = good.get(p, 0) + n * belief[v]
+            support[p] = support.get(p, 0) + seed
+        return {p: (good[p] / total[p], support[p]) for p in total}
+
+    seeds = {v: max(e[3] for e in edges if e[1] == v) for v in {e[1] for e in edges}}
+    belief = dict(seeds)
+    for _ in range(P.ROUNDS):
+        sure = confidences(belief)
+        for v in belief:
+            doubt, other = 1.0, False
+            for p, w, _, _, o in edges:
+                if w == v:
+                    held = " " not in p or sure[p][0] >= P.TELLING and sure[p][1] >= P.MIN_SUPPORT
+                    doubt, other = doubt * (1 - 0.9 * sure[p][0] * held), other or o
+            belief[v] = max(seeds[v], 0.0 if other else 1 - doubt)
+    return confidences(belief)
+
+
+def test_scores(spark):
+    rng = random.Random(8)
+    values = {f"v{i}": (rng.random() < 0.5, rng.random() < 0.2) for i in range(30)}
+    rows = [(f"p{rng.randrange(4)}" + " _" * rng.randrange(2), v, *values[v]) for v in rng.choices(list(values), k=200)]
+    counts = {}
+    for r in rows:
+        counts[r] = counts.get(r, 0) + 1
+    want = scored([(p, v, n, int(s), o and not s) for (p, v, s, o), n in counts.items()])
+    df = spark.createDataFrame([(p, v, s, o and not s) for p, v, s, o in rows], "pattern string, value string, seed boolean, other boolean")
+    got = {r.pattern: (r.confidence, r.support) for r in P.scored_patterns(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[p][0] - want[p][0]) < 1e-9 and got[p][1] == want[p][1] for p in want)
+
+
+def test_recall_of_unseen_shapes(spark):
+    """Secrets that no seed looks like, in contexts of each sort; clean values in prose stay."""
+    rng = random.Random(4)
+    prose = ["of", "the", "river", "stone", "walks", "under", "green", "light", "seven", "birds"]
+    contexts = ['token = "{}"', "api_key: {}", "my password is {} ok", "see {} as credential here"]
+
+    def shape(hexes):
+        if hexes:
+            return hashlib.md5(str(rng.random()).encode()).hexdigest()
+        return "".join(rng.choice("ghjkmnpqrstuvwxyzGHJKMN") for _ in range(7)) + str(rng.randrange(10, 99)) + rng.choice("wxyz")
+
+    rows, secret, clean = [], {}, set()
+    for i in range(400):
+        words = rng.choices(prose, k=20)
+        if i % 4 < 2:
+            value = shape(i % 4 == 0)
+            words.insert(10, rng.choice(contexts).format(value))
+            text = " ".join(words)
+            secret[i] = ((text.index(value), text.index(value) + len(value)), i % 4)
+        else:
+            words.insert(10, "chapter" + str(rng.randrange(100, 999)) if i % 4 == 2 else f"ann{i}@example.com")
+            text = " ".join(words)
+            clean.add(i)
+        rows.append((i, text))
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.secret] for r in P.found_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    unseen = [i for i, (_, k) in secret.items() if k == 1]
+    assert sum(secret[i][0] in got[i] for i in unseen) >= 0.9 * len(unseen)
+    assert not any(got[i] for i in clean)
