@@ -5,7 +5,8 @@ of immediate repetition; each once a document) are compared: the target (documen
 good: quality 1 and toxic 0) and the raw text (every document). A document's log importance
 weight is the sum, over its n-grams, of log p_target - log p_raw, shrunk towards 0, where that
 differs by more than chance. Documents are drawn without replacement by Gumbel top-k: the k largest
-(log weight / TEMPERATURE + Gumbel noise) are accepted, where k is the number of documents
+(log weight / TEMPERATURE + Gumbel noise) are accepted: a sample whose members are drawn one
+by one with odds of weight ** (1 / TEMPERATURE), where k is the number of documents
 whose weight clears the threshold that separates the labelled documents best.
 
 What is fitted on a bounded sample: the target model and the threshold, on at most
@@ -39,8 +40,8 @@ LABELLED, FOLDS = 20_000, 4
 MIN_COUNT, PRIOR, CHANCE = 8, 0.5, 3.0
 #: Nats of a log ratio that count for nothing: what near copies and small samples make. Others kept that weigh as much as a good one lost.
 SHRINK, LOSS = 1.0, 3.0
-#: Small: the draw follows the weights closely.
-TEMPERATURE = 0.02
+#: Odds are the squares of the importance weights.
+TEMPERATURE = 0.5
 
 #: Bytes of the word beginnings that count as n-grams; levels (2, 4, 8, ...) of words that repeat the word before.
 PREFIXES, REPEATS = (4, 5, 6), 12

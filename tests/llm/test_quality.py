@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tesserae.llm import quality as Q
 
@@ -63,3 +64,22 @@ def test_features_do_not_depend_on_block():
 def test_separating():
     assert Q.separating(np.array([3.0, 2.0, -1.0]), np.array([True, True, False])) == 0.5
     assert Q.separating(np.array([]), np.array([], bool)) == -np.inf
+
+
+def test_draw_follows_the_weights(spark):
+    """Share of each weight among the k drawn, against drawing one by one without replacement."""
+    n, k, rng = 6000, 2000, np.random.default_rng(5)
+    weights = np.array([-2.0, -0.5, 0.0, 1.5])[np.arange(n) % 4]
+    odds, brute = np.exp(weights / Q.TEMPERATURE), np.zeros(4)
+    for _ in range(40):
+        drawn = rng.choice(n, k, replace=False, p=odds / odds.sum())
+        brute += np.bincount(drawn % 4, minlength=4) / 40
+    got = np.zeros(4)
+    for seed in range(10):
+        df = spark.createDataFrame([(seed * n + i, float(w)) for i, w in enumerate(weights)], "doc_id long, w double")
+        keys = df.select("doc_id", Q.draw_key(F.col("w")).alias("key"))
+        cut = Q.kth_largest(keys, "key", k)
+        ids = [r.doc_id for r in keys.where(F.col("key") >= cut).collect()]
+        assert len(ids) == k
+        got += np.bincount(np.array(ids) % n % 4, minlength=4) / 10
+    assert np.abs(got - brute).max() < 0.02 * k, (got, brute)
