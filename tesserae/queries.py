@@ -968,11 +968,11 @@ def consumed_sessions(s, d):
     return table(s, d, "part").where(Z.consumed_scope(name)).select("p_partkey")
 
 
-@query(f"""{MSG}, x AS (SELECT id AS excerpt_id, user_id AS owner, substr(trim(content), 1, 60) AS h FROM m WHERE length(substr(trim(content), 1, 60)) >= 40)
+@query(f"""{MSG}, x AS (SELECT id AS excerpt_id, user_id AS owner, substr(trim(content), 1, 160) AS h FROM m WHERE length(substr(trim(content), 1, 160)) >= 40)
 SELECT DISTINCT excerpt_id FROM x WHERE EXISTS (SELECT 1 FROM m WHERE m.user_id = x.owner AND m.id % 2 = 0 AND contains(m.content, h)) AND NOT EXISTS (SELECT 1 FROM m WHERE m.user_id = x.owner AND m.id % 2 = 1 AND contains(m.content, h))""")
 def superseded_retellings(s, d):
     m = messages(s, d).select(F.col("user_id").alias("owner"), F.col("id").alias("excerpt_id"), "content")
-    return Z.retold(m.withColumn("excerpt", F.substring(F.trim("content"), 1, 60)).drop("content"), m.where("excerpt_id % 2 = 0"), m.where("excerpt_id % 2 = 1"))
+    return Z.retold(m.withColumnRenamed("content", "excerpt"), m.where("excerpt_id % 2 = 0"), m.where("excerpt_id % 2 = 1"))
 
 
 @query(f"{MSG}, v AS (SELECT user_id, substr(content, 1, 12) AS value FROM m WHERE turn_of = 0) SELECT id FROM m WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.user_id = m.user_id AND contains(m.content, v.value))".replace("turn_of = 0", "id % 1000 = 0"))
