@@ -713,10 +713,12 @@ def compact_texts(s, d):
     return table(s, d, "documents").select("doc_id", T.compact(t).alias("compact"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(substr(text, 1, 5)) ELSE '[Media attachment]' END AS clean FROM documents WHERE NOT contains(substr(text, 1, 5), chr(10)) AND length(trim(substr(text, 1, 5))) > 0")
+@query(r"""WITH k AS (SELECT doc_id, text, trim(array_to_string(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) > 0 AND NOT (length(trim(l)) >= 256
+AND length(trim(l)) % 4 = 0 AND regexp_full_match(trim(l), '[A-Za-z0-9+/=]+'))), chr(10))) AS kept FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND text IS NULL THEN '' WHEN doc_id % 2 = 0 AND length(kept) > 0 THEN kept ELSE '[Media attachment]' END AS clean FROM k""")
 def media_stripped(s, d):
-    docs = table(s, d, "documents").withColumn("h", F.substring("text", 1, 5)).where(~F.contains("h", F.lit("\n")) & (F.length(F.trim("h")) > 0))
-    raw = F.when(F.col("doc_id") % 2 == 0, F.concat("h", F.lit("\nMEDIA:/tmp/x.png\n"), F.repeat(F.lit("QUJD"), 100))).otherwise(F.lit("MEDIA:/tmp/y.png"))
+    docs = table(s, d, "documents")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\nMEDIA:/tmp/x.png\n"), F.repeat(F.lit("QUJD"), 100))).otherwise(F.lit("MEDIA:/tmp/y.png"))
     return docs.select("doc_id", T.without_media(raw).alias("clean"))
 
 
