@@ -98,3 +98,8 @@ def last_lines(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
 
     w = Window.partitionBy(by).orderBy(F.desc(order))
     return rows.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
+
+
+def last_change(questions: DataFrame, keys: list[str], *times: str) -> DataFrame:
+    """Per key, the latest of several times that may be null (column ``latest``); 0 where none is known."""
+    return questions.groupBy(*keys).agg(F.greatest(F.lit(0), *(F.coalesce(F.max(t), F.lit(0)) for t in times)).cast("bigint").alias("latest"))

@@ -57,6 +57,12 @@ def retold(excerpts: DataFrame, old: DataFrame, current: DataFrame, size: int =
     return was.join(still, "excerpt_id", "left_anti")
 
 
+def safe_evidence(messages: DataFrame, episodes: DataFrame, ceiling: int) -> DataFrame:
+    """Messages (id) that no episode (message_ids, sensitivity) above the ceiling holds; an episode of unknown sensitivity counts as above."""
+    sealed = episodes.where(F.coalesce(F.col("sensitivity") > ceiling, F.lit(True))).select(F.explode("message_ids").alias("id"))
+    return messages.join(sealed, "id", "left_anti")
+
+
 def without_value(messages: DataFrame, values: DataFrame) -> DataFrame:
     """Messages of a user that hold none of the user's sealed values."""
     hit = messages.join(values.select("user_id", F.col("value").alias("__value")), "user_id").where(F.contains("content", "__value")).select("id").distinct()

@@ -977,6 +977,19 @@ def superseded_retellings(s, d):
     return Z.retold(m.withColumnRenamed("content", "excerpt"), m.where("excerpt_id % 2 = 0"), m.where("excerpt_id % 2 = 1"))
 
 
+@query(f"{MSG}, e AS (SELECT CAST(floor(id / 10) AS BIGINT) AS k, count(DISTINCT user_id) AS sensitivity FROM m GROUP BY 1) SELECT id FROM m JOIN e ON e.k = CAST(floor(m.id / 10) AS BIGINT) WHERE NOT sensitivity > 5")
+def safe_evidence(s, d):
+    m = messages(s, d).select("id", "user_id")
+    episodes = m.groupBy(F.floor(F.col("id") / 10)).agg(F.collect_list("id").alias("message_ids"), F.count_distinct("user_id").alias("sensitivity"))
+    return Z.safe_evidence(m.select("id"), episodes, 5)
+
+
+@query("SELECT l_suppkey, greatest(0, coalesce(max(CASE WHEN l_returnflag = 'R' THEN l_orderkey END), 0), coalesce(max(CASE WHEN l_returnflag = 'A' THEN l_partkey END), 0))::BIGINT AS latest FROM lineitem GROUP BY 1")
+def last_change(s, d):
+    li = table(s, d, "lineitem").select("l_suppkey", F.expr("CASE WHEN l_returnflag = 'R' THEN l_orderkey END AS asked_at"), F.expr("CASE WHEN l_returnflag = 'A' THEN l_partkey END AS answered_at"))
+    return M.last_change(li, ["l_suppkey"], "asked_at", "answered_at")
+
+
 @query(f"{MSG}, v AS (SELECT user_id, substr(content, 1, 12) AS value FROM m WHERE turn_of = 0) SELECT id FROM m WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.user_id = m.user_id AND contains(m.content, v.value))".replace("turn_of = 0", "id % 1000 = 0"))
 def sealed_value_purge(s, d):
     m = messages(s, d)
