@@ -11,6 +11,7 @@ from .media import op6_media
 from .pii import op4_pii
 from .quality import op10_quality
 from .substrings import op1_substrings
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_substrings": op1_substrings,
@@ -23,5 +24,6 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {"op2_lines": lines.ORACLE_SQL, "op5_jaccard": jaccard.ORACLE_SQL}
