@@ -1,5 +1,6 @@
 """The queries of the training-data operators, and SQL for those that it can express."""
 
+from .alignment import op12_alignment
 from .bpe import op9_bpe
 from .decontaminate import op7_decontaminate
 from .html import op3_html
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op12_alignment": op12_alignment,
     "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {"op2_lines": lines.ORACLE_SQL, "op5_jaccard": jaccard.ORACLE_SQL}
