@@ -5,8 +5,8 @@ space. Byte offsets at which tokens of both end cut the bytes into groups; every
 group is linked with every B token of it. An id pair's count is the number of documents that
 hold it linked.
 
-1. Texts are cut into units where a space follows a character that is no white space. No token of
-   either vocabulary crosses such a place (for B this is checked against the vocabulary), so
+1. Texts are cut into units where white space follows a character that is none. No token of A crosses
+   such a place; white space that B's vocabulary joins to what stands before it cuts nothing. So
    units are tokenised alone, once for each block of texts, and unit ends are group ends.
 2. For each block, an Arrow partition's piece of about ``BLOCK`` bytes of text, DuckDB takes the
    token intervals of its distinct units: tokens that end together are cuts, window sums over the
@@ -43,11 +43,11 @@ from . import common
 from .bpe import byte_letters
 
 #: Bytes of text of a block. A longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Letters of units that are encoded at once.
+RUN = 1 << 14
 DUCKDB_MEMORY = "1GB"
 
-#: White space with a space first, what follows, and further white space that no space begins.
-UNIT = re.compile(r"\s+\S*(?:[^\S ]\s*\S*)*")
 SPACE = "▁"
 
 
@@ -77,8 +77,16 @@ def vocabulary_b(model) -> list[bytes]:
     return out
 
 
+def unit_pattern(model) -> re.Pattern:
+    """White space and what follows it, up to white space that no piece of B joins to other characters."""
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    joined = {c for p in pieces if len(p) > 1 for c in p if c.isspace()}
+    more = f"(?:[{re.escape(''.join(sorted(joined)))}]\\s*\\S*)*" if joined else ""
+    return re.compile(r"\s+\S*" + more)
+
+
 class Tokenizers:
-    """Ids of units in both vocabularies. A unit begins with a space."""
+    """Ids of units in both vocabularies."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -89,20 +97,58 @@ class Tokenizers:
         self.a.no_truncation()
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.space = self.b.piece_to_id(SPACE)
+        self.space, self.units = self.b.piece_to_id(SPACE), unit_pattern(self.b)
         self.bytes_a, self.bytes_b = vocabulary_a(path_a), vocabulary_b(self.b)
         self.width_a, self.width_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
 
-    def __call__(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        one = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        two = self.b.encode([u[1:] for u in units], num_threads=1)
-        # B adds no space to an empty text; a space alone is the end of a longer one.
-        return one, [[self.space] if u == " " else x for u, x in zip(units, two)]
-
-    def whole(self, unit: str, a: list[int], b: list[int]) -> bool:
-        want = unit.encode()
+    def __call__(self, units: list[str]) -> tuple[pa.Table, pa.Table, np.ndarray]:
+        """Token intervals (unit, pos, id, e) of both, for the units whose bytes both give back; and which units those are.
+
+        Units that end in white space, which only ends of texts do, are encoded alone. The others stand one
+        after the other in longer texts, as in documents; if such a text's tokens do not give back its
+        bytes, its units are encoded alone too.
+        """
+        good = np.zeros(len(units), bool)
+        found: tuple[list, list] = ([], [])  # (unit of each token, ids)
+        alone = [k for k, u in enumerate(units) if u[-1].isspace()]
+        rest = [k for k, u in enumerate(units) if not u[-1].isspace()]
+        cuts = np.cumsum([len(units[k]) for k in rest]) // RUN
+        cuts = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(rest)]
+        runs = [rest[i:j] for i, j in zip(cuts, cuts[1:]) if i < j]
+        texts = ["".join(units[k] for k in run) for run in runs]
+        for run, text, ids in zip(runs, texts, zip(*self._encoded(texts))):
+            ends = np.cumsum([len(units[k].encode()) for k in run])
+            at = [np.cumsum(w[x]) for w, x in zip((self.width_a, self.width_b), ids)]
+            if self._whole(text, *ids) and all(np.isin(ends, e).all() for e in at):
+                good[run] = True
+                for side, x, e in zip(found, ids, at):
+                    side.append((np.asarray(run)[np.searchsorted(ends, e)], x))
+            else:
+                alone += run
+        for k, ids in zip(alone, zip(*self._encoded([units[k] for k in alone]))):
+            if self._whole(units[k], *ids):
+                good[k] = True
+                for side, x in zip(found, ids):
+                    side.append((np.full(len(x), k), x))
+        return *(self._intervals(side, w) for side, w in zip(found, (self.width_a, self.width_b))), good
+
+    def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        one = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        # B adds a space: it stands for the text's first one, or goes again. It adds none to an empty text.
+        two = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        return one, [[self.space] if t == " " else x if t[0] == " " else x[1:] for t, x in zip(texts, two)]
+
+    def _whole(self, text: str, a: list[int], b: list[int]) -> bool:
+        want = text.encode()
         return b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
 
+    @staticmethod
+    def _intervals(found: list, width: np.ndarray) -> pa.Table:
+        unit, ids = (np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+        order = np.argsort(unit, kind="stable")
+        unit, ids = unit[order], ids[order]
+        return pa.table({"pos": np.arange(len(ids)), "unit": unit, "id": ids, "e": np.cumsum(width[ids])})
+
 
 @lru_cache(maxsize=1)
 def tokenizers(path_a: str, path_b: str) -> Tokenizers:
@@ -135,51 +181,46 @@ CREATE OR REPLACE TEMP TABLE pairs AS
 """
 
 
-def _intervals(ids: list[list[int]], width: np.ndarray) -> pa.Table:
-    flat = np.fromiter((i for x in ids for i in x), np.int64, sum(map(len, ids)))
-    unit = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    return pa.table({"pos": np.arange(len(flat)), "unit": unit, "id": flat, "e": np.cumsum(width[flat])})
-
-
-def _digits(ids_a: list[list[int]], ids_b: list[list[int]], ga: dict, gb: dict) -> list[str]:
-    """a1,a2|b1;a3|b2,b3 of each unit."""
-    out, i, j = [], 0, 0
-    group_a, group_b = ga["g"], gb["g"]
-    for a, b in zip(ids_a, ids_b):
-        parts: dict[int, tuple[list[str], list[str]]] = {}
-        for x in a:
-            parts.setdefault(group_a[i], ([], []))[0].append(str(x))
-            i += 1
-        for x in b:
-            parts[group_b[j]][1].append(str(x))
-            j += 1
-        out.append(";".join(",".join(x) + "|" + ",".join(y) for x, y in parts.values()))
-    return out
+def _digits(a: dict[str, np.ndarray], b: dict[str, np.ndarray], units: int) -> list[str]:
+    """a1,a2|b1;a3|b2,b3 of each unit, from unit, id and g of its tokens in order."""
+    unit, g = (np.concatenate([a[c], b[c]]) for c in ("unit", "g"))
+    side = np.repeat([0, 1], [len(a["id"]), len(b["id"])])
+    order = np.lexsort([side, g])  # a stable sort: tokens of a side stay in order
+    ids, unit, g, side = np.concatenate([a["id"], b["id"]])[order], unit[order], g[order], side[order]
+    last = np.ones(len(g), bool)
+    last[:-1] = (g[1:] != g[:-1]) | (side[1:] != side[:-1])
+    mark = np.where(last, np.where(side == 0, "|", ";"), ",")
+    words = [x + y for x, y in zip(map(str, ids.tolist()), mark.tolist())]
+    cuts = np.searchsorted(unit, np.arange(units + 1)).tolist()
+    return ["".join(words[i:j])[:-1] for i, j in zip(cuts, cuts[1:])]
+
+
+class _Numbers(dict):
+    """Numbers its keys in the order they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = len(self)
+        return self[key]
 
 
 def aligned(texts: list[bytes], models: Tokenizers, con) -> tuple[dict[str, list], pa.Table]:
     """Per text n_a, n_b, n_groups, n_links, groups_sha256, and pairs (numbers of the block's pairs) with times; and the block's pairs (a, b, k) in their order."""
-    index: dict[str, int] = {}
+    index = _Numbers()
     codes: list[np.ndarray] = []
     for t in texts:
         try:
-            found = UNIT.findall(" " + t.decode()) if t else []
+            found = models.units.findall(" " + t.decode()) if t else []
         except UnicodeDecodeError:
             found = []
-        codes.append(np.fromiter((index.setdefault(u, len(index)) for u in found), np.int64, len(found)))
+        codes.append(np.fromiter(map(index.__getitem__, found), np.int64, len(found)))
     units = list(index)
-    ids_a, ids_b = models(units)
-    good = np.array([models.whole(*x) for x in zip(units, ids_a, ids_b)], bool)
-    ids_a = [x if ok else [] for x, ok in zip(ids_a, good)]
-    ids_b = [x if ok else [] for x, ok in zip(ids_b, good)]
-    con.register("a", _intervals(ids_a, models.width_a))
-    con.register("b", _intervals(ids_b, models.width_b))
+    a, b, good = models(units)
+    con.register("a", a)
+    con.register("b", b)
     con.execute(GROUPS)
-    ga = con.execute("SELECT g, unit FROM ga ORDER BY pos").to_arrow_table()
-    gb = con.execute("SELECT g FROM gb ORDER BY pos").to_arrow_table()
-    digits = _digits(ids_a, ids_b, ga.to_pydict(), gb.to_pydict())
+    digits = _digits(*(con.execute(f"SELECT unit, id, g FROM {t} ORDER BY pos").fetchnumpy() for t in ("ga", "gb")), len(units))
     per_unit = np.zeros((4, len(units)), np.int64)
-    per_unit[0], per_unit[1] = [len(x) for x in ids_a], [len(x) for x in ids_b]
+    per_unit[0], per_unit[1] = (np.bincount(t["unit"].to_numpy(), minlength=len(units)) for t in (a, b))
     for row, sql in ((2, "SELECT unit, count(DISTINCT g) AS v FROM ga GROUP BY unit"), (3, "SELECT unit, sum(m)::BIGINT AS v FROM unit_links GROUP BY unit")):
         got = con.execute(sql).to_arrow_table()
         per_unit[row, got["unit"].to_numpy()] = got["v"].to_numpy()

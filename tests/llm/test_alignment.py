@@ -63,23 +63,23 @@ def hostile():
     return list(enumerate(texts)) + [(None, "no id"), (3, "again an id")]
 
 
-@pytest.mark.parametrize("block", [1, 2000, 8 << 20])
-def test_against_whole_texts(spark, monkeypatch, block):
+def test_against_whole_texts(spark):
     rows = hostile()
-    monkeypatch.setattr(A, "BLOCK", block)  # in this process only: blocks of the workers are cut by batches
     df = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, n_a long, block string").repartition(3)
     got = A.alignments(df, *PATHS)
     assert got.columns == COLUMNS
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
-def test_small_blocks(monkeypatch):
-    """Cutting into blocks changes nothing but which pairs are counted together."""
+@pytest.mark.parametrize("run", [1, 300])
+def test_small_blocks(monkeypatch, run):
+    """Cutting into blocks changes nothing but which pairs are counted together, nor do the texts that units are encoded in."""
     import duckdb
 
     models, con = A.tokenizers(*PATHS), duckdb.connect()
     texts = [(t or "").encode() for _, t in hostile()]
     whole, _ = A.aligned(texts, models, con)
+    monkeypatch.setattr(A, "RUN", run)
     for k in range(0, len(texts), 7):
         part, pairs = A.aligned(texts[k : k + 7], models, con)
         for name in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256"):
