@@ -7,23 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
-
-
-def lexical(docs: DataFrame, terms: DataFrame, most: int) -> DataFrame:
-    scores = R.bm25(R.postings(docs), terms, R.index_stats(docs))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scores.select("query_id", "doc_id", F.lit("lexical").alias("field"), (F.row_number().over(w) - 1).alias("rank")).where(F.col("rank") < most)
-
-
-def recalled(docs: DataFrame, queries: DataFrame, profile: str = "normal", extra: list[DataFrame] | None = None, seen: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, tier, score, place: docs (doc_id, text), queries (query_id, text).
-
-    ``extra`` adds other stages' ranks (vectors, graph, context); ``seen`` (query_id, doc_id)
-    leaves out what earlier pages gave. All queries of the batch share each stage's job.
+from .probes import Lexical
+
+
+def recalled(
+    docs: DataFrame,
+    queries: DataFrame,
+    index: str,
+    profile: str = "normal",
+    contexts: DataFrame | None = None,
+    extra: list[DataFrame] | None = None,
+    seen: DataFrame | None = None,
+    required: DataFrame | None = None,
+) -> DataFrame:
+    """query_id, doc_id, tier, score, place: docs (doc_id, text), queries (query_id, text), the path of the published index of docs.
+
+    ``contexts`` (query_id, text) adds the context plan at half weight; ``extra`` adds other stages' ranks (vectors,
+    graph); ``seen`` (query_id, doc_id) leaves out what earlier pages gave; ``required`` (query_id, doc_id) holds up to half
+    of the places for those of its rows that were found. All queries of the batch share each stage's job, and whole
+    texts are read only of documents that a stage found.
     """
     budget = R.PROFILES[profile]
     words = queries.select("query_id", T.significant_terms(F.col("text")).alias("terms"))
-    ranks = lexical(docs, words.select("query_id", F.explode("terms").alias("term")), budget["lexical"])
+    ranks = Lexical(docs.sparkSession, index).ranks(queries, contexts, budget["lexical"])
     for stage in extra or []:
         ranks = ranks.unionByName(stage)
     if seen is not None:
@@ -33,6 +39,9 @@ def recalled(docs: DataFrame, queries: DataFrame, profile: str = "normal", extra
     bound = (F.col("cover") > 0) | (F.col("embedding") == 1) | (F.col("context") == 1)
     rows = rows.where(F.lit(profile == "full") | bound)
     rows = rows.withColumn("score", R.floored(F.col("score"), F.col("cover"), F.col("lexical"), F.col("context")))
-    ranked = R.diversified(rows.select("query_id", "doc_id", R.tier(F.col("cover")).alias("tier"), F.substring("text", 1, 2048).alias("content"), "score"), ["query_id", "tier"])
+    ranked = R.diversified(rows.select("query_id", "doc_id", R.tier(F.col("cover")).alias("tier"), F.col("text").alias("content"), "score"), ["query_id", "tier"])
+    if required is not None:
+        marked = ranked.join(required.select("query_id", "doc_id", F.lit(True).alias("required")).distinct(), ["query_id", "doc_id"], "left")
+        ranked = R.selected(marked.withColumn("required", F.coalesce("required", F.lit(False))), budget["items"]).drop("required")
     w = Window.partitionBy("query_id").orderBy(F.desc("tier"), "place")
     return ranked.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < budget["items"]).select("query_id", "doc_id", "tier", "score", "place")

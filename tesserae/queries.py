@@ -18,7 +18,9 @@ from .operators import operational as O
 from .operators import retrieval as R
 from .operators import temporal as P
 from .operators import visibility as Z
-from .plans import recall
+from .plans import probes, recall
+from .shared import exists, new_folder, written
+from .sources import index as I
 from .sources import sinks
 from .sources.tables import MESSAGES_SQL, messages, table, within_budget
 from .streaming import streams as S
@@ -359,12 +361,119 @@ def final_selection(s, d):
     return R.selected(rows, 5).select("query_id", "doc_id", "required")
 
 
+def _index(s, d):
+    """The published index of the documents: built once for a session and folder, then only read."""
+    made = s.sparkContext.__dict__.setdefault("_tesserae_indexes", {})
+    if d not in made or not exists(s, made[d]):
+        path = new_folder(s, "index")
+        I.publish(_versioned(table(s, d, "documents")), path)
+        made[d] = path
+    return made[d]
+
+
+def _versioned(docs):
+    return docs.select("doc_id", F.lit("1").alias("version"), "text", "lang")
+
+
 @query()
 def batched_recall(s, d):
-    """Rows only: the whole read path for a batch of queries."""
+    """Rows only: the whole read path for a batch of queries; tests/test_recall.py holds it against a plain version."""
     docs = table(s, d, "documents").select("doc_id", "text")
     items = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return recall.recalled(docs, items, "normal").select("query_id", "doc_id", "place", "tier", F.round("score", 6).alias("score"))
+    said = table(s, d, "conversations").where("turn = 0").join(items.select(F.col("query_id").alias("conv_id")), "conv_id", "left_semi")
+    contexts = said.groupBy(F.col("conv_id").alias("query_id")).agg(F.min("text").alias("text"))
+    return recall.recalled(docs, items, _index(s, d), "normal", contexts).select("query_id", "doc_id", "place", "tier", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT item_id AS query_id, term, row_number() OVER (PARTITION BY item_id ORDER BY min(p)) - 1 AS k FROM (SELECT item_id, unnest(t) AS term, generate_subscripts(t, 1) AS p
+FROM (SELECT item_id, list_filter({DOC_TERMS}, lambda x: length(x) > 2) AS t FROM benchmark)) GROUP BY 1, 2 QUALIFY k < 8),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({DOC_TERMS}) AS term FROM documents) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+best AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY tf DESC, doc_id) - 1 AS place FROM tf QUALIFY place < 12),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY probe, place) AS i FROM (SELECT query_id, k AS probe, place, CASE WHEN k = 0 THEN 24 ELSE 12 END AS most, CASE WHEN k % 2 = 0 THEN 'porter' ELSE 'trigram_orig' END AS field, doc_id FROM q JOIN best USING (term))),
+s AS (SELECT DISTINCT query_id, 0::BIGINT AS i, (-1)::BIGINT AS probe, 0 AS start, 0 AS taken, []::VARCHAR[] AS held, []::BIGINT[] AS docs, NULL::BIGINT AS doc_id, NULL::VARCHAR AS field, NULL::INT AS rank FROM h
+UNION ALL SELECT query_id, i, probe, start, taken + ok::INT, CASE WHEN ok THEN list_append(held, doc_id || field) ELSE held END, CASE WHEN ok THEN list_append(docs, doc_id) ELSE docs END, doc_id, field, CASE WHEN ok THEN taken END
+FROM (SELECT *, start < 24 AND place < CASE WHEN most < 24 THEN least(most, 24 - start) ELSE most END AND NOT list_contains(held, doc_id || field) AND (list_contains(docs, doc_id) OR taken < 24) AS ok
+FROM (SELECT h.query_id, h.i, h.probe, CASE WHEN h.probe <> s.probe THEN s.taken ELSE s.start END AS start, s.taken, s.held, s.docs, h.doc_id, h.field, h.place, h.most FROM s JOIN h ON h.query_id = s.query_id AND h.i = s.i + 1)))
+SELECT query_id, doc_id, field, rank FROM s WHERE rank IS NOT NULL""")
+def shared_rank_counter(s, d):
+    """Each term of an item is a probe of its best documents, in two fields in turn; 24 slots."""
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(T.significant_terms(F.col("text"))).alias("k", "term"))
+    found = I.postings(s, _index(s, d), asked).join(asked.select("term").distinct(), "term")
+    w = Window.partitionBy("term").orderBy(F.desc("tf"), "doc_id")
+    best = found.select("term", "doc_id", (F.row_number().over(w) - 1).alias("place")).where("place < 12")
+    field = F.when(F.col("k") % 2 == 0, "porter").otherwise("trigram_orig").alias("field")
+    hits = asked.join(best, "term").select("query_id", F.col("k").alias("probe"), "place", F.when(F.col("k") == 0, 24).otherwise(12).alias("most"), field, "doc_id")
+    return probes.slots(hits, 24)
+
+
+PLAIN = "regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+')"
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, term, row_number() OVER (PARTITION BY item_id ORDER BY min(p)) - 1 AS k FROM (SELECT item_id, unnest(t) AS term, generate_subscripts(t, 1) AS p
+FROM (SELECT item_id, list_filter({DOC_TERMS}, lambda x: length(x) > 2) AS t FROM benchmark)) GROUP BY 1, 2 QUALIFY k < 8),
+pv AS (SELECT query_id, k, strip_accents(term) AS t FROM q WHERE length(strip_accents(term)) >= 3),
+v AS (SELECT query_id, k, 0 AS nr, t AS variant FROM pv UNION ALL SELECT query_id, k, unnest([1, 2, 3, 4, 5, 6]), unnest([t[:-2], t[2:], t[:-3], t[2:-2], t[3:], t[:-4]]) FROM pv WHERE length(t) > 6),
+w AS (SELECT DISTINCT unnest({DOC_TERMS}) AS word FROM documents), hit AS (SELECT DISTINCT variant FROM (SELECT DISTINCT variant FROM v) JOIN (SELECT DISTINCT strip_accents(word) AS word FROM w) ON contains(word, variant))
+SELECT query_id, k, arg_min(variant, nr) AS variant FROM v JOIN hit USING (variant) GROUP BY 1, 2""")
+def shrinking_variants(s, d):
+    """Of each term and its six longest substrings, the first that any document contains."""
+    terms = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(T.significant_terms(F.col("text"))).alias("k", "term"))
+    asked = written(terms.select("query_id", "k", T.strip_diacritics(F.col("term")).alias("plain")).where(F.length("plain") >= 3).select("query_id", "k", F.posexplode(probes.variants(F.col("plain"))).alias("nr", "variant")))
+    stage = probes.Lexical(s, _index(s, d))
+    return probes.first_with_hits(asked, stage.substrings(asked.withColumns({"query_id": F.lit(0).cast("bigint"), "k": F.xxhash64("variant"), "nr": F.lit(0)}).distinct(), False).select(F.col("k").alias("h")).distinct().join(asked.select("variant", F.xxhash64("variant").alias("h")).distinct(), "h"))
+
+
+CHANGED_SQL = """v1 AS (SELECT * FROM documents WHERE doc_id % 10 <> 0), v2 AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' revised' ELSE text END AS text, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS version FROM documents WHERE doc_id % 11 <> 3)"""
+
+
+def _changed(s, d):
+    """An index of nine tenths of the documents, brought to a later state: edited, new and gone documents."""
+    docs = table(s, d, "documents")
+    path = new_folder(s, "index")
+    I.publish(_versioned(docs.where("doc_id % 10 <> 0")), path)
+    edited = F.col("doc_id") % 7 == 0
+    later = docs.where("doc_id % 11 <> 3").select("doc_id", F.when(edited, "2").otherwise("1").alias("version"), F.when(edited, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")).alias("text"), "lang")
+    I.applied(later, path)
+    return path
+
+
+@query(f"WITH {CHANGED_SQL} SELECT term, count(*) AS n_docs, sum(tf)::BIGINT AS total FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({DOC_TERMS}) AS term FROM v2) GROUP BY 1, 2) GROUP BY 1")
+def merged_segments(s, d):
+    """A base and a delta, merged on read, are what a rebuild would give."""
+    return I.postings(s, _changed(s, d)).groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("total"))
+
+
+@query(f"WITH {CHANGED_SQL} SELECT v2.doc_id, v2.version::VARCHAR AS version, CASE WHEN v1.doc_id IS NULL OR v2.version = 2 THEN 1 ELSE 0 END AS segment, len({DOC_TERMS.replace('text', 'v2.text')}) AS size FROM v2 LEFT JOIN v1 USING (doc_id)")
+def document_registry(s, d):
+    """The live documents with their versions, and the segment that has them: unchanged ones stay in the base."""
+    return I.live(s, _changed(s, d)).select("doc_id", "version", "segment", "size")
+
+
+@query(f"WITH {CHANGED_SQL} SELECT term, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest({DOC_TERMS}) AS term FROM v2) GROUP BY 1")
+def compacted_index(s, d):
+    """The same as one segment at another path."""
+    to = new_folder(s, "index")
+    I.compacted(s, _changed(s, d), to)
+    return I.postings(s, to).groupBy("term").agg(F.count("*").alias("n_docs"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'kept' ELSE 'made' END AS state, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE length(coalesce(text, '')) + len(regexp_extract_all(coalesce(text, ''), 'e')) END::DOUBLE AS total
+FROM documents WHERE doc_id % 13 <> 0""")
+def vector_backfill(s, d):
+    """Vectors of another model, dimension or version are made again; those whose document changed meanwhile are not written."""
+    docs = _versioned(table(s, d, "documents"))
+    odd = lambda n: F.col("doc_id") % 9 == n
+    old = docs.where("doc_id % 3 = 0 OR doc_id % 9 IN (1, 2, 4)").select(
+        "doc_id",
+        F.when(odd(1), "0").otherwise("1").alias("version"),
+        F.when(odd(2), "old").otherwise("letters").alias("model"),
+        F.when(odd(4), 3).otherwise(2).alias("dim"),
+        F.array(F.lit(-1.0), F.lit(0.0)).cast("array<float>").alias("vector"),
+    )
+    made = I.backfilled(docs, old, "letters", 2, lambda texts: [(i, [float(len(t)), float(t.count("e"))]) for i, t in enumerate(texts)])
+    now = docs.withColumn("version", F.when(F.col("doc_id") % 13 == 0, "9").otherwise(F.col("version")))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return I.swapped(made, now).select("doc_id", F.when(total == -1, "kept").otherwise("made").alias("state"), total.alias("total"))
 
 
 @query("""WITH r AS (SELECT doc_id, lower(text) AS t FROM documents), m AS (SELECT item_id, lower(text) AS t FROM benchmark),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 
 def event_stream(spark, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -38,7 +39,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     mode complete the last trigger's folder is the result, else all of them are.
     """
     spark = stream.sparkSession
-    base = f"{_shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     seen: set[int] = set()
 
     def keep(rows: DataFrame, batch: int) -> None:
@@ -51,12 +52,3 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
         return spark.createDataFrame([], stream.schema)
     wanted = [max(seen)] if mode == "complete" else sorted(seen)
     return spark.read.schema(stream.schema).parquet(*(f"{base}/rows/batch={b}" for b in wanted))
-
-
-def _shared_dir(spark) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset and the master is local, as in tests."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="tesserae-streams-")

@@ -75,14 +75,6 @@ def test_stems(word, want):
     assert stems.stem(word) == want
 
 
-def test_stemmed_postings_and_phrases(spark):
-    docs = spark.createDataFrame([(1, "running runs and hopping"), (2, "a hop and a run"), (3, "and hopping running")], "doc_id long, text string")
-    got = {(r.term, r.doc_id): r.tf for r in R.stemmed_postings(R.postings(docs)).collect()}
-    assert got["run", 1] == 2 and got["hop", 1] == got["hop", 2] == 1
-    q = spark.createDataFrame([(1, ["and", "hopping"])], "query_id long, words array<string>")
-    assert {r.doc_id for r in R.phrase_hits(docs, q).collect()} == {1, 3}
-
-
 def test_sources(spark, tmp_path):
     lines = [json.dumps({"role": r, "content": c, "timestamp": t}) for r, c, t in [("user", "hi", 1), ("tool", "x", 2), ("assistant", "yo", 3), ("user", " ", 4)]] + ["not json"]
     (tmp_path / "t.jsonl").write_text("\n".join(lines))
