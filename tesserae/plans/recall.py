@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..shared import written
 from .probes import Lexical
 
 
@@ -34,7 +35,8 @@ def recalled(
         ranks = ranks.unionByName(stage)
     if seen is not None:
         ranks = ranks.join(seen, ["query_id", "doc_id"], "left_anti")
-    rows = R.capped(R.fused(ranks), budget["fused"]).join(words, "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    found = written(R.capped(R.fused(ranks), budget["fused"]))
+    rows = docs.select("doc_id", "text").join(found, "doc_id").join(words, "query_id")
     rows = rows.withColumn("cover", R.coverage(F.col("text"), F.col("terms")))
     bound = (F.col("cover") > 0) | (F.col("embedding") == 1) | (F.col("context") == 1)
     rows = rows.where(F.lit(profile == "full") | bound)
