@@ -53,3 +53,60 @@ def related(edges: DataFrame, seeds: DataFrame, most: int = 8) -> DataFrame:
     near = near.join(seeds.select("query_id", "node"), ["query_id", "node"], "left_anti")
     w = Window.partitionBy("query_id").orderBy(F.desc("degree"), "node")
     return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+#: Hops, nodes and edges of a search by profile.
+GRAPH_BUDGETS = {"fast": (1, 64, 128), "normal": (2, 256, 512), "full": (3, 1024, 2048)}
+
+
+def budgeted(edges: DataFrame, seeds: DataFrame, hops: int, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Bounded search, edge by edge: the visited edges (query_id, edge_id, hop, place, anchored) and nodes (query_id, node, hop, place, anchored).
+
+    edges: edge_id, a, b (undirected, each id once); seeds: query_id, node, place, anchored. A hop takes the nodes of the
+    last one in order of their place and the edges of each by id. An edge is visited once; the node behind it
+    is new if nobody has reached it, and inherits whether its search began at an anchor. The search ends for good
+    before the first edge at which ``most_edges`` edges or ``most_nodes`` nodes are there.
+
+    What one query looks at is bounded before any window: of a node's edges, those already visited aside, only the
+    first ``most_edges`` can count.
+    """
+    from pyspark.sql import Window
+
+    from ..shared import written
+
+    known = edges.select("a").unionAll(edges.select("b")).distinct().withColumnRenamed("a", "node")
+    ends = edges.select("edge_id", "a", "b").where("a <> b")
+    both = ends.unionAll(ends.select("edge_id", F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(edges.where("a = b").select("edge_id", "a", "b"))
+    nodes = written(seeds.join(known, "node", "left_semi").select("query_id", "node", F.lit(0).alias("hop"), F.col("place").cast("long").alias("place"), "anchored"))
+    visited = nodes.select("query_id", F.lit(0).cast("long").alias("edge_id"), "hop", "place", "anchored").limit(0)
+    frontier = nodes
+    for hop in range(1, hops + 1):
+        step = frontier.select("query_id", F.col("node").alias("a"), F.col("place").alias("at"), "anchored").join(both, "a")
+        step = step.join(visited.select("query_id", "edge_id"), ["query_id", "edge_id"], "left_anti")
+        per = Window.partitionBy("query_id", "a").orderBy("edge_id")
+        step = step.withColumn("__k", F.row_number().over(per)).where(F.col("__k") <= most_edges)
+        # An edge counts where it is met first.
+        first = step.groupBy("query_id", "edge_id").agg(F.min(F.struct("at", "b", "anchored")).alias("m")).select("query_id", "edge_id", "m.at", "m.b", "m.anchored")
+        counts = nodes.groupBy("query_id").agg(F.count("*").alias("n0")).join(visited.groupBy("query_id").agg(F.count("*").alias("e0")), "query_id", "left")
+        old = nodes.select("query_id", F.col("node").alias("b"), F.lit(True).alias("old"))
+        rows = first.join(old, ["query_id", "b"], "left").join(counts, "query_id")
+        order = Window.partitionBy("query_id").orderBy("at", "edge_id")
+        here = Window.partitionBy("query_id", "b").orderBy("at", "edge_id")
+        rows = rows.withColumn("new", F.col("old").isNull() & (F.row_number().over(here) == 1))
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumns({"i": F.row_number().over(order) - 1, "found": F.coalesce(F.sum(F.col("new").cast("long")).over(before), F.lit(0))})
+        done = written(rows.where((F.coalesce("e0", F.lit(0)) + F.col("i") < most_edges) & (F.col("n0") + F.col("found") < most_nodes)))
+        visited = visited.unionByName(done.select("query_id", "edge_id", F.lit(hop).alias("hop"), F.col("i").cast("long").alias("place"), "anchored"))
+        frontier = done.where("new").select("query_id", F.col("b").alias("node"), F.lit(hop).alias("hop"), F.col("i").cast("long").alias("place"), "anchored")
+        nodes = nodes.unionByName(frontier)
+    return visited, nodes
+
+
+def edge_hits(visited: DataFrame, edges: DataFrame, documents: DataFrame, most: int) -> DataFrame:
+    """(query_id, edge_id, doc_id, hop, anchored, rank): visited edges whose source (src_id, src_version) is a document of that version, in the order of the search."""
+    from pyspark.sql import Window
+
+    known = documents.select("doc_id", F.col("doc_id").alias("src_id"), F.col("version").alias("src_version"))
+    there = visited.join(edges.select("edge_id", "src_id", "src_version"), "edge_id").join(known, ["src_id", "src_version"])
+    w = Window.partitionBy("query_id").orderBy("hop", "place")
+    return there.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < most).select("query_id", "edge_id", "doc_id", "hop", "anchored", "rank")

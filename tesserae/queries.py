@@ -1153,3 +1153,6 @@ def consolidation_search(s, d):
 @query("SELECT lang AS tier, max_by(doc_id, n_chars * 1000000 + doc_id) AS newest FROM documents GROUP BY 1")
 def latest_by_tier(s, d):
     return table(s, d, "documents").groupBy(F.col("lang").alias("tier")).agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("newest"))
+
+
+from . import queries_store  # noqa: E402, F401  registers more queries
