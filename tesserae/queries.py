@@ -24,6 +24,7 @@ from .sources import index as I
 from .sources import sinks
 from .sources.tables import MESSAGES_SQL, messages, table, within_budget
 from .streaming import streams as S
+from .streaming.questions import lifecycle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -913,20 +914,44 @@ def _stream(s, d):
     return s.readStream.schema(base.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("""WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS "end", count(*) AS n, max(value) AS top FROM g GROUP BY user_id, k""")
+#: What append mode gives: what has ended before the last watermark.
+CLOSED = "(SELECT max(ts) FROM events)"
+
+
+@query(f"""WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS "end", count(*) AS n, max(value) AS top FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 DAY <= {CLOSED} - INTERVAL 1 HOUR""")
 def streamed_sessions(s, d):
-    return S.drained(S.sessions(_stream(s, d), "1 day"), "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    return S.drained(S.sessions(_stream(s, d), "1 day", "1 hour")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query("SELECT date_trunc('week', ts) AS week, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+@query(f"SELECT date_trunc('week', ts) AS week, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('week', min(ts)) + INTERVAL 7 DAY <= {CLOSED} - INTERVAL 3 DAY")
 def streamed_weeks(s, d):
-    return S.drained(S.tumbling(_stream(s, d)), "complete").withColumns({"week": F.col("week").cast("timestamp_ntz"), "total": F.round("total", 6)})
+    return S.drained(S.tumbling(_stream(s, d), late="3 days")).withColumns({"week": F.col("week").cast("timestamp_ntz"), "total": F.round("total", 6)})
 
 
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def streamed_first_seen(s, d):
-    return S.drained(S.first_seen(_stream(s, d).select("ts", "event_type", "user_id"), ["event_type", "user_id"], "3650 days").select("event_type", "user_id"))
+    return S.drained(S.first_seen(_stream(s, d).select("ts", "event_type", "user_id"), ["event_type", "user_id"], "31 days").select("event_type", "user_id"))
+
+
+@query("""SELECT event_id, event_type FROM events WHERE date_trunc('week', ts) + INTERVAL 7 DAY <= (SELECT max(e.ts) FROM events e WHERE e.event_id % 4 <= events.event_id % 4 - 2) - INTERVAL 3 DAY""")
+def streamed_late_rows(s, d):
+    """Four triggers of all events, by event_id; what weeks with three days of lateness refuse from the third on."""
+    base = table(s, d, "events")
+    folder = new_folder(s, "arrivals")
+    for k in range(4):  # files of different ages, so that each is a trigger's
+        base.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(folder)
+    stream = s.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return S.late_rows(stream, new_folder(s, "late"), late="3 days").select("event_id", "event_type")
+
+
+@query()
+def question_lifecycle(s, d):
+    """Rows only: state and timers; tests/test_streams.py holds it against a plain version."""
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ["candidate"] * 5 + ["asked", "dismissed", "resolved"])), (i % 8 + 1).cast("int"))
+    events = _stream(s, d).select("ts", "event_id", F.concat(F.lit("u"), F.col("user_id") % 50).alias("owner"), F.concat_ws("|", i % 7, i % 11).alias("pair"), kind.alias("kind"))
+    return S.drained(lifecycle(events))
 
 
 # -- writes, selection and parsing ---------------------------------------------

@@ -31,6 +31,31 @@ def tumbling(events: DataFrame, size: str = "7 days", late: str = "56 days") ->
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("week"), "event_type", "n", "total")
 
 
+def late_rows(events: DataFrame, path: str, size: str = "7 days", late: str = "56 days", start: str = "4 days") -> DataFrame:
+    """Rows that ``tumbling`` with the same size and lateness refuses, in append mode: those whose window has ended before the watermark of the trigger.
+
+    Spark drops such rows without a trace. The watermark that a trigger refuses rows by comes from the largest time
+    of the triggers before the last one; each trigger notes its own largest time under ``path``, in a folder of
+    its own that a repeated trigger overwrites, so the rule is the same here and after a restart. The result is the table of
+    what was refused, read back after the stream has ended.
+    """
+    spark = events.sparkSession
+    marks = f"{path.rstrip('/')}/marks"
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.agg(F.max("ts").alias("top")).write.mode("overwrite").parquet(f"{marks}/batch={batch}")
+        top = None
+        if batch >= 2:
+            before = spark.read.parquet(*(f"{marks}/batch={b}" for b in range(batch - 1)))
+            top = before.agg(F.max("top")).first()[0]
+        refused = rows.limit(0) if top is None else rows.where(F.window("ts", size, startTime=start)["end"] <= F.lit(top) - F.expr(f"INTERVAL {late}"))
+        refused.write.mode("overwrite").parquet(f"{path.rstrip('/')}/rows/batch={batch}")
+
+    q = events.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path.rstrip('/')}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(events.schema).option("basePath", f"{path.rstrip('/')}/rows").parquet(f"{path.rstrip('/')}/rows")
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return its result table (tests, backfills).
 
