@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from re import _parser as re_parser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,12 +72,82 @@ def any_of(patterns: list[str], flags: str = "(?i)") -> str:
     return flags + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
 
 
+def stems(pattern: str) -> list[str]:
+    """Lower-case literals of which every match of the pattern has at least one; none if there is no such set.
+
+    Of a sequence's parts that must match, the one whose shortest literal is longest.
+    """
+
+    def of(parsed) -> list[str]:
+        best, run = [], ""
+        for op, value in [*parsed, (None, None)]:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(value).lower()
+                continue
+            found = [[run]] if run else []
+            run = ""
+            if name == "SUBPATTERN":
+                found.append(of(value[3]))
+            elif name == "MAX_REPEAT" and value[0] > 0:
+                found.append(of(value[2]))
+            elif name == "BRANCH":
+                each = [of(b) for b in value[1]]
+                found.append([x for e in each for x in e] if all(each) else [])
+            for f in found:
+                if f and (not best or min(map(len, f)) > min(map(len, best))):
+                    best = f
+        return best
+
+    return of(re_parser.parse(pattern))
+
+
+def linear(pattern: str) -> str:
+    """The same rule without a new scan of the line at each word: of A.*B, the first A of a line, once."""
+    first, gap, rest = pattern.partition(".*")
+    return f"(?im)^(?>.*?{first}).*{rest}" if gap and pattern.count("(") == rest.count("(") else f"(?i){pattern}"
+
+
+def has_any(text: Column, patterns: list[str], lowered: Column | None = None) -> Column:
+    """Does any pattern match? A pattern is tried where one of its stems stands."""
+    lowered = F.lower(text) if lowered is None else lowered
+    plain: list[str] = []
+    out = F.lit(False)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for p in patterns:
+        if ".*" in p:
+            groups.setdefault(tuple(stems(p)), []).append(linear(p))
+        else:
+            plain.append(p)
+    if plain:
+        every = [stems(p) for p in plain]
+        groups.setdefault(tuple(dict.fromkeys(x for e in every for x in e)) if all(every) else (), []).append(any_of(plain))
+    for need, each in groups.items():
+        hit = F.lit(False)
+        for p in each:
+            hit = hit | text.rlike(p)
+        guard = F.lit(not need)
+        for n in need:
+            guard = guard | F.contains(lowered, F.lit(n))
+        out = out | (guard & hit)
+    return out
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: the only element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def turn_type(role: Column, text: Column) -> Column:
     """One-letter kind of a turn; the first rule that holds wins."""
-    asks = F.rtrim(text).endswith("?") & text.rlike(f"(?i){QUESTION}")
-    kinds = F.when(asks, "Q").when(text.rlike(any_of(LESSON)), "L").when(text.rlike(any_of(TECHNICAL)), "T").when(text.rlike(any_of(DECISION)), "D")
-    kinds = kinds.when((F.lower(role) == "user") & text.rlike(any_of(PREFERENCE)), "P").when(text.rlike(any_of(EVENT)), "E")
-    return kinds.when(F.lower(role) == "assistant", "F").otherwise("O")
+
+    def kind(lowered: Column) -> Column:
+        asks = F.rtrim(text).endswith("?") & text.rlike(f"(?i){QUESTION}")
+        kinds = F.when(asks, "Q").when(has_any(text, LESSON, lowered), "L").when(has_any(text, TECHNICAL, lowered), "T").when(has_any(text, DECISION, lowered), "D")
+        kinds = kinds.when((F.lower(role) == "user") & has_any(text, PREFERENCE, lowered), "P").when(has_any(text, EVENT, lowered), "E")
+        return kinds.when(F.lower(role) == "assistant", "F").otherwise("O")
+
+    return bound(F.lower(text), kind)
 
 
 def turn_type_name(code: Column) -> Column:
@@ -122,9 +193,12 @@ def unmasked(text: Column) -> Column:
 
 def injection_flags(text: Column) -> Column:
     """Categories found in the text, in order of the rules."""
-    clean = unmasked(text)
-    hits = [F.when(clean.rlike(any_of(patterns)), F.lit(name)) for name, (_, patterns) in INJECTION.items()]
-    return F.filter(F.array(*hits), lambda c: c.isNotNull())
+
+    def found(both: Column) -> Column:
+        hits = [F.when(has_any(both["clean"], patterns, both["lowered"]), F.lit(name)) for name, (_, patterns) in INJECTION.items()]
+        return F.filter(F.array(*hits), lambda c: c.isNotNull())
+
+    return bound(bound(unmasked(text), lambda c: F.struct(c.alias("clean"), F.lower(c).alias("lowered"))), found)
 
 
 def injection_score(flags: Column) -> Column:
@@ -153,7 +227,11 @@ def scan_flags(text: Column) -> Column:
 def hidden_injection_flags(text: Column) -> Column:
     """Categories found in base64 runs of the text, each with the prefix base64: ."""
     runs = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/]{20,}={0,2}"), F.lit(0))
-    decoded = F.transform(runs, lambda r: F.decode(F.unbase64(F.rpad(r, (F.ceil(F.length(r) / 4) * 4).cast("int"), "=")), "UTF-8"))
+    # A last letter that makes no byte is dropped, and bytes that are not UTF-8 become replacement characters.
+    body = lambda r: F.regexp_replace(r, "=+$", "")
+    usable = lambda r: F.substring(body(r), F.lit(1), F.length(body(r)) - F.when(F.length(body(r)) % 4 == 1, 1).otherwise(0))
+    padded = lambda b: F.rpad(b, (F.ceil(F.length(b) / 4) * 4).cast("int"), "=")
+    decoded = F.transform(runs, lambda r: F.make_valid_utf8(F.unbase64(padded(usable(r))).cast("string")))
     readable = F.filter(decoded, lambda d: (F.length(d) >= 5) & d.rlike("[a-zA-Z]{3,}"))
     return F.array_distinct(F.flatten(F.transform(readable, lambda d: F.transform(injection_flags(d), lambda c: F.concat(F.lit("base64:"), c)))))
 

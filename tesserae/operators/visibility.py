@@ -24,6 +24,11 @@ def shared_or_owned(principal: str | None, ceiling: int) -> Column:
     return (F.col("classification") <= ceiling) & ((F.col("classification") <= 1) | (F.col("owner") == principal))
 
 
+def visible_to(principal: Column, ceiling: int) -> Column:
+    """``shared_or_owned`` for principals of a column: a null one sees nothing."""
+    return F.coalesce(principal.isNotNull() & (F.col("classification") <= ceiling) & ((F.col("classification") <= 1) | (F.col("owner") == principal)), F.lit(False))
+
+
 def eligible(today: str) -> Column:
     """Current, not above the ceiling, neither encrypted nor sealed, not yet ended."""
     return F.col("superseded_by").isNull() & (F.col("classification") <= CEILING) & ~F.col("encrypted") & (F.col("valid_to").isNull() | (F.col("valid_to") > F.to_date(F.lit(today))))

@@ -38,6 +38,11 @@ def unsealed(cipher: Column, key: Column, label: Column) -> Column:
     return F.aes_decrypt(F.unbase64(cipher), key, F.lit("GCM"), F.lit("DEFAULT"), label).cast("string")
 
 
+def unsealed_or_null(cipher: Column, key: Column, label: Column) -> Column:
+    """The value, or null where the key or the label is not the one it was sealed with."""
+    return F.try_aes_decrypt(F.unbase64(cipher), key, F.lit("GCM"), F.lit("DEFAULT"), label).cast("string")
+
+
 def append_receipts(receipts: DataFrame, path: str, most: int = 2000) -> None:
     """JSON lines, at most ``most`` a run, oldest first."""
     w = Window.partitionBy("run_id").orderBy("at", "item_id")
