@@ -255,7 +255,7 @@ TRI_TERMS = ["tion", "heit", "thou", "quement", "ciónes"]
 def trigram_probe(s, d):
     docs = table(s, d, "documents")
     terms = s.createDataFrame([(t,) for t in TRI_TERMS], "term string")
-    hits = R.trigram_candidates(R.trigrams(docs), terms).join(docs.select("doc_id", "text"), "doc_id")
+    hits = R.trigram_candidates(R.trigrams(docs, asked=TRI_TERMS), terms).join(docs.select("doc_id", "text"), "doc_id")
     return hits.where(F.contains(F.lower("text"), "term")).groupBy("term").agg(F.count("*").alias("n_docs"))
 
 
