@@ -1,19 +1,24 @@
-"""Benchmark decontamination: exact bounds from shared words, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds join texts to items, Smith-Waterman alignment scores the pairs.
 
 Words are runs of digits and letters, lower-cased. The Smith-Waterman score of item and text
 over the score of a verbatim copy is the similarity; from ``MIN_SIMILARITY`` on the document
 contains the item. Items of fewer than 2 * ``N`` words ask for the score of ``N`` words in a
 row at least (of the whole item, where it is shorter), as half of them says nothing.
 
-Two bounds find, without missing any, where an alignment can score enough. A score of s takes
-s / ``MATCH`` words of the item that the document has somewhere. And a stretch of text scores
-at most ``MATCH`` for a word of the item and ``MISMATCH`` or ``GAP`` for another: stretches
-on which such a running sum stays above 0 are aligned where its peak reaches the score. No
-word or n-gram is left out for being frequent.
-
-The benchmark goes to the workers in blocks of at most ``BLOCK`` bytes of text, each a
-bounded broadcast and one pass over the documents, whatever the benchmark's size. There is
-no shuffle.
+1. Seeds are n-grams of one word or of ``N`` words. One pass over the texts counts in how many each of the
+   benchmark's n-grams occurs. Each item then takes the rarest seeds that no alignment of its score can miss:
+   such a score takes s / ``MATCH`` words of the item, so the text has one of its rarest words, one more of
+   which than may be missing (``words``); or it shares an ``N``-gram, or else its matches stand in runs of fewer
+   than ``N`` words, with a loss between any two runs, which takes more words, so that fewer of the rarest ones do
+   (``grams``). An item takes the set that occurs in fewer texts. No n-gram is left out for being frequent.
+2. A second pass gives the texts' n-grams among those seeds; they meet the items on equal seeds.
+3. Candidate items go to their texts, in groups of at most about ``GROUP``, and are aligned there. A bound goes first:
+   a stretch of text scores at most ``MATCH`` for a word of the item and ``MISMATCH`` or ``GAP`` for another;
+   stretches on which such a running sum stays above 0 are aligned where its peak reaches the score.
+
+Both passes know the n-grams by a bitmap of ``BITS`` bits, whatever the benchmark's size, and only texts whose hash is in
+such a bitmap of candidate texts are shuffled. Bitmaps let too much through, never too little. Texts are named by
+128 bits of hash, so repeated ones are aligned with the same items.
 
 Null and empty texts and items match nothing. Repeated rows repeat their result; of several
 alignments of one item in a document the best counts, the earliest on ties. Empty tables give
@@ -23,18 +28,22 @@ no leaks and leave documents as they are. Null ids pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .jaccard import Shingles
 
 N, MIN_SIMILARITY = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Bytes of benchmark text that go to the workers at once.
-BLOCK = 4 << 20
+#: Bits of the bitmaps that go to the workers.
+BITS = 1 << 24
+#: Items that are aligned with a text at once.
+GROUP = 500
 
 _DELIMITERS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes(0x20 if b in _DELIMITERS else b for b in range(256))
@@ -126,54 +135,183 @@ class Items:
         return out
 
 
-def benchmark_blocks(bench: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size, in order of hash; one block is on the driver at a time."""
-    sized = bench.select("item_id", "text").where("text is not null and item_id is not null")
-    total = sized.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
-    parts = max(1, -(-2 * total // block)) if total > block else 1
-    for p in range(parts):
-        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()
-        if rows:
-            yield sorted((r.item_id, r.text) for r in rows)
+def fewest_words(least: int, words: int) -> int:
+    """Matched words that a score takes when fewer than N of them stand in a row: each run but one costs a loss before it."""
+    loss = -max(MISMATCH, GAP)
+    for m in range(1, words + 1):
+        if MATCH * m - loss * (-(-m // (N - 1)) - 1) >= least:
+            return m
+    return words + 1
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+
+
+def _grams(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Distinct n-gram hashes of each text, sorted; of shorter texts one for the whole."""
+    return _shingles(n)([b" ".join(words_of(t)) for t in texts])
+
+
+@lru_cache(maxsize=4)
+def _shingles(n: int) -> Shingles:
+    return Shingles(n)
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes (h): at most BITS / 64 numbers reach the driver."""
+    at = F.pmod(F.col("h"), F.lit(BITS))
+    rows = hashes.select(F.floor(at / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(h, {BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % np.uint64(64 * len(bitmap))
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _items(bench: DataFrame) -> DataFrame:
+    """nr, item_id, text of the items with words; a number for each row, fixed once it is written."""
+    rows = bench.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
+    return common.written(rows.withColumn("nr", F.monotonically_increasing_id()))
+
+
+def _item_grams(items: DataFrame) -> DataFrame:
+    """(nr, n, h, times, words, need, fewer): n-grams of items; how many of the rarest words, counted with repeats, a text must have one of: in any case, and if it shares no N-gram."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, "text", 1 << 20):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for nr, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist()):
+                words = words_of(text)
+                if not words:
+                    continue
+                size = len(words)
+                least = max(int(np.ceil(MIN_SIMILARITY * MATCH * size)), MATCH * min(N, size))
+                need = size - -(-least // MATCH) + 1
+                fewer = max(size - fewest_words(least, size) + 1, 0)
+                held: dict[bytes, int] = {}
+                for w in words:
+                    held[w] = held.get(w, 0) + 1
+                hashes = [int(x[0]) for x in _shingles(1)(list(held))]
+                rows = [(1, h, k) for h, k in zip(hashes, held.values())] + [(N, int(h), 1) for h in (_grams([text], N)[0] if size >= N else ())]
+                for n, h, k in rows:
+                    for column, v in zip(out, (nr, n, h, k, size, need, fewer)):
+                        column.append(v)
+            arrays = [pa.array(np.array(c, np.uint64).view(np.int64)) if k == 2 else pa.array(c, pa.int64()) for k, c in enumerate(out)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["nr", "n", "h", "times", "words", "need", "fewer"])
+
+    return items.select("nr", "text").mapInArrow(work, "nr long, n long, h long, times long, words long, need long, fewer long")
+
+
+def _hits(docs: DataFrame, bitmap: np.ndarray, counted: bool) -> DataFrame:
+    """The texts' n-grams in the bitmap: (h, k) counts of each block, or (h, h1, h2) with the text's name."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, "text", 1 << 20):
+            texts = block.column(1).to_pylist()
+            found = [np.concatenate(x) for x in zip(*(_grams(texts, n) for n in (1, N)))]
+            found = [x[_known(shared.value, x)] for x in found]
+            flat = np.concatenate([np.empty(0, np.uint64), *found])
+            if counted:
+                h, k = np.unique(flat, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k)], names=["h", "k"])
+            else:
+                row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), block.column(2).take(row), block.column(3).take(row)], names=["h", "h1", "h2"])
+
+    return docs.mapInArrow(work, "h long, k long" if counted else "h long, h1 long, h2 long")
+
+
+def seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(nr, h): each item's seeds, from its n-grams and (h, k), in how many texts they occur."""
+    seen = grams.join(counts.hint("merge"), "h", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    rarest = Window.partitionBy("nr", "n").orderBy("k", "h").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("times").over(rarest), F.lit(0))
+    word = F.col("n") == 1
+    ranked = seen.withColumn("before", before).withColumns({"as_words": word & (F.col("before") < F.col("need")), "as_grams": ~word | (F.col("before") < F.col("fewer"))})
+    cost = lambda c: F.sum(F.when(F.col(c), F.col("k")).otherwise(0)).alias(c + "_cost")
+    costs = ranked.groupBy("nr").agg(cost("as_words"), cost("as_grams"), F.max("words").alias("size"))
+    chosen = F.when((F.col("as_grams_cost") < F.col("as_words_cost")) & (F.col("size") >= N), F.col("as_grams")).otherwise(F.col("as_words"))
+    return ranked.join(costs, "nr").where(chosen & (F.col("k") > 0)).select("nr", "h")
+
+
+def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(h1, h2, nr): texts, by name, and items that share a seed."""
+    grams = common.written(_item_grams(items))
+    texts = docs.where("text is not null")
+    counts = common.written(_hits(texts, _bitmap(grams.select("h").distinct()), True).groupBy("h").agg(F.sum("k").alias("k")))
+    chosen = common.written(seeds(grams, counts))
+    met = _hits(texts, _bitmap(chosen.select("h").distinct()), False).join(chosen.hint("merge"), "h")
+    pairs = common.written(met.select("h1", "h2", "nr").distinct())
+    for done in (grams, counts, chosen):
+        common.dropped(done)
+    return pairs
+
+
+def _grouped(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """(h1, h2, items): a text's candidate items, in groups of about GROUP."""
+    many = pairs.groupBy("h1", "h2").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    parted = pairs.join(many.hint("merge"), ["h1", "h2"]).withColumn("g", F.pmod(F.xxhash64("nr"), F.col("groups")))
+    full = parted.join(items.hint("merge"), "nr")
+    return full.groupBy("h1", "h2", "g").agg(F.collect_list(F.struct("nr", "item_id", "text")).alias("items")).drop("g")
 
 
 def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, first_word, end_word: items that documents contain."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, similarity double, first_word long, end_word long"
-    out = spark.createDataFrame([], schema)
-    for rows in benchmark_blocks(bench):
-        shared = spark.sparkContext.broadcast(Items(rows))
+    return _aligned(_keyed(docs), _items(bench)).selectExpr(f"cast(doc_id as {kind}) doc_id", "item_id", "similarity", "first_word", "end_word")
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for block in common.blocks(batches, "text"):
-                got = [(k, *x) for k, text in enumerate(block.column(1).to_pylist()) for x in items.leaks(items.ids_of(text))]
-                cols = [np.array(c) for c in zip(*got)] if got else [np.empty(0)] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [block.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.float64(), pa.int64(), pa.int64())))],
-                    names=["doc_id", "item_id", "similarity", "first_word", "end_word"],
-                )
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(find, schema))
-    return out
+def _aligned(keyed: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, h1, h2, item_id, similarity, first_word, end_word."""
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    groups = common.written(_grouped(candidates(keyed, items), items))
+    near = _among(keyed, groups).join(groups.hint("merge"), ["h1", "h2"]).select("doc_id", "h1", "h2", "text", "items")
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, "text"):
+            got = []
+            for k, (text, own) in enumerate(zip(block.column(3).to_pylist(), block.column(4).to_pylist())):
+                held = Items([(i["item_id"], i["text"]) for i in sorted(own, key=lambda i: i["nr"])])
+                got += [(k, *x) for x in held.leaks(held.ids_of(text))]
+            cols = [np.array(c) for c in zip(*got)] if got else [np.empty(0)] * 5
+            row = pa.array(cols[0], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(block.column(c).take(row) for c in range(3)), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.float64(), pa.int64(), pa.int64())))],
+                names=["doc_id", "h1", "h2", "item_id", "similarity", "first_word", "end_word"],
+            )
 
-def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The documents that contain no benchmark item, with all their columns."""
-    for rows in benchmark_blocks(bench):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(Items(rows)))(F.col("text")))
-    return docs
+    return near.mapInArrow(find, f"doc_id {kind}, h1 long, h2 long, item_id long, similarity double, first_word long, end_word long")
+
+
+def _among(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows whose h1 is in the bitmap of the names', and perhaps some others; nothing is shuffled."""
+    return rows.where(_in_bitmap(rows, named)(F.col("h1")))
 
 
-def _clean(shared):
+def _in_bitmap(rows: DataFrame, named: DataFrame):
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(named.select(F.col("h1").alias("h")).distinct()))
+
     @F.arrow_udf("boolean")
-    def clean(texts: pa.Array) -> pa.Array:
-        items = shared.value
-        return pa.array([not items.leaks(items.ids_of(t)) for t in texts.to_pylist()], pa.bool_())
+    def known(h1: pa.Array) -> pa.Array:
+        return pa.array(_known(shared.value, h1.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return known
+
 
-    return clean
+def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The documents that contain no benchmark item, with all their columns."""
+    found = common.written(_aligned(_keyed(docs), _items(bench)).select("h1", "h2").distinct())
+    names = {"__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(7), "text")}
+    rows = docs.withColumns(names)
+    maybe = _in_bitmap(docs, found)(F.col("__h1"))
+    bad = found.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"))
+    doubtful = rows.where(maybe).join(bad.hint("merge"), ["__h1", "__h2"], "left_anti")
+    return rows.where(~maybe).unionByName(doubtful.select(rows.columns)).drop("__h1", "__h2")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

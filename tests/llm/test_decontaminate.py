@@ -60,11 +60,57 @@ def test_planted(spark):
     assert D.decontaminated(df, bench.limit(0)).count() == len(docs)
 
 
-def test_blocks_cover_benchmark(spark):
+def test_repeated_items_and_texts(spark):
     docs, items, leaked = planted()
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    parts = list(D.benchmark_blocks(bench, 1500))
-    assert len(parts) > 1 and sorted(r for p in parts for r in p) == sorted(items)
+    rows = [*docs, *docs[:8], (None, docs[0][1])]
+    bench = [*items, items[0], (500, items[1][1])]
+    got = sorted((r.doc_id, r.item_id) for r in D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).where("doc_id is not null").collect())
+    want = [(d, i) for d, i in leaked for _ in range(1 + (d < 8))]
+    want += [(d, i) for d, i in want if i == 0] + [(d, 500) for d, i in want if i == 1]
+    assert got == sorted(want)
+
+
+def test_few_bits_and_groups_change_nothing(spark, monkeypatch):
+    """Bitmaps that let nearly all through, and groups of one item."""
+    monkeypatch.setattr(D, "BITS", 64)
+    monkeypatch.setattr(D, "GROUP", 1)
+    docs, items, leaked = planted(5)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.leaks(df, bench).collect()} == leaked
+    assert {r.doc_id for r in D.decontaminated(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in leaked}
+
+
+def test_seeds_miss_nothing(spark):
+    """Random items and texts of few words, scored by brute force; every pair that scores enough shares a seed, by words and by n-grams."""
+    rng = random.Random(6)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz"[: rng.choice([6, 26])])
+    items = [(k, " ".join(word() for _ in range(rng.randrange(1, 16)))) for k in range(60)]
+    texts = []
+    for d in range(150):
+        words = [word() for _ in range(rng.randrange(0, 25))]
+        if d % 2:  # an item with words exchanged, left out and put in
+            for w in items[rng.randrange(60)][1].split():
+                words += [w] if rng.random() < 0.8 else []
+                words += [word()] if rng.random() < 0.3 else []
+        texts.append((d, " ".join(words)))
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    number = {c: k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+    want = set()
+    for d, text in texts:
+        for k, item in items:
+            n = len(item.split())
+            if brute_score([number[w] for w in item.split()], [number[w] for w in text.split()]) >= max(n, 2 * min(D.N, n)):
+                want.add((d, k))
+    assert {(r.doc_id, r.item_id) for r in D.leaks(df, bench).collect()} == want and len(want) > 200
+
+
+def test_fewest_words():
+    """By all ways to put m matches in runs of fewer than N, with a loss between runs."""
+    for least in range(2, 40):
+        for words in range(1, 30):
+            m = D.fewest_words(least, words)
+            score = lambda m: 2 * m - (-(-m // 2) - 1)
+            assert all(score(x) < least for x in range(1, min(m, words + 1))) and (m == words + 1 or score(m) >= least)
 
 
 def test_edited_copies_against_brute_force(spark):
