@@ -30,7 +30,8 @@ The common tokens are sent to the workers as one sorted array a round of at most
 most frequent ones, whatever the corpus. Which they are changes only the amount of work.
 
 Null and empty texts have no tokens, link with nothing, and are their own component. Rows
-repeating an id and a text get equal results. Rows with null ids are their own component,
+repeating an id and a text get equal results; where an id has several texts each of them links for
+itself, and a component's name is the smallest id of its rows. Rows with null ids are their own component,
 null. Other columns are not read; an empty table gives an empty table.
 """
 
@@ -399,11 +400,27 @@ def _ordered(sets: DataFrame, often: np.ndarray) -> DataFrame:
     return _prefixes(sets, later)
 
 
+def _by_row(texts: DataFrame) -> DataFrame:
+    """``joined`` of rows under numbers of their own, named by the smallest id afterwards."""
+    rows = common.written(texts.withColumn("row", F.monotonically_increasing_id()))
+    there = rows.where("doc_id is not null")
+    found = common.written(joined(there.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row"))
+    named = found.join(there.select("row", "doc_id"), "row")
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    out = named.join(least.hint("merge"), "component_id").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    nobody = _classes(rows.where("doc_id is null").select("doc_id", "text")).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(nobody)
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     members = common.written(_classes(texts))
     usable = members.where("n > 0 and doc_id is not null")
+    per = usable.groupBy("doc_id").agg(F.min("c1").alias("low"), F.max("c1").alias("high"), F.count("*").alias("rows"))
+    ids = per.agg(F.max(F.col("low") != F.col("high")).alias("several"), F.max("rows").alias("rows")).first()
+    if ids["several"]:
+        return _by_row(texts)
     reps = common.written(usable.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
 
     rows = _tokens(texts.where("doc_id is not null"))
@@ -413,7 +430,7 @@ def joined(docs: DataFrame) -> DataFrame:
     often = _common_tokens(shared)
     common.dropped(shared)
     sets = common.written(_sets(texts.join(alive.hint("merge"), "doc_id", "left_semi"), often), 500)
-    if members.count() != members.select("doc_id").distinct().count():  # rows that repeat an id
+    if (ids["rows"] or 0) > 1:  # rows that repeat an id and its text
         sets = common.written(sets.dropDuplicates(["doc_id"]), 500)
 
     links = linked(_pruned(_pruned(_ordered(sets, often))), sets)

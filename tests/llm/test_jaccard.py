@@ -81,3 +81,11 @@ def test_same_as_sql(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(f"select doc_id, n_shingles, component_id from ({J.ORACLE_SQL})").fetchall()
     assert sorted(tuple(r) for r in J.op5_jaccard(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_one_id_with_two_texts(spark):
+    rng = random.Random(1)
+    a, b = ([rng.choice("abcdefghijklmnop") + str(rng.randrange(99)) for _ in range(60)] for _ in range(2))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "x"])), (4, None), (4, "four"), (None, " ".join(a)), (5, "")]
+    got = sorted(map(tuple, J.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (4, 0, 4), (4, 1, 4), (None, 56, None), (5, 0, 5)], key=str)
