@@ -7,11 +7,12 @@ row at least (of the whole item, where it is shorter), as half of them says noth
 
 1. Seeds are n-grams of one word or of ``N`` words. One pass over the texts counts in how many each of the
    benchmark's n-grams occurs. Each item then takes the rarest seeds that no alignment of its score can miss:
-   such a score takes s / ``MATCH`` words of the item, so the text has one of its rarest words, one more of
-   which than may be missing (``words``); or it shares an ``N``-gram, or else its matches stand in runs of fewer
+   such a score takes s / ``MATCH`` words of the item, so of its rarest words, ``EXTRA`` and one more than may be
+   missing, the text has ``EXTRA`` + 1 at least (``words``); or it shares an ``N``-gram, or else its matches stand in runs of fewer
    than ``N`` words, with a loss between any two runs, which takes more words, so that fewer of the rarest ones do
    (``grams``). An item takes the set that occurs in fewer texts. No n-gram is left out for being frequent.
-2. A second pass gives the texts' n-grams among those seeds; they meet the items on equal seeds.
+2. A second pass gives the texts' n-grams among those seeds; they meet the items on equal seeds, and a pair with
+   an ``N``-gram or with enough words is a candidate.
 3. Candidate items go to their texts, in groups of at most about ``GROUP``, and are aligned there. A bound goes first:
    a stretch of text scores at most ``MATCH`` for a word of the item and ``MISMATCH`` or ``GAP`` for another;
    stretches on which such a running sum stays above 0 are aligned where its peak reaches the score.
@@ -36,15 +37,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .jaccard import Shingles
 
 N, MIN_SIMILARITY = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of the bitmaps that go to the workers.
 BITS = 1 << 24
+#: Rarest words besides those that a text must have one of; it must have as many more.
+EXTRA = 3
 #: Items that are aligned with a text at once.
 GROUP = 500
 
+_LETTER = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE, _MIX = 0x9D39247E33776D41, np.uint64(0xFF51AFD7ED558CCD)
+
 _DELIMITERS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes(0x20 if b in _DELIMITERS else b for b in range(256))
 
@@ -148,14 +153,43 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
 
 
-def _grams(texts: list[str | None], n: int) -> list[np.ndarray]:
-    """Distinct n-gram hashes of each text, sorted; of shorter texts one for the whole."""
-    return _shingles(n)([b" ".join(words_of(t)) for t in texts])
-
-
-@lru_cache(maxsize=4)
-def _shingles(n: int) -> Shingles:
-    return Shingles(n)
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    n = 1 << bits
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def _hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words and of the N-grams inside a text, each with the number of its text."""
+    data = [(t or "").lower().encode("utf-8", "surrogatepass").translate(_TO_SPACE) for t in texts]
+    flat = np.frombuffer(b" ".join(data), np.uint8)
+    up, down = _powers(max(20, int(len(flat)).bit_length()))
+    edge = np.flatnonzero(np.diff(flat != 0x20, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(_LETTER[flat] * up[: len(flat)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    h ^= h >> np.uint64(29)
+    owner = np.searchsorted(np.cumsum([len(x) + 1 for x in data]), starts, side="right")
+    if len(h) < N:
+        return h, owner, np.empty(0, np.uint64), np.empty(0, np.int64)
+    gram = h[: len(h) - N + 1].copy()
+    for k in range(1, N):
+        gram = (gram + h[k : len(h) - N + 1 + k]) * _MIX
+        gram ^= gram >> np.uint64(32)
+    inside = owner[: len(gram)] == owner[N - 1 :]
+    return h, owner, gram[inside], owner[: len(gram)][inside]
+
+
+def _distinct(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, and how often they occur."""
+    order = np.lexsort((h, at))
+    at, h = at[order], h[order]
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (h[1:] != h[:-1])][: len(at)])
+    return at[first], h[first], np.diff(np.r_[first, len(at)])
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -183,25 +217,15 @@ def _item_grams(items: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text", 1 << 20):
-            out: list[list] = [[], [], [], [], [], [], []]
-            for nr, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist()):
-                words = words_of(text)
-                if not words:
-                    continue
-                size = len(words)
-                least = max(int(np.ceil(MIN_SIMILARITY * MATCH * size)), MATCH * min(N, size))
-                need = size - -(-least // MATCH) + 1
-                fewer = max(size - fewest_words(least, size) + 1, 0)
-                held: dict[bytes, int] = {}
-                for w in words:
-                    held[w] = held.get(w, 0) + 1
-                hashes = [int(x[0]) for x in _shingles(1)(list(held))]
-                rows = [(1, h, k) for h, k in zip(hashes, held.values())] + [(N, int(h), 1) for h in (_grams([text], N)[0] if size >= N else ())]
-                for n, h, k in rows:
-                    for column, v in zip(out, (nr, n, h, k, size, need, fewer)):
-                        column.append(v)
-            arrays = [pa.array(np.array(c, np.uint64).view(np.int64)) if k == 2 else pa.array(c, pa.int64()) for k, c in enumerate(out)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["nr", "n", "h", "times", "words", "need", "fewer"])
+            h, owner, gram, of = _hashes(block.column(1).to_pylist())
+            size = np.bincount(owner, minlength=block.num_rows)
+            least = np.maximum(np.ceil(MIN_SIMILARITY * MATCH * size), MATCH * np.minimum(N, size)).astype(np.int64)
+            need = size - -(-least // MATCH) + 1
+            fewer = np.array([max(n - fewest_words(v, n) + 1, 0) for n, v in zip(size.tolist(), least.tolist())], np.int64)
+            for n, hashes, at in ((1, h, owner), (N, gram, of)):
+                row, values, times = _distinct(at, hashes)
+                columns = [block.column(0).take(pa.array(row)), pa.array(np.full(len(row), n)), pa.array(values.view(np.int64)), pa.array(times), *(pa.array(v[row]) for v in (size, need, fewer))]
+                yield pa.RecordBatch.from_arrays(columns, names=["nr", "n", "h", "times", "words", "need", "fewer"])
 
     return items.select("nr", "text").mapInArrow(work, "nr long, n long, h long, times long, words long, need long, fewer long")
 
@@ -212,41 +236,52 @@ def _hits(docs: DataFrame, bitmap: np.ndarray, counted: bool) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text", 1 << 20):
-            texts = block.column(1).to_pylist()
-            found = [np.concatenate(x) for x in zip(*(_grams(texts, n) for n in (1, N)))]
-            found = [x[_known(shared.value, x)] for x in found]
-            flat = np.concatenate([np.empty(0, np.uint64), *found])
+            h, owner, gram, of = _hashes(block.column(1).to_pylist())
+            parts = []
+            for hashes, at in ((h, owner), (gram, of)):
+                known = _known(shared.value, hashes)
+                parts.append(_distinct(at[known], hashes[known]))
+            at, flat, _ = map(np.concatenate, zip(*parts))
             if counted:
-                h, k = np.unique(flat, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k)], names=["h", "k"])
+                values, k = np.unique(flat, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(k)], names=["h", "k"])
             else:
-                row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                row = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), block.column(2).take(row), block.column(3).take(row)], names=["h", "h1", "h2"])
 
     return docs.mapInArrow(work, "h long, k long" if counted else "h long, h1 long, h2 long")
 
 
 def seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """(nr, h): each item's seeds, from its n-grams and (h, k), in how many texts they occur."""
+    """(nr, h, weight, required): each item's seeds, from its n-grams and (h, k), in how many texts they occur.
+
+    A text is a candidate where its seeds' weights add up to what is required; an N-gram weighs that much alone.
+    """
     seen = grams.join(counts.hint("merge"), "h", "left").withColumn("k", F.coalesce("k", F.lit(0)))
     rarest = Window.partitionBy("nr", "n").orderBy("k", "h").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("times").over(rarest), F.lit(0))
-    word = F.col("n") == 1
-    ranked = seen.withColumn("before", before).withColumns({"as_words": word & (F.col("before") < F.col("need")), "as_grams": ~word | (F.col("before") < F.col("fewer"))})
+    before, word = F.coalesce(F.sum("times").over(rarest), F.lit(0)), F.col("n") == 1
+    some = F.col("fewer") > 0  # else no score is reached without an N-gram
+    ranked = seen.withColumn("before", before).withColumns({"as_words": word & (F.col("before") < F.col("need") + EXTRA), "as_grams": ~word | (some & (F.col("before") < F.col("fewer") + EXTRA))})
     cost = lambda c: F.sum(F.when(F.col(c), F.col("k")).otherwise(0)).alias(c + "_cost")
-    costs = ranked.groupBy("nr").agg(cost("as_words"), cost("as_grams"), F.max("words").alias("size"))
-    chosen = F.when((F.col("as_grams_cost") < F.col("as_words_cost")) & (F.col("size") >= N), F.col("as_grams")).otherwise(F.col("as_words"))
-    return ranked.join(costs, "nr").where(chosen & (F.col("k") > 0)).select("nr", "h")
+    costs = ranked.groupBy("nr").agg(cost("as_words"), cost("as_grams"))
+    by_grams = (F.col("as_grams_cost") < F.col("as_words_cost")) & (F.col("words") >= N)
+    chosen = F.when(by_grams, F.col("as_grams")).otherwise(F.col("as_words"))
+    # Of short items there are not that many words more.
+    most = F.when(by_grams, F.col("fewer")).otherwise(F.col("need"))
+    required = F.greatest(F.least(F.lit(EXTRA), F.col("words") - most), F.lit(0)) + 1
+    out = ranked.join(costs, "nr").where(chosen & (F.col("k") > 0)).select("nr", "h", "times", word.alias("word"), required.alias("required"))
+    return out.select("nr", "h", F.when(F.col("word"), F.col("times")).otherwise(F.col("required")).alias("weight"), "required")
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(h1, h2, nr): texts, by name, and items that share a seed."""
+    """(h1, h2, nr): texts, by name, and items whose seeds they have enough of. Repeated texts add up, which lets more through."""
     grams = common.written(_item_grams(items))
     texts = docs.where("text is not null")
     counts = common.written(_hits(texts, _bitmap(grams.select("h").distinct()), True).groupBy("h").agg(F.sum("k").alias("k")))
     chosen = common.written(seeds(grams, counts))
     met = _hits(texts, _bitmap(chosen.select("h").distinct()), False).join(chosen.hint("merge"), "h")
-    pairs = common.written(met.select("h1", "h2", "nr").distinct())
+    held = met.groupBy("h1", "h2", "nr").agg(F.sum("weight").alias("weight"), F.max("required").alias("required"))
+    pairs = common.written(held.where("weight >= required").select("h1", "h2", "nr"))
     for done in (grams, counts, chosen):
         common.dropped(done)
     return pairs
