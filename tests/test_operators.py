@@ -14,6 +14,7 @@ from tesserae.functions import vectors as V
 from tesserae.operators import lifecycle as L
 from tesserae.operators import maintenance as M
 from tesserae.operators import retrieval as R
+from tesserae.sources import index
 from tesserae.sources import tables as S
 from tesserae.plans import recall
 
@@ -110,13 +111,14 @@ def test_parsers(spark):
     assert tuple(keys) == (7, 0)
 
 
-def test_recall_pages(spark):
+def test_recall_pages(spark, tmp_path):
     rng = random.Random(1)
     words = ["harbor", "ferry", "schedule", "garden", "winter", "music"]
     docs = spark.createDataFrame([(i, f"{words[i % 6]} {words[(i + 1) % 6]} note number {i} {rng.random()}") for i in range(40)], "doc_id long, text string")
     qs = spark.createDataFrame([(1, "harbor ferry"), (2, "garden winter")], "query_id long, text string")
-    first = recall.recalled(docs, qs, "fast").collect()
+    index.publish(docs.select("doc_id", F.lit("1").alias("version"), "text", F.lit("en").alias("lang")), str(tmp_path / "index"), 2)
+    first = recall.recalled(docs, qs, str(tmp_path / "index"), "fast").collect()
     assert {r.query_id for r in first} == {1, 2} and all(r.tier == 2 for r in first) and len(first) == 10
     seen = spark.createDataFrame([(r.query_id, r.doc_id) for r in first], "query_id long, doc_id long")
-    again = recall.recalled(docs, qs, "fast", seen=seen).collect()
+    again = recall.recalled(docs, qs, str(tmp_path / "index"), "fast", seen=seen).collect()
     assert not {(r.query_id, r.doc_id) for r in first} & {(r.query_id, r.doc_id) for r in again}
