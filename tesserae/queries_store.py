@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import commits as K
 from .operators import graph as G
+from .operators import publication as U
 from .operators import star as X
 from .operators import summaries as Y
 from .queries import query
@@ -198,3 +199,23 @@ def session_context_fill(s, d):
     w = Window.partitionBy("l_suppkey", "kind").orderBy("l_orderkey", "l_linenumber", "l_partkey")
     items = rows.select(F.col("l_suppkey").alias("session_id"), "kind", (F.row_number().over(w) - 1).alias("nr"), (20 + F.col("l_partkey") % 80).alias("size"))
     return Y.session_context(items, 3000)
+
+
+# -- publication -----------------------------------------------------------------
+@query("""WITH i AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'other' ELSE source END AS principal, CASE WHEN doc_id % 3 = 0 THEN 'episode' ELSE 'durable' END AS layer FROM documents WHERE source IS NOT NULL),
+c AS (SELECT doc_id, source AS owner, CASE WHEN doc_id % 11 = 0 THEN 'r2' ELSE 'r1' END AS version, CASE WHEN doc_id % 17 = 0 THEN 3 ELSE 1 END AS class, doc_id % 19 = 0 AS sealed, doc_id % 23 = 0 AS replaced FROM documents WHERE doc_id % 29 <> 0),
+m AS (SELECT doc_id, unnest([doc_id * 2, doc_id * 2 + 1]) AS id FROM i), me AS (SELECT unnest([doc_id * 2, doc_id * 2 + 1]) AS id, CASE WHEN doc_id % 31 = 0 THEN 'other' ELSE source END AS owner FROM documents),
+e AS (SELECT m.doc_id, bool_or(coalesce(me.owner <> i.principal OR m.id % 37 = 0, true)) AS withheld, bool_or(m.id % 47 = 0) AS marked FROM m JOIN i USING (doc_id) LEFT JOIN me USING (id) GROUP BY 1)
+SELECT i.doc_id AS item_id, CASE WHEN c.doc_id IS NULL THEN 'stale-version' WHEN c.owner <> principal THEN 'unauthorized-source' WHEN sealed OR class > 2 THEN 'restricted-source' WHEN version <> 'r1' THEN 'stale-version' WHEN replaced THEN 'superseded'
+WHEN (layer = 'durable' AND i.doc_id % 41 = 0) OR (layer = 'episode' AND i.doc_id % 43 = 0) THEN 'forgotten' WHEN withheld THEN 'source-withheld' WHEN marked THEN 'forgotten' END AS reason FROM i LEFT JOIN c USING (doc_id) LEFT JOIN e USING (doc_id)""")
+def publication_recheck(s, d):
+    """All documents as results, held against a state in which some are gone, edited, sealed, replaced, forgotten or of another owner."""
+    i, docs = F.col("doc_id"), table(s, d, "documents").where("source IS NOT NULL")
+    layer = F.when(i % 3 == 0, "episode").otherwise("durable").alias("layer")
+    both = F.array(i * 2, i * 2 + 1)
+    items = docs.select((i % 50).alias("query_id"), i.alias("item_id"), F.when(i % 13 == 0, "other").otherwise(F.col("source")).alias("principal"), layer, i.alias("record_id"), F.lit("r1").alias("version"), both.alias("refs"))
+    now = docs.where("doc_id % 29 <> 0").select(layer, i.alias("record_id"), F.col("source").alias("owner"), F.when(i % 11 == 0, "r2").otherwise("r1").alias("version"), F.when(i % 17 == 0, 3).otherwise(1).alias("classification"), (i % 19 == 0).alias("encrypted"), (i % 23 == 0).alias("replaced"))
+    sent = docs.select(F.explode(both).alias("id"), F.when(i % 31 == 0, "other").otherwise(F.col("source")).alias("owner"))
+    gone = docs.where("doc_id % 3 <> 0 AND doc_id % 41 = 0 OR doc_id % 3 = 0 AND doc_id % 43 = 0").select(layer, i.alias("record_id"))
+    gone = gone.unionByName(sent.where("id % 47 = 0").select(F.lit("message").alias("layer"), F.col("id").alias("record_id")))
+    return U.rechecked(items, now, sent.where("id % 37 <> 0"), gone).select("item_id", "reason")

@@ -195,3 +195,19 @@ def test_windows_that_retire_nothing(spark):
 def test_record_keys_of_nulls(spark):
     got = spark.createDataFrame([("o", 1), (None, 1), ("o", None)], "owner string, id long").select(X.record_key(F.lit("durable"), F.col("owner"), F.col("id")).alias("k")).collect()
     assert [r.k for r in got] == ["durable:o:1", None, None]
+
+
+def test_reasons_to_withhold(spark):
+    from tesserae.operators import publication as U
+
+    kinds = {r.reason for r in entry.queries()["publication_recheck"](spark, "/root/testdata/sf0.01").select("reason").distinct().collect()}
+    assert kinds == {None, "stale-version", "unauthorized-source", "restricted-source", "superseded", "forgotten", "source-withheld"}
+    items = [(1, 1, "u", "durable", 1, "r1", [5]), (1, 2, "u", "durable", 1, None, None), (1, 3, "u", "durable", 2, "r1", []), (1, 4, "u", "durable", 3, "r1", [6]), (1, 5, None, "durable", 1, "r1", None), (1, 6, "u", "durable", None, "r1", None)]
+    current = [("durable", 1, "u", "r1", 1, None, None), ("durable", 2, "u", "r1", None, False, False), ("durable", 3, "u", "r1", 0, False, False)]
+    got = U.rechecked(
+        spark.createDataFrame(items, "query_id long, item_id long, principal string, layer string, record_id long, version string, refs array<long>"),
+        spark.createDataFrame(current, "layer string, record_id long, owner string, version string, classification int, encrypted boolean, replaced boolean"),
+        spark.createDataFrame([(5, "u"), (6, None)], "id long, owner string"),
+        spark.createDataFrame([], "layer string, record_id long"),
+    )
+    assert {r.item_id: r.reason for r in got.collect()} == {1: None, 2: "stale-version", 3: "restricted-source", 4: "source-withheld", 5: "unauthorized-source", 6: "stale-version"}
