@@ -1197,4 +1197,4 @@ def latest_by_tier(s, d):
     return table(s, d, "documents").groupBy(F.col("lang").alias("tier")).agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("newest"))
 
 
-from . import queries_store  # noqa: E402, F401  registers more queries
+from . import queries_artifacts, queries_store  # noqa: E402, F401  register more queries
