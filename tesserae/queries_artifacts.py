@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import cadence as K
 from .queries import query
-from .shared import exists, new_folder
+from .shared import exists, new_folder, written
 from .sources import artifacts as A
 from .sources.tables import table
 
@@ -76,11 +76,11 @@ def _root(s, d):
 
 
 def _covers(s, d):
-    return A.daily_covers(A.heads(s, _root(s, d), "daily"))
+    return written(A.daily_covers(A.heads(s, _root(s, d), "daily")))
 
 
 def _tier(s, d, tier, **scan):
-    return A.tier_artifacts(A.heads(s, _root(s, d), tier, **scan), tier)
+    return written(A.tier_artifacts(A.heads(s, _root(s, d), tier, **scan), tier))
 
 
 @query(f"WITH {FILES_SQL} SELECT path, owner, a AS start_day, b AS end_day, stamp FROM dl")

@@ -1,15 +1,17 @@
-"""Summary files of three tiers: a source that lists names, prunes by the period in them and reads heads only; a sink of one file a row."""
+"""Summary files of three tiers: tasks list names, prune by the period in them and read heads only; a sink of one file a row."""
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 from datetime import date, datetime, timedelta, timezone
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..ship import shipped
 
@@ -17,7 +19,9 @@ from ..ship import shipped
 NAMES = {"daily": r"daily_(\d{4})-(\d{2})-(\d{2})(?:-(\d{2})(\d{2})Z)?\.md", "weekly": r"weekly_(\d{4}-\d{2}-\d{2})_(\d{4}-\d{2}-\d{2})\.md", "quarterly": r"quarterly_(\d{4})-Q([1-4])\.md"}
 HEAD_BYTES = {"daily": 4096, "weekly": 65536, "quarterly": 65536}
 HEAD_LINES = 5
-SCHEMA = "path string, folder string, start_day date, end_day date, written long, head string, nth int, more boolean"
+NAMES_SCHEMA = "path string, folder string, start_day date, end_day date, written long, known boolean, nth int, more boolean"
+#: Rows of a batch.
+ROWS = 500
 
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
@@ -55,81 +59,80 @@ def named(tier: str, name: str) -> tuple[date | None, date | None, int | None] |
     return None, None, int(at.timestamp()) * 1000
 
 
-class Heads(InputPartition):
-    def __init__(self, files: list[tuple]):
-        self.files = files
+def slice_of(entry: str, of: int) -> int:
+    return zlib.crc32(entry.encode()) % of
 
 
-class HeadReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.root, self.tier = options["path"], options["tier"]
-        self.ranges = [tuple(date.fromisoformat(x) for x in r.split("..")) for r in options.get("ranges", "").split(",") if r]
-        self.newest = int(options.get("newest", 0))
-        self.each = int(options.get("files_per_task", 500))
+def listed(root: str, tier: str, ranges: list[tuple[str, str]], newest: int, part: int = 0, of: int = 1) -> Iterator[dict]:
+    """One slice of a tier's files, by name alone: with ranges those whose period meets one, with ``newest`` the last ones of each folder.
 
-    def partitions(self) -> list[Heads]:
-        """Files to open, by name alone: with ranges those whose period meets one, with ``newest`` the last ones of each folder."""
-        system, root = _open(self.root)
-        folders: dict[str, list[tuple]] = {}
-        for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
+    A slice lists the entries of the root and goes down into its own ones only; files at the root itself are the first slice's.
+    """
+    system, base = _open(root)
+    spans = [(date.fromisoformat(a), date.fromisoformat(b)) for a, b in ranges]
+    folders: dict[str, list[tuple]] = {}
+    for entry in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if entry.type == fs.FileType.Directory:
+            found = system.get_file_info(fs.FileSelector(entry.path, allow_not_found=True, recursive=True)) if slice_of(entry.base_name, of) == part else []
+        else:
+            found = [entry] if part == 0 else []
+        for info in found:
             name = info.base_name
-            if info.type != fs.FileType.File or not name.endswith(".md") or not name.startswith(f"{self.tier}_"):
+            if info.type != fs.FileType.File or not name.endswith(".md") or not name.startswith(f"{tier}_"):
                 continue
-            path = info.path[len(root):].lstrip("/")
-            found = named(self.tier, name)
-            first, last, written = found or (None, None, None)
-            if self.ranges and not (first and any(last >= a and first <= b for a, b in self.ranges)):
+            period = named(tier, name)
+            first, last, written = period or (None, None, None)
+            if spans and not (first and any(last >= a and first <= b for a, b in spans)):
                 continue
-            folders.setdefault(path.rpartition("/")[0], []).append((path, first, last, written, found is not None))
-        files = []
-        for folder in sorted(folders):
-            rows = sorted(folders[folder], key=lambda r: (r[2] or date.min, r[0]), reverse=True)
-            kept = rows[: self.newest] if self.newest else rows
-            files += [(*r, folder, nth, len(rows) > len(kept)) for nth, r in enumerate(kept, 1)]
-        return [Heads(files[i : i + self.each]) for i in range(0, len(files), self.each)] or [Heads([])]
-
-    def read(self, partition: Heads):
-        """One batch a task: of each file only the head is read, of names of another form nothing."""
-        system, root = _open(self.root)
-        out = []
-        for path, first, last, written, known, folder, nth, more in partition.files:
-            out.append({"path": path, "folder": folder, "start_day": first, "end_day": last, "written": written, "head": self.head(system, f"{root}/{path}") if known else None, "nth": nth, "more": more})
-        fields = [("path", pa.string()), ("folder", pa.string()), ("start_day", pa.date32()), ("end_day", pa.date32()), ("written", pa.int64()), ("head", pa.string()), ("nth", pa.int32()), ("more", pa.bool_())]
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
-
-    def head(self, system: fs.FileSystem, path: str) -> str | None:
-        """The first lines; None for a file that is gone or closed to us. Other errors fail the task, which Spark repeats."""
-        try:
-            with system.open_input_file(path) as f:
-                data = f.read_at(min(f.size(), HEAD_BYTES[self.tier]), 0)
-        except (FileNotFoundError, PermissionError):
-            return None
-        return "\n".join(data.decode("utf-8", "replace").split("\n")[:HEAD_LINES])
-
+            path = info.path[len(base):].lstrip("/")
+            folders.setdefault(path.rpartition("/")[0], []).append((path, first, last, written, period is not None))
+    for folder, rows in folders.items():
+        rows.sort(key=lambda r: (r[2] or date.min, r[0]), reverse=True)
+        kept = rows[:newest] if newest else rows
+        for nth, (path, first, last, written, known) in enumerate(kept, 1):
+            yield {"path": path, "folder": folder, "start_day": first, "end_day": last, "written": written, "known": known, "nth": nth, "more": len(rows) > len(kept)}
 
-class HeadSource(DataSource):
-    """``spark.read.format("summary_heads")``; options path, tier, ranges, newest, files_per_task."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "summary_heads"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> HeadReader:
-        return HeadReader(dict(self.options))
+def head(system: fs.FileSystem, path: str, tier: str) -> str | None:
+    """The first lines; None for a file that is gone or closed to us. Other errors fail the task, which Spark repeats."""
+    try:
+        with system.open_input_file(path) as f:
+            data = f.read_at(min(f.size(), HEAD_BYTES[tier]), 0)
+    except (FileNotFoundError, PermissionError):
+        return None
+    return "\n".join(data.decode("utf-8", "replace").split("\n")[:HEAD_LINES])
 
 
-def heads(spark: SparkSession, root: str, tier: str, ranges: list[tuple[str, str]] | None = None, newest: int | None = None) -> DataFrame:
+def heads(spark: SparkSession, root: str, tier: str, ranges: list[tuple[str, str]] | None = None, newest: int | None = None, slices: int = 32) -> DataFrame:
     """Heads of a tier's files: path (below the root), folder, period and time of the name, head, nth (newest of its folder first), more (its folder has files that were not opened).
 
-    Nothing is known of a file but its name before it is opened. An empty or missing root has no rows.
+    Nothing is known of a file but its name before it is opened. An empty or missing root has no rows. Tasks list the
+    folders, the driver none; names are dealt anew before heads are read, so that one large folder is no single task.
+    Each use reads the heads again: write them where they are used more than once.
     """
     shipped(spark)
-    spark.dataSource.register(HeadSource)
-    options = {"path": root, "tier": tier, "newest": str(newest or 0), "ranges": ",".join(f"{a}..{b}" for a, b in ranges or [])}
-    return spark.read.format("summary_heads").options(**options).load()
+    asked, most = list(ranges or []), newest or 0
+    fields = [("path", pa.string()), ("folder", pa.string()), ("start_day", pa.date32()), ("end_day", pa.date32()), ("written", pa.int64()), ("known", pa.bool_()), ("nth", pa.int32()), ("more", pa.bool_())]
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                rows = listed(root, tier, asked, most, part, slices)
+                while some := list(islice(rows, ROWS)):
+                    yield pa.RecordBatch.from_pylist(some, schema=pa.schema(fields))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _open(root)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                block = batch.slice(at, ROWS)
+                known = block.column(5).to_pylist()
+                read = [head(system, f"{base}/{path}", tier) if k else None for path, k in zip(block.column(0).to_pylist(), known, strict=True)]
+                yield pa.RecordBatch.from_arrays([*block.columns, pa.array(read, pa.string())], names=[*block.schema.names, "head"])
+
+    files = spark.range(0, slices, 1, slices).mapInArrow(names, NAMES_SCHEMA)
+    dealt = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return dealt.mapInArrow(opened, f"{NAMES_SCHEMA}, head string").drop("known")
 
 
 def _line(n: int):

@@ -27,41 +27,33 @@ def root(tmp_path):
     return tmp_path
 
 
-def opened(monkeypatch, root, **options):
-    seen = []
-    real = A.HeadReader.head
-    monkeypatch.setattr(A.HeadReader, "head", lambda self, system, path: (seen.append(path.rpartition("/")[2]), real(self, system, path))[1])
-    reader = A.HeadReader({"path": str(root), "tier": "weekly", **options})
-    rows = [r for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
-    return seen, rows
+def names(root, tier="weekly", ranges=(), newest=0, **part):
+    return [r["path"].rpartition("_2024-")[0][-10:] for r in A.listed(str(root), tier, list(ranges), newest, **part)]
 
 
-def test_pruned_files_are_not_opened(monkeypatch, root):
+def test_pruned_files_are_not_opened(spark, root):
     put(root, "u1/weekly_2024-13-01_2024-13-07.md", "never read")
-    assert opened(monkeypatch, root, ranges="2024-01-14..2024-01-15")[0] == ["weekly_2024-01-15_2024-01-28.md", "weekly_2024-01-08_2024-01-14.md"]
-    seen, rows = opened(monkeypatch, root, newest="1")
-    assert seen == ["weekly_2024-01-15_2024-01-28.md"] and [r["more"] for r in rows] == [True]
-    seen, rows = opened(monkeypatch, root)
-    assert len(seen) == 3 and len(rows) == 4 and [r["head"] for r in rows][-1] is None
+    assert names(root, ranges=[("2024-01-14", "2024-01-15")]) == ["2024-01-15", "2024-01-08"]
+    assert names(root, newest=1) == ["2024-01-15"]
+    rows = {r.path[10:20]: r for r in A.heads(spark, str(root), "weekly").collect()}
+    assert len(rows) == 4 and rows["2024-13-01"].head is None and rows["2024-01-01"].head
+    assert [r.more for r in A.heads(spark, str(root), "weekly", newest=1).collect()] == [True]
 
 
-def test_files_are_spread_over_tasks(root):
-    reader = A.HeadReader({"path": str(root), "tier": "weekly", "files_per_task": "2"})
-    assert [len(p.files) for p in reader.partitions()] == [2, 1]
+def test_slices_list_each_file_once(root):
+    for n in range(20):
+        put(root, f"o{n}/weekly_2024-01-01_2024-01-07.md", week())
+    put(root, "weekly_2024-01-01_2024-01-07.md", week())
+    parts = [[r["path"] for r in A.listed(str(root), "weekly", [], 0, i, 4)] for i in range(4)]
+    assert sorted(sum(parts, [])) == sorted(str(p.relative_to(root)) for p in root.rglob("*.md"))
+    assert sum(map(bool, parts)) > 1
 
 
 def test_only_the_head_is_read(root):
-    put(root, "u2/daily_2024-01-02-0300Z.md", b"# Daily Summary 2024-01-01\n" + b"x" * 5000 + b"\nOwner: u2")
-    reader = A.HeadReader({"path": f"file:{root}", "tier": "daily"})
-    (row,) = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
-    assert len(row["head"]) == A.HEAD_BYTES["daily"]
-
-
-def test_gone_files_have_no_head(root):
-    reader = A.HeadReader({"path": str(root), "tier": "weekly"})
-    parts = reader.partitions()
-    (root / "u1/weekly_2024-01-08_2024-01-14.md").unlink()
-    assert [r["head"] is None for p in parts for b in reader.read(p) for r in b.to_pylist()] == [False, True, False]
+    put(root, "daily_2024-01-02-0300Z.md", b"# Daily Summary 2024-01-01\n" + b"x" * 5000 + b"\nOwner: u2")
+    system, base = A._open(f"file:{root}")
+    assert len(A.head(system, f"{base}/daily_2024-01-02-0300Z.md", "daily")) == A.HEAD_BYTES["daily"]
+    assert A.head(system, f"{base}/gone.md", "daily") is None
 
 
 def test_weekly_heads_are_believed_when_whole(spark, tmp_path):
