@@ -67,24 +67,31 @@ def budgeted(edges: DataFrame, seeds: DataFrame, hops: int, most_nodes: int, mos
     is new if nobody has reached it, and inherits whether its search began at an anchor. The search ends for good
     before the first edge at which ``most_edges`` edges or ``most_nodes`` nodes are there.
 
-    What one query looks at is bounded before any window: of a node's edges, those already visited aside, only the
-    first ``most_edges`` can count.
+    What one query looks at is bounded before any join, and nothing that counts is lost. Of a node's edges the first
+    ``most_edges`` by id are enough: before a later one stand as many, each of which was visited before or comes earlier
+    in this hop, so the search has ended. An edge is met at two nodes of a hop at most: once the nodes before one have
+    twice ``most_edges`` edges, as many different ones come before its own.
     """
     from pyspark.sql import Window
 
     from ..shared import written
 
-    known = edges.select("a").unionAll(edges.select("b")).distinct().withColumnRenamed("a", "node")
     ends = edges.select("edge_id", "a", "b").where("a <> b")
     both = ends.unionAll(ends.select("edge_id", F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(edges.where("a = b").select("edge_id", "a", "b"))
-    nodes = written(seeds.join(known, "node", "left_semi").select("query_id", "node", F.lit(0).alias("hop"), F.col("place").cast("long").alias("place"), "anchored"))
+    per = Window.partitionBy("a").orderBy("edge_id")
+    both = both.withColumn("__k", F.row_number().over(per)).where(F.col("__k") <= most_edges)
+    near = written(both.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("edge_id", "b"))).alias("near")))
+    nodes = written(seeds.join(near.select(F.col("a").alias("node")), "node", "left_semi").select("query_id", "node", F.lit(0).alias("hop"), F.col("place").cast("long").alias("place"), "anchored"))
     visited = nodes.select("query_id", F.lit(0).cast("long").alias("edge_id"), "hop", "place", "anchored").limit(0)
     frontier = nodes
+    once = Window.partitionBy("query_id", "a").orderBy("at")
+    earlier = Window.partitionBy("query_id").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     for hop in range(1, hops + 1):
-        step = frontier.select("query_id", F.col("node").alias("a"), F.col("place").alias("at"), "anchored").join(both, "a")
+        sized = frontier.select("query_id", F.col("node").alias("a"), F.col("place").alias("at"), "anchored").join(near.select("a", F.size("near").alias("n")), "a")
+        sized = sized.withColumn("n", F.when(F.row_number().over(once) == 1, F.col("n")).otherwise(0))
+        sized = sized.withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(F.col("__before") < 2 * most_edges)
+        step = sized.select("query_id", "a", "at", "anchored").join(near, "a").select("query_id", "at", "anchored", F.inline("near"))
         step = step.join(visited.select("query_id", "edge_id"), ["query_id", "edge_id"], "left_anti")
-        per = Window.partitionBy("query_id", "a").orderBy("edge_id")
-        step = step.withColumn("__k", F.row_number().over(per)).where(F.col("__k") <= most_edges)
         # An edge counts where it is met first.
         first = step.groupBy("query_id", "edge_id").agg(F.min(F.struct("at", "b", "anchored")).alias("m")).select("query_id", "edge_id", "m.at", "m.b", "m.anchored")
         counts = nodes.groupBy("query_id").agg(F.count("*").alias("n0")).join(visited.groupBy("query_id").agg(F.count("*").alias("e0")), "query_id", "left")

@@ -11,6 +11,7 @@ from tesserae.operators import graph as G
 from tesserae.operators import star as X
 from tesserae.operators import summaries as Y
 
+from .rows import joined_rows
 from .test_queries import DIR
 
 
@@ -211,3 +212,12 @@ def test_reasons_to_withhold(spark):
         spark.createDataFrame([], "layer string, record_id long"),
     )
     assert {r.item_id: r.reason for r in got.collect()} == {1: None, 2: "stale-version", 3: "restricted-source", 4: "source-withheld", 5: "unauthorized-source", 6: "stale-version"}
+
+
+def test_a_search_at_hubs_joins_what_it_may_visit_only(spark):
+    """300 queries at hubs of 300 edges each: every node's first edges are enough."""
+    edges = spark.range(1200).selectExpr("id AS edge_id", "concat('s', id div 4) AS a", "concat('t', id % 4) AS b")
+    seeds = spark.range(300).selectExpr("id AS query_id", "concat('t', id % 4) AS node", "0 AS place", "true AS anchored")
+    found = []
+    assert joined_rows(spark, lambda: found.append(G.budgeted(edges, seeds, 2, 30, 20)[0].count())) <= 300 * 60
+    assert found == [300 * 20]
