@@ -138,3 +138,13 @@ def test_question_lifecycle_against_a_plain_version(spark, tmp_path):
     want = plain_lifecycle(events, 3600_000, Q.MOST_OPEN)
     assert sorted(map(tuple, got.collect()), key=str) == want
     assert {o for _, _, o, _ in want} == {"accepted", "active_pair", "recent", "cap", "asked", "dismissed", "resolved", "expired", "ignored"}
+
+
+def test_what_is_still_open_counts(spark):
+    """The streamed sessions and weeks hold all events, those of the last days too."""
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{folder}/events.parquet").count()
+    for name in ("streamed_sessions", "streamed_weeks"):
+        assert entry.queries()[name](spark, folder).agg(F.sum("n")).first()[0] == events
