@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .containment import held
+
 #: Classes above this are never recalled.
 CEILING = 2
 
@@ -55,11 +57,11 @@ def consumed_scope(session: Column) -> Column:
 
 def retold(excerpts: DataFrame, old: DataFrame, current: DataFrame, size: int = 160, least: int = 40) -> DataFrame:
     """Excerpts (owner, excerpt_id, excerpt) whose beginning stands in a superseded text of the owner and in no current one."""
-    head = excerpts.withColumn("__head", F.substring(F.trim("excerpt"), 1, size)).where(F.length("__head") >= least)
-    inside = lambda texts: F.contains(texts, "__head")
-    was = head.join(old.select("owner", F.col("content").alias("__old")), "owner").where(inside(F.col("__old"))).select("excerpt_id").distinct()
-    still = head.join(current.select("owner", F.col("content").alias("__now")), "owner").where(inside(F.col("__now"))).select("excerpt_id").distinct()
-    return was.join(still, "excerpt_id", "left_anti")
+    head = excerpts.withColumn("__head", F.substring(F.trim("excerpt"), 1, size)).where(F.length("__head") >= least).select("excerpt_id", F.col("owner").cast("string").alias("owner"), "__head")
+    heads = head.select("owner", F.col("__head").alias("string"))
+    texts = lambda rows, now: rows.select("owner", F.lit(now).alias("id"), F.col("content").alias("text"))
+    seen = held(texts(old, False).unionByName(texts(current, True)), heads).groupBy("owner", F.col("string").alias("__head")).agg(F.max("id").alias("now"))
+    return head.join(seen.where("NOT now"), ["owner", "__head"]).select("excerpt_id").distinct()
 
 
 def safe_evidence(messages: DataFrame, episodes: DataFrame, ceiling: int) -> DataFrame:
@@ -70,5 +72,6 @@ def safe_evidence(messages: DataFrame, episodes: DataFrame, ceiling: int) -> Dat
 
 def without_value(messages: DataFrame, values: DataFrame) -> DataFrame:
     """Messages of a user that hold none of the user's sealed values."""
-    hit = messages.join(values.select("user_id", F.col("value").alias("__value")), "user_id").where(F.contains("content", "__value")).select("id").distinct()
+    texts = messages.select(F.col("user_id").alias("owner"), "id", F.col("content").alias("text"))
+    hit = held(texts, values.select(F.col("user_id").alias("owner"), F.col("value").alias("string"))).select("id").distinct()
     return messages.join(hit, "id", "left_anti")
