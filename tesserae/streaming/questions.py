@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,71 +22,115 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class Questions(StatefulProcessor):
-    """One owner's questions: the newest of each pair, with when the pair was last asked and dismissed."""
+    """One owner's questions: the newest of each pair, with when the pair was last asked and dismissed.
+
+    The owner's rows are read once a call and those that changed are written once at its end, with a timer for each as it then stands.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getMapState("rows", "pair string", _ROW)
 
-    def _open(self) -> list[tuple[str, tuple]]:
-        return [(k[0], v) for k, v in self.rows.iterator() if v[1] in OPEN]
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, ids, pairs, kinds, names = _in_order(rows)
+        book = _Book(self.rows)
+        out = []
+        for now, event, pair, kind in zip(at, ids, pairs, kinds, strict=True):
+            book.expire(key[0], int(now), out)
+            pair, kind = names[pair], names[kind]
+            if kind == "candidate":
+                out.append((key[0], int(event), book.offered(pair, int(event), int(now)), int(now)))
+            else:
+                i, outcome = book.changed(pair, kind, int(now))
+                out.append((key[0], i, outcome, int(now)))
+            if len(out) >= BLOCK:
+                yield _frame(out)
+                out = []
+        book.save(self.rows, self.handle)
+        yield _frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        book, out = _Book(self.rows), []
+        book.expire(key[0], now, out)
+        book.save(self.rows, self.handle)
+        for k, v in book.rows.items():
+            if v[1] not in OPEN and v[5] is not None and v[5] + KEPT <= now:
+                self.rows.removeKey((k,))
+        yield _frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+class _Book:
+    """Rows of an owner (pair: id, status, asked, dismissed, expires, closed), the open ones apart: there are few."""
 
-    def _expired(self, owner: str, now: int) -> list[tuple]:
+    def __init__(self, state) -> None:
+        self.rows = {k[0]: tuple(v) for k, v in state.iterator()}
+        self.open = {pair: v[4] for pair, v in self.rows.items() if v[1] in OPEN}
+        self.touched: set[str] = set()
+
+    def _put(self, pair: str, row: tuple) -> None:
+        self.rows[pair] = row
+        self.touched.add(pair)
+        if row[1] in OPEN:
+            self.open[pair] = row[4]
+        else:
+            self.open.pop(pair, None)
+
+    def expire(self, owner: str, now: int, out: list[tuple]) -> None:
         """Open questions whose time is over at ``now`` are closed."""
-        out = []
-        for pair, (i, _, asked, dismissed, expires, _) in self._open():
-            if expires <= now:
-                self.rows.updateValue((pair,), (i, "expired", asked, dismissed, expires, expires))
-                self.handle.registerTimer(expires + KEPT)
-                out.append((owner, i, "expired", expires))
-        return sorted(out, key=lambda r: (r[3], r[1]))
-
-    def _offered(self, pair: str, i: int, now: int) -> str:
-        known = self.rows.getValue((pair,)) if self.rows.containsKey((pair,)) else None
-        if known and known[1] in OPEN:
+        due = [pair for pair, expires in self.open.items() if expires <= now]
+        found = []
+        for pair in due:
+            i, _, asked, dismissed, expires, _ = self.rows[pair]
+            self._put(pair, (i, "expired", asked, dismissed, expires, expires))
+            found.append((owner, i, "expired", expires))
+        out += sorted(found, key=lambda r: (r[3], r[1]))
+
+    def offered(self, pair: str, i: int, now: int) -> str:
+        if pair in self.open:
             return "active_pair"
+        known = self.rows.get(pair)
         asked, dismissed = (known[2] or 0, known[3] or 0) if known else (0, 0)
         if max(asked, dismissed) > 0 and now - max(asked, dismissed) < PAUSE:
             return "recent"
-        if len(self._open()) >= MOST_OPEN:
+        if len(self.open) >= MOST_OPEN:
             return "cap"
-        self.rows.updateValue((pair,), (i, "pending", asked, dismissed, now + LIFE, None))
-        self.handle.registerTimer(now + LIFE)
+        self._put(pair, (i, "pending", asked, dismissed, now + LIFE, None))
         return "accepted"
 
-    def _changed(self, pair: str, kind: str, now: int) -> tuple[int | None, str]:
-        known = self.rows.getValue((pair,)) if self.rows.containsKey((pair,)) else None
-        if not known or known[1] not in OPEN:
+    def changed(self, pair: str, kind: str, now: int) -> tuple[int | None, str]:
+        if pair not in self.open:
             return None, "ignored"
-        i, _, asked, dismissed, expires, _ = known
+        i, _, asked, dismissed, expires, _ = self.rows[pair]
         asked, dismissed = (now, dismissed) if kind == "asked" else (asked, now) if kind == "dismissed" else (asked, dismissed)
-        self.rows.updateValue((pair,), (i, kind, asked, dismissed, expires, None if kind == "asked" else now))
-        if kind != "asked":
-            self.handle.registerTimer(now + KEPT)
+        self._put(pair, (i, kind, asked, dismissed, expires, None if kind == "asked" else now))
         return i, kind
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        out = []
-        for event, pair, kind, at in events[["event_id", "pair", "kind", "at"]].itertuples(index=False):
-            out += self._expired(key[0], int(at))
-            if kind == "candidate":
-                out.append((key[0], int(event), self._offered(pair, int(event), int(at)), int(at)))
-            else:
-                i, outcome = self._changed(pair, kind, int(at))
-                out.append((key[0], i, outcome, int(at)))
-        yield _frame(out)
+    def save(self, state, handle: StatefulProcessorHandle) -> None:
+        for pair in sorted(self.touched):
+            row = self.rows[pair]
+            state.updateValue((pair,), row)
+        for moment in {self.rows[p][4] if self.rows[p][1] in OPEN else self.rows[p][5] + KEPT for p in self.touched}:
+            handle.registerTimer(moment)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        out = self._expired(key[0], now)
-        gone = [k for k, v in self.rows.iterator() if v[1] not in OPEN and v[5] is not None and v[5] + KEPT <= now]
-        for k in gone:
-            self.rows.removeKey(k)
-        yield _frame(out)
 
-    def close(self) -> None:
-        pass
+#: Rows of an answer that are handed over at once.
+BLOCK = 20_000
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """at, event_id, pair and kind (as numbers into the last part) by time and id: 24 bytes an event, whatever its texts."""
+    numbers: dict = {}
+    parts = []
+    for chunk in rows:
+        coded = [np.fromiter((numbers.setdefault(None if pd.isna(v) else v, len(numbers)) for v in chunk[c]), np.int32, len(chunk)) for c in ("pair", "kind")]
+        parts.append((chunk["at"].to_numpy(np.int64), chunk["event_id"].to_numpy(np.int64), *coded))
+    at, ids, pairs, kinds = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((ids, at))
+    return at[order], ids[order], pairs[order], kinds[order], list(numbers)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

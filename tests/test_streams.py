@@ -148,3 +148,37 @@ def test_what_is_still_open_counts(spark):
     events = spark.read.parquet(f"{folder}/events.parquet").count()
     for name in ("streamed_sessions", "streamed_weeks"):
         assert entry.queries()[name](spark, folder).agg(F.sum("n")).first()[0] == events
+
+
+def test_a_call_reads_the_state_once(spark):
+    """However many events an owner has in a trigger: their questions are read once and written once each."""
+
+    class State(dict):
+        reads = writes = 0
+
+        def iterator(self):
+            self.reads += 1
+            return iter([((k,), v) for k, v in self.items()])
+
+        def updateValue(self, key, row):
+            self.writes += 1
+            self[key[0]] = row
+
+        def containsKey(self, key):
+            self.reads += 1
+            return key[0] in self
+
+        def getValue(self, key):
+            self.reads += 1
+            return self[key[0]]
+
+    import pandas as pd
+
+    class Handle:
+        registerTimer = staticmethod(lambda at: None)
+
+    q, state = Q.Questions(), State()
+    q.handle, q.rows = Handle, state
+    events = pd.DataFrame([(Q.DAY + k, k, f"{k % 5}|x", ["candidate", "asked", "resolved"][k % 3]) for k in range(3000)], columns=["at", "event_id", "pair", "kind"])
+    out = pd.concat(list(q.handleInputRows(("u",), iter([events[:1000], events[1000:]]), None)))
+    assert len(out) == 3000 and state.reads == 1 and state.writes == len(state) == 5
