@@ -44,10 +44,22 @@ def resolved_beliefs(facts: DataFrame) -> DataFrame:
     return left.withColumn("resolved", F.count("*").over(w) == 1)
 
 
+#: Facts of a group that are one part of its pairs.
+CONFLICT_PART = 1000
+
+
 def conflicts(facts: DataFrame) -> DataFrame:
-    """Pairs of facts of one user and type on the same topic (a missing topic meets all) with different contents."""
-    a, b = facts.alias("a"), facts.alias("b")
-    same = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.fact_id") < F.col("b.fact_id"))
+    """Pairs of facts of one user and type on the same topic (a missing topic meets all) with different contents.
+
+    All pairs of a group may be asked for. Its facts are dealt into parts of some CONFLICT_PART, each of which meets the whole
+    group apart from the others, so a large group is the work of many tasks.
+    """
+    group = ["user_id", "kind"]
+    parts = facts.groupBy(*group).agg(F.ceil(F.count("*") / CONFLICT_PART).cast("int").alias("__parts"))
+    rows = facts.select("fact_id", "topic", "content", *group).join(parts, group)
+    a = rows.withColumn("__part", F.pmod(F.xxhash64("fact_id"), "__parts").cast("int")).alias("a")
+    b = rows.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).alias("b")
+    same = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.__part") == F.col("b.__part")) & (F.col("a.fact_id") < F.col("b.fact_id"))
     topic = F.col("a.topic").isNull() | F.col("b.topic").isNull() | (F.col("a.topic") == F.col("b.topic"))
     return a.join(b, same & topic & (F.col("a.content") != F.col("b.content"))).select("a.user_id", F.col("a.fact_id").alias("a_id"), F.col("b.fact_id").alias("b_id"))
 
