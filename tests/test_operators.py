@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,10 +15,13 @@ from tesserae.functions import vectors as V
 from tesserae.operators import lifecycle as L
 from tesserae.operators import maintenance as M
 from tesserae.operators import retrieval as R
+from tesserae.operators import temporal as P
 from tesserae.sources import index
 from tesserae.sources import tables as S
 from tesserae.plans import recall
 
+from .rows import joined_rows
+
 
 def test_mmr_cases():
     order = R.mmr_order(["I like pizza a lot", "I like pizza a lot too", "TypeScript is typed", "mushrooms grow"], [1.0, 0.99, 0.8, 0.7])
@@ -122,3 +126,52 @@ def test_recall_pages(spark, tmp_path):
     seen = spark.createDataFrame([(r.query_id, r.doc_id) for r in first], "query_id long, doc_id long")
     again = recall.recalled(docs, qs, str(tmp_path / "index"), "fast", seen=seen).collect()
     assert not {(r.query_id, r.doc_id) for r in first} & {(r.query_id, r.doc_id) for r in again}
+
+
+def test_required_evidence_joins_the_first_of_a_scope_only(spark):
+    """800 chosen facts of one scope and 1000 confirmed ones: 800 000 pairs before; a fact is not its own rival."""
+    chosen = spark.range(800).selectExpr("1L AS query_id", "id AS fact_id", "1 AS scope")
+    others = spark.range(1000).selectExpr("id AS fact_id", "1 AS scope", "'user' AS authority", "if(id < 6, 3L, NULL) AS exception_of")
+    found = []
+    assert joined_rows(spark, lambda: found.extend(R.required_evidence(chosen, others, 4, 8).collect())) <= 800 * 5
+    assert sorted((r.fact_id, r.kind) for r in found) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1)]
+
+
+def test_conflicts_of_one_user_are_the_work_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "CONFLICT_PART", 50, raising=False)
+    facts = spark.range(600).selectExpr("id AS fact_id", "id div 10000 AS user_id", "concat('k', id div 10000) AS kind", "if(id % 4 = 0, NULL, id % 4) AS topic", "concat('c', id % 300) AS content")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = P.conflicts(facts).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tasks = Counter(r.task for r in got)
+    assert max(tasks.values()) < len(got) * 0.7
+    topic = lambda i: i % 4 or None
+    want = {(a, b) for a in range(600) for b in range(a + 1, 600) if (topic(a) is None or topic(b) is None or topic(a) == topic(b)) and a % 300 != b % 300}
+    assert len(got) == len(want) and {(r.a_id, r.b_id) for r in got} == want
+
+
+def test_nearest_hands_over_the_best_so_far_in_small_products():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((9000, 4))
+    asked = rng.standard_normal((30, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(9000)), pa.array(vectors.tolist(), pa.list_(pa.float64()))], names=["vec_id", "embedding"])
+    out = list(R._best_of(list(range(30)), asked.tolist(), 5, 0.2)(iter([batch])))
+    assert len(out) == 9  # a product holds 1000 vectors at most
+    unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    scores = unit(asked) @ unit(vectors).T
+    got = {}
+    for b in out:
+        for q, v, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got.setdefault(q, set()).add(v)
+    for q in range(30):
+        order = sorted((-scores[q, v], v) for v in range(9000) if v != q and scores[q, v] >= 0.2)
+        assert {v for _, v in order[:5]} <= got.get(q, set())
