@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,19 +46,30 @@ def overlapping(new: DataFrame, old: DataFrame) -> DataFrame:
 def chunked(rows: DataFrame, budget: float, margin: float = 1.2) -> DataFrame:
     """Chunks of a user's rows by a running budget of estimated tokens that starts again at each overflow.
 
-    The restart makes it no plain window; a user's rows are folded in order, and only their
-    sizes enter the fold.
+    The restart makes it no plain window; a user's rows go by in order, and only their sizes are read. What is kept between
+    two rows is the budget used and the chunk, so the work grows with the rows and no list of them is made.
     """
-    size = F.ceil(F.length("content") / 4) * margin
-    listed = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "id", size.alias("size")))).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<struct<id:bigint,chunk:int>>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        full = (acc.used + r.size > budget) & (acc.used > 0)
-        chunk = acc.chunk + full.cast("int")
-        return F.struct(F.when(full, r.size).otherwise(acc.used + r.size).alias("used"), chunk.alias("chunk"), F.concat(acc.out, F.array(F.struct(r.id.alias("id"), chunk.alias("chunk")))).alias("out"))
-
-    return listed.select("user_id", F.inline(F.aggregate("rows", start, step, lambda a: a.out)))
+    size = (F.ceil(F.length("content") / 4) * margin).cast("double")
+    kind = rows.schema["user_id"].dataType.simpleString()
+    listed = rows.select("user_id", F.col("id").cast("long").alias("id"), size.alias("size"), "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, chunk, begun = None, 0.0, 0, False
+        for b in batches:
+            chunks = []
+            for user, z in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not begun or user != now:
+                    now, used, chunk, begun = user, 0.0, 0, True
+                if used is None or z is None:  # a text of unknown size: nothing is known from there on
+                    used = chunk = None
+                elif used + z > budget and used > 0:
+                    used, chunk = z, chunk + 1
+                else:
+                    used += z
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(chunks, pa.int32())], names=["user_id", "id", "chunk"])
+
+    return listed.select("user_id", "id", "size").mapInArrow(fold, f"user_id {kind}, id long, chunk int")
 
 
 def decayed(prominence: Column, rate: float = 0.95) -> Column:

@@ -175,3 +175,20 @@ def test_nearest_hands_over_the_best_so_far_in_small_products():
     for q in range(30):
         order = sorted((-scores[q, v], v) for v in range(9000) if v != q and scores[q, v] >= 0.2)
         assert {v for _, v in order[:5]} <= got.get(q, set())
+
+
+def test_chunks_of_a_long_log_are_no_list(spark):
+    """Chunks over batches and several users as a plain loop gives them; no fold gathers a user's rows."""
+    from tesserae.operators import episodes as E
+
+    rng = random.Random(8)
+    rows = [(rng.choice("uvw"), k, k // 3, "x" * rng.randrange(0, 900)) for k in range(3000)]
+    out = E.chunked(spark.createDataFrame(rows, "user_id string, id long, ts long, content string").repartition(3), 120.0)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    want, state = {}, {}
+    for user, k, _, text in sorted(rows, key=lambda r: (r[2], r[1])):
+        z = -(-len(text) // 4) * 1.2
+        used, chunk = state.get(user, (0.0, 0))
+        state[user] = (z, chunk + 1) if used + z > 120.0 and used > 0 else (used + z, chunk)
+        want[user, k] = state[user][1]
+    assert {(r.user_id, r.id): r.chunk for r in out.collect()} == want
