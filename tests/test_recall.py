@@ -170,3 +170,12 @@ def test_a_segment_that_was_not_listed_is_not_seen(spark, tmp_path):
     I.publish(docs, path, 2)
     docs.select("doc_id", "version").write.parquet(f"{path}/segment=1/documents")
     assert I.segments(spark, path) == [0] and I.live(spark, path).count() == 1
+
+
+def test_postings_are_made_where_the_text_is(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "1", "a b a", "en"), (1, "1", "b c", "en"), (2, "1", None, "en"), (3, "1", "z " * 5000, "en")], DOCS)
+    plan = I.postings_of(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(term" not in plan
+    I.publish(docs, str(tmp_path / "index"), 2)
+    got = sorted((r.term, r.doc_id, r.tf, r.spots[:3]) for r in I.postings(spark, str(tmp_path / "index")).collect())
+    assert got == [("a", 1, 2, [0, 2]), ("b", 1, 2, [0, 1]), ("c", 1, 1, [1]), ("z", 3, 5000, [0, 1, 2])]
