@@ -179,3 +179,20 @@ def test_postings_are_made_where_the_text_is(spark, tmp_path):
     I.publish(docs, str(tmp_path / "index"), 2)
     got = sorted((r.term, r.doc_id, r.tf, r.spots[:3]) for r in I.postings(spark, str(tmp_path / "index")).collect())
     assert got == [("a", 1, 2, [0, 2]), ("b", 1, 2, [0, 1]), ("c", 1, 1, [1]), ("z", 3, 5000, [0, 1, 2])]
+
+
+def test_best_scores_are_those_of_all_scores(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 5)))) for i in rng.sample(range(5000), 1500)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, "zz"), (4, "g"), (4, "f"), (4, "zz")], "query_id long, term string")
+    index, stats = R.postings(docs, asked=asked).persist(), R.index_stats(docs)
+    every, few = {}, {}
+    for r in R.bm25(index, asked, stats).collect():
+        every.setdefault(r.query_id, []).append((-round(r.score, 6), r.doc_id))
+    for r in R.best_bm25(index, asked, stats, 5, lowest=True).collect():
+        few.setdefault(r.query_id, []).append((-round(r.score, 6), r.doc_id))
+    assert set(every) == set(few) == {1, 2, 4}
+    for q in every:
+        assert sorted(few[q])[:5] == sorted(every[q])[:5] and set(few[q]) <= set(every[q])
+        assert sorted(d for _, d in few[q])[:5] == sorted(d for _, d in every[q])[:5]
+    assert len(few[2]) < len(every[2])
