@@ -196,3 +196,11 @@ def test_best_scores_are_those_of_all_scores(spark):
         assert sorted(few[q])[:5] == sorted(every[q])[:5] and set(few[q]) <= set(every[q])
         assert sorted(d for _, d in few[q])[:5] == sorted(d for _, d in every[q])[:5]
     assert len(few[2]) < len(every[2])
+
+
+def test_variants_are_found_without_ranking(spark, corpus, monkeypatch):
+    monkeypatch.setattr(probes.Lexical, "substrings", None)
+    docs, _, path = corpus
+    asked = ["generali", "generalx", "ler", "ecol", "the", "qqq"]
+    got = {r.variant for r in probes.Lexical(spark, path).found(spark.createDataFrame([(v,) for v in asked], "variant string")).collect()}
+    assert got == {v for v in asked if any(v in bare(w) for t, _ in docs.values() for w in words(t))}
