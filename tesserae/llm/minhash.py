@@ -8,7 +8,8 @@ similarity of 80 per cent or more; each gets the smallest doc_id it can reach by
    ``BITS`` bits, so samples that two documents share cancel out in the XOR of their sketches, and the
    population count tells how many they do not share. Equal sets are one node from here on.
 2. Nodes with an equal key are a bucket. Each bucket has one leader, drawn by hash, and only pairs of a
-   leader and a member are made: as many as there are members, however large a family is. Pairs of too
+   leader and a member are made: as many as there are members, however large a family is. Leaders are drawn by
+   ``DRAWS`` orders of the nodes, so the buckets that a family has in common have few leaders. Pairs of too
    different sizes, or whose sketches differ in more than ``FARTHEST`` bits, go; the others are compared
    by their full sets. The links found make components.
 3. That leaves pairs in one bucket, in different components, of which neither is the leader. Buckets
@@ -45,6 +46,8 @@ ROWS, BANDS, BITS = 6, 50, 1024
 SAMPLES = ROWS * BANDS
 #: Members of a block, about.
 BLOCK = 256
+#: Orders by which leaders are drawn.
+DRAWS = 4
 
 _RNG = np.random.default_rng(17)
 _FLIP, _ODD, _SEED = _RNG.integers(0, 1 << 63, SAMPLES, np.uint64), _RNG.integers(0, 1 << 63, SAMPLES, np.uint64) * 2 + 1, _RNG.integers(0, 1 << 63, SAMPLES, np.uint64)
@@ -326,7 +329,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = usable.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = common.written(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    leader = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"].alias("leader")
+    drawn = F.xxhash64(F.pmod("key", F.lit(DRAWS)), "node")
+    leader = F.min(F.struct(drawn.alias("h"), "node"))["node"].alias("leader")
     buckets = common.written(_band_rows(nodes).groupBy("key").agg(F.count("*").alias("k"), leader).where("k > 1").select("key", "leader"))
     rows = common.written(_band_rows(nodes).join(buckets.hint("merge"), "key"))
     pairs = rows.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()

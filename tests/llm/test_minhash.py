@@ -121,3 +121,19 @@ def test_samples_in_chunks():
     tokens = Shingles(4)([" ".join(str(k % 1700) for k in range(5000)).encode()])[0]
     whole = np.min((tokens[:, None] ^ M._FLIP) * M._ODD, axis=0) >> np.uint64(32)
     assert (M.samples(tokens) == whole).all()
+
+
+def test_a_family_makes_few_pairs(spark, monkeypatch):
+    """300 near copies have 50 buckets in common; with a leader for each of them there were more than 30 pairs a document."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(9999)}" for _ in range(200)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    counted, screened = [], M.screened
+    monkeypatch.setattr(M, "screened", lambda pairs, nodes: counted.append(pairs.count()) or screened(pairs, nodes))
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert 299 <= counted[0] <= 300 * 10
