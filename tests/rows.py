@@ -1,8 +1,8 @@
 """What a query made Spark do: rows that its joins put out, read from the metrics of its plans."""
 
 
-def joined_rows(spark, run) -> int:
-    """The most rows that one join put out while ``run`` was called."""
+def joined_rows(spark, run, kind: str = "Join") -> int:
+    """The most rows that one join, or node of another kind, put out while ``run`` was called."""
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsCount()
     run()
@@ -13,7 +13,7 @@ def joined_rows(spark, run) -> int:
         values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
         for n in range(nodes.size()):
             node = nodes.apply(n)
-            if "Join" in node.name():
+            if kind in node.name():
                 for m in range(node.metrics().size()):
                     metric = node.metrics().apply(m)
                     if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
