@@ -89,3 +89,12 @@ def test_one_id_with_two_texts(spark):
     rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "x"])), (4, None), (4, "four"), (None, " ".join(a)), (5, "")]
     got = sorted(map(tuple, J.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (4, 0, 4), (4, 1, 4), (None, 56, None), (5, 0, 5)], key=str)
+
+
+def test_small_relatives_of_large_documents_share_a_hub(spark):
+    """The tokens' most central document is too large for 40 of the documents; they are one group all the same, and the matrix has no row for two of them."""
+    rows = spark.createDataFrame([(t, d, n) for n, ids in ((146, range(30)), (59, range(100, 140))) for d in ids for t in range(10)], "token long, doc_id long, n long")
+    hub = {r.doc_id: r.hub for r in J._hubs(rows).collect()}
+    assert len({hub.get(d, d) for d in range(30)}) == len({hub.get(d, d) for d in range(100, 140)}) == 1
+    homes = spark.createDataFrame([(d, n, hub.get(d, d)) for n, ids in ((146, range(30)), (59, range(100, 140))) for d in ids], "doc_id long, n long, hub long")
+    assert J.guests(rows, homes).count() == 0
