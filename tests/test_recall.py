@@ -5,6 +5,8 @@ import random
 import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tesserae.functions.stem import stem
@@ -204,3 +206,32 @@ def test_variants_are_found_without_ranking(spark, corpus, monkeypatch):
     asked = ["generali", "generalx", "ler", "ecol", "the", "qqq"]
     got = {r.variant for r in probes.Lexical(spark, path).found(spark.createDataFrame([(v,) for v in asked], "variant string")).collect()}
     assert got == {v for v in asked if any(v in bare(w) for t, _ in docs.values() for w in words(t))}
+
+
+def test_best_rows_of_a_task():
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), rng.choice([0.1, 0.2, 0.2 + 1e-8, 0.3, 0.4]), doc) for doc in rng.sample(range(1000), 300)] + [(9, 1.0, 7)]
+    kept = [rows[i] for i in probes.best_rows(*map(np.array, zip(*rows)), 5).tolist()]
+    for g in {r[0] for r in rows}:
+        first = lambda some: sorted((-round(s, 6), d) for h, s, d in some if h == g)[:5]  # noqa: E731, B023
+        assert first(kept) == first(rows)
+    assert len(kept) < 60
+
+
+def test_only_the_best_documents_of_a_variant_leave_a_task(monkeypatch):
+    """All documents contain all variants; few are held, scored and remembered at once."""
+    for name, value in (("CELLS", 200), ("HELD", 10), ("WORDS", 3)):
+        monkeypatch.setattr(probes, name, value)
+    rng = random.Random(6)
+    docs = [(d, rng.randrange(20, 400), rng.random() < 0.5, [("bananas", rng.randrange(1, 4)), (f"ána{k}", 1), ("of", 2)]) for k, d in enumerate(rng.sample(range(10_000), 600))]
+    kind = pa.schema([("doc_id", pa.int64()), ("letters", pa.int64()), ("english", pa.bool_()), ("words", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, (*r[:3], [{"term": t, "tf": n} for t, n in r[3]]))) for r in docs[at : at + 100]], schema=kind) for at in range(0, 600, 100)]
+    variants = ["ana", "banana", "nas", "xyz"]
+    out = [r for b in probes._containing(variants, [200.0, 150.0], 12)(iter(batches)) for r in b.to_pylist()]
+    assert len(out) < 2 * 3 * 20
+    for english, average in ((False, 200.0), (True, 150.0)):
+        for v in variants:
+            tf = lambda words: sum(n * sum(bare(t).startswith(v, i) for i in range(len(t))) for t, n in words)  # noqa: E731, B023
+            scores = {d: weight(tf(words), letters - 2, average) for d, letters, en, words in docs if tf(words) and (en or not english)}
+            own = {r["doc_id"]: r["score"] for r in out if r["variant"] == v and r["english"] == english}
+            assert best(own, 12) == best(scores, 12)
