@@ -224,8 +224,15 @@ def test_only_the_best_documents_of_a_variant_leave_a_task(monkeypatch):
         monkeypatch.setattr(probes, name, value)
     rng = random.Random(6)
     docs = [(d, rng.randrange(20, 400), rng.random() < 0.5, [("bananas", rng.randrange(1, 4)), (f"ána{k}", 1), ("of", 2)]) for k, d in enumerate(rng.sample(range(10_000), 600))]
-    kind = pa.schema([("doc_id", pa.int64()), ("letters", pa.int64()), ("english", pa.bool_()), ("words", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))])
-    batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, (*r[:3], [{"term": t, "tf": n} for t, n in r[3]]))) for r in docs[at : at + 100]], schema=kind) for at in range(0, 600, 100)]
+    kind = pa.schema([("doc_id", pa.int64()), ("letters", pa.int64()), ("english", pa.bool_()), ("packs", pa.list_(pa.struct([("words", pa.string()), ("tf", pa.binary())])))])
+    rows = [(d, t, n) for d, *_, words in docs for t, n in words]
+    postings = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rng.sample(rows, len(rows)))], names=["doc_id", "term", "tf"])
+    packs = {}
+    for at in range(0, len(rows), 50):
+        for b in probes._packed(iter([postings.slice(at, 50)])):
+            for r in b.to_pylist():
+                packs.setdefault(r["doc_id"], []).append({"words": r["words"], "tf": r["tf"]})
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, (*r[:3], packs[r[0]]))) for r in docs[at : at + 100]], schema=kind) for at in range(0, 600, 100)]
     variants = ["ana", "banana", "nas", "xyz"]
     out = [r for b in probes._containing(variants, [200.0, 150.0], 12)(iter(batches)) for r in b.to_pylist()]
     assert len(out) < 2 * 3 * 20
