@@ -242,3 +242,16 @@ def test_only_the_best_documents_of_a_variant_leave_a_task(monkeypatch):
             scores = {d: weight(tf(words), letters - 2, average) for d, letters, en, words in docs if tf(words) and (en or not english)}
             own = {r["doc_id"]: r["score"] for r in out if r["variant"] == v and r["english"] == english}
             assert best(own, 12) == best(scores, 12)
+
+
+def test_phrases_are_found_where_a_document_is():
+    kind = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("terms", pa.list_(pa.string())), ("spots", pa.list_(pa.list_(pa.int32())))])
+    texts = {3: "a b a b c", 5: "b a", 8: "c c a b a", 9: ""}
+    rows = []
+    for d, text in texts.items():
+        own = text.split()
+        rows.append({"doc_id": d, "size": len(own), "terms": sorted(set(own)), "spots": [[i for i, w in enumerate(own) if w == t] for t in sorted(set(own))]})
+    batch = pa.RecordBatch.from_pylist(rows, schema=kind)
+    asked = [(1, "b", ["a", "b"]), (2, "c", ["c", "c"]), (3, "c", ["c"]), (4, "b", ["a", "b", "a"]), (5, "c", ["c", "z"])]
+    got = {(r["query_id"], r["doc_id"], r["size"], r["tf"]) for out in (batch, batch.slice(1)) for b in probes._phrases(asked)(iter([out])) for r in b.to_pylist()}
+    assert got == {(1, 3, 5, 2), (1, 8, 5, 1), (2, 8, 5, 1), (3, 3, 5, 1), (3, 8, 5, 2), (4, 3, 5, 1), (4, 8, 5, 1)}
